@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, simhash, spm_fst, substring
+from . import decontam, langid, quality, secrets, simhash, spm_fst, substring
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -18,6 +18,18 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: A document's rating: a point for quality, one for not being toxic; both make it worth keeping.
+GRADE, TOP = "coalesce(quality, 0) + 1 - coalesce(toxic, 0)", 2
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model | None:
+    return quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), GRADE, TOP)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.selected(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir), TOP)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_fst.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
@@ -30,5 +42,14 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op5_sentencepiece, op7_substring_dedup, op8_benchmark_decontamination)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identified(docs, langid.train(docs))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_classifier, op5_sentencepiece, op7_substring_dedup, op8_benchmark_decontamination, op9_language_id, op10_secret_scan)}
 SQL: dict[str, str] = {"op7_substring_dedup": substring.SQL, "op8_benchmark_decontamination": decontam.SQL}
