@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, quality, secrets, simhash, spm_fst, substring
+from . import ann, decontam, langid, quality, secrets, sharding, simhash, spm_fst, substring, url_filter
 
 #: Where the public tokenizers' files are.
 TOKENIZERS = "/opt/tokenizers"
@@ -14,6 +14,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Block and allow rules: domains, or addresses with what lies below them.
+BLOCK = ("casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com")
+ALLOW = ("casino-win.example.com/de", "www.cheap-pills.example.com/en/1")
+
+
+def rules(spark: SparkSession, texts: tuple[str, ...]) -> DataFrame:
+    return spark.createDataFrame([(t,) for t in texts], "rule string")
+
+
+def op1_projection_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.decided(table(spark, sf_dir, "pages"), rules(spark, BLOCK), rules(spark, ALLOW))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,6 +51,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm_fst.encoded(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op6_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards; exact copies of a text are one group."""
+    return sharding.sharded(table(spark, sf_dir, "documents"), ["text"], 16)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -51,5 +73,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_near_dedup, op4_quality_classifier, op5_sentencepiece, op7_substring_dedup, op8_benchmark_decontamination, op9_language_id, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_projection_knn, op2_url_filter, op3_simhash_near_dedup, op4_quality_classifier, op5_sentencepiece, op6_karmarkar_karp_shards, op7_substring_dedup, op8_benchmark_decontamination, op9_language_id, op10_secret_scan)}
 SQL: dict[str, str] = {"op7_substring_dedup": substring.SQL, "op8_benchmark_decontamination": decontam.SQL}
