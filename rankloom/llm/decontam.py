@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, WordHash, id_text, map_arrow
+from .common import RollingHash, WordHash, cut, id_text, map_arrow
 
 SHINGLE = 4
 THRESHOLD = 0.5
@@ -84,24 +84,26 @@ class Probe:
                 out[s] = len(h), at, h[at]
         return out
 
-    def matches(self, tokens: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(item, start token, end token, containment) of the best window of each item that reaches the threshold."""
+    def matches(self, s: int, n: int, words: int, at: np.ndarray, found: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(item, start token, end token, containment) of the best window of each item that reaches the threshold.
+
+        For shingle size s: the document's n shingles and its words, the places of known ones and these.
+        """
         out = []
-        for s, (n, at, found) in self.hits(tokens).items():
-            earliest: dict[int, int] = {}
-            present = np.unique(found)
-            for h in present.tolist():
-                for x, j in self.holders.get(h, ()):
-                    if self.items[x][1] == s and n >= self.need[x]:
-                        earliest[x] = min(j, earliest.get(x, j))
-            for x, j in earliest.items():
-                item, _, width, kinds = self.items[x]
-                if len(kinds) - j < self.need[x] or np.isin(kinds, present, assume_unique=True).sum() < self.need[x]:
-                    continue
-                own = np.isin(found, kinds)
-                best, start = best_window(at[own], found[own], width)
-                if best >= self.need[x]:
-                    out.append((item, start, min(start + width + s - 1, len(tokens)), best / len(kinds)))
+        earliest: dict[int, int] = {}
+        present = np.unique(found)
+        for h in present.tolist():
+            for x, j in self.holders.get(h, ()):
+                if self.items[x][1] == s and n >= self.need[x]:
+                    earliest[x] = min(j, earliest.get(x, j))
+        for x, j in earliest.items():
+            item, _, width, kinds = self.items[x]
+            if len(kinds) - j < self.need[x] or np.isin(kinds, present, assume_unique=True).sum() < self.need[x]:
+                continue
+            own = np.isin(found, kinds)
+            best, start = best_window(at[own], found[own], width)
+            if best >= self.need[x]:
+                out.append((item, start, min(start + width + s - 1, words), best / len(kinds)))
         return out
 
 
@@ -124,28 +126,41 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         items = _items([(r[0], r[1]) for r in part.orderBy("id", "text").collect()], shingle)
         if not items:
             continue
-        counted = spark.sparkContext.broadcast(items)
+        held = spark.sparkContext.broadcast(items)
 
-        def count(batches, counted=counted, threshold=threshold):
-            probe, df = Probe(counted.value, threshold), {}
+        def look(batches, held=held, threshold=threshold):
+            probe = Probe(held.value, threshold)
+            for b in batches:
+                out = []
+                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    tokens = _words.of(text)
+                    out += [(i, s, n, len(tokens), at.tobytes(), h.tobytes()) for s, (n, at, h) in probe.hits(tokens).items()]
+                cols = list(zip(*out)) if out else [[]] * 6
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "size", "n", "words", "at", "found"])
+
+        # what the corpus shares with the items, found in one pass, serves both the counts and the search
+        hits = cut(map_arrow(texts, look, "id long, size int, n long, words long, at binary, found binary"))
+
+        def count(batches):
+            df: dict[int, int] = {}
             for b in batches:
-                for text in b.column(1).to_pylist():
-                    for _, _, found in probe.hits(_words.of(text)).values():
-                        for h in np.unique(found).tolist():
-                            df[h] = df.get(h, 0) + 1
+                for raw in b.column(0).to_pylist():
+                    for h in np.unique(np.frombuffer(raw, np.uint64)).tolist():
+                        df[h] = df.get(h, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array(np.array(list(df), np.uint64).view(np.int64)), pa.array(list(df.values()), pa.int64())], ["h", "n"])
 
-        rows = map_arrow(texts, count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
+        rows = map_arrow(hits.select("found"), count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()
         known = spark.sparkContext.broadcast((items, {int(np.int64(r[0]).view(np.uint64)): r[1] for r in rows}))
 
         def search(batches, known=known, threshold=threshold):
             probe = Probe(known.value[0], threshold, known.value[1])
             for b in batches:
-                out = [(i, *m) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for m in probe.matches(_words.of(text))]
+                out = [(i, *m) for i, s, n, words, at, h in zip(*(c.to_pylist() for c in b.columns)) for m in probe.matches(s, n, words, np.frombuffer(at, np.int64), np.frombuffer(h, np.uint64))]
                 cols = list(zip(*out)) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.float64())], ["doc_id", "item_id", "start_token", "end_token", "containment"])
 
-        results.append(map_arrow(texts, search, "doc_id long, item_id long, start_token long, end_token long, containment double"))
+        results.append(map_arrow(hits, search, "doc_id long, item_id long, start_token long, end_token long, containment double"))
     if not results:
         return spark.createDataFrame([], "doc_id long, item_id long, start_token long, end_token long, containment double")
     out = results[0]
