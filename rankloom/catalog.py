@@ -1,10 +1,719 @@
-"""Registry of queries over the test tables and the SQL that must give the same rows."""
+"""Registry of queries over the test tables and the SQL that must give the same rows.
+
+Scores are rounded to six digits in both, and order goes by the rounded score, so that the last bit of a float decides
+nothing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as texts
+from .functions import vectors
+from .functions.scalars import datetimes, uuids
+from .operators import bm25, fusion, ivf, knn, measures, writes
+from .plans import query as plans
+from .plans.predicates import Scope, condition, truth
+from .plans.spec import parse_filter, parse_query
+from .sources import log as logs
+from .sources.namespace import expanded, ndjson, page_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+DIGITS = 6
+
+
+def register(name: str, sql: str | None = None):
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# ---- vectors ----
+
+Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
+COS = f"round(list_cosine_similarity(embedding::DOUBLE[], {Q0}), 6)"
+L2 = "(SELECT sum((x - y) * (x - y)) FROM (SELECT unnest(embedding::DOUBLE[]) AS x, unnest(q.v) AS y))"
+
+
+def vector_of(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
+    rows = table(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").collect()
+    return [float(x) for x in rows[0][0]]
+
+
+def scored(spark: SparkSession, sf: str, metric: str) -> DataFrame:
+    s = vectors.similarity(F.col("embedding"), vector_of(spark, sf), metric)
+    return table(spark, sf, "embeddings").select("vec_id", (F.round(s, DIGITS) + 0.0).alias("dist"))
+
+
+@register("V1_cosine_scores", f"SELECT vec_id, {COS} AS dist FROM embeddings")
+def v1(spark, sf):
+    return scored(spark, sf, "cosine_distance")
+
+
+@register("V2_neg_l2_scores", f"SELECT vec_id, round(-{L2}, 6) + 0.0 AS dist FROM embeddings, (SELECT {Q0} AS v) q")
+def v2(spark, sf):
+    return scored(spark, sf, "euclidean_squared")
+
+
+@register("V4_knn_cosine", f"SELECT vec_id, {COS} AS dist FROM embeddings ORDER BY dist DESC, vec_id LIMIT 10")
+def v4(spark, sf):
+    return knn.exact(table(spark, sf, "embeddings"), vector_of(spark, sf), 10, "vec_id", "embedding", digits=DIGITS)
+
+
+@register("V4_knn_l2", f"SELECT vec_id, round(-{L2}, 6) + 0.0 AS dist FROM embeddings, (SELECT {Q0} AS v) q ORDER BY dist DESC, vec_id LIMIT 10")
+def v4_l2(spark, sf):
+    return knn.exact(table(spark, sf, "embeddings"), vector_of(spark, sf), 10, "vec_id", "embedding", "euclidean_squared", DIGITS)
+
+
+BATCH_SQL = """
+WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dist
+           FROM embeddings a, embeddings b),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, dist, rank::INT AS rank FROM r WHERE rank <= 5
+"""
+
+
+@register("V5_batch_knn", BATCH_SQL)
+def v5(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return knn.batch(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5, "vec_id", "embedding", "query_id", "query", digits=DIGITS)
+
+
+@register("V10_ann_exact_regime", f"SELECT vec_id, {COS} AS dist FROM embeddings WHERE label = 0 ORDER BY dist DESC, vec_id LIMIT 10")
+def v10(spark, sf):
+    """Few vectors: every fine cell is probed, so the index is exact."""
+    v = table(spark, sf, "embeddings").where("label = 0")
+    index = ivf.built(v, "vec_id", "embedding", layout=3)
+    return ivf.searched(index, vector_of(spark, sf), 10, "vec_id", "embedding", coarse=len(index.coarse), fine=len(index.fine), digits=DIGITS)
+
+
+@register("V11_ann_probe")
+def v11(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return ivf.searched(ivf.built(v, "vec_id", "embedding"), vector_of(spark, sf), ivf.pool_size(10), "vec_id", "embedding", digits=DIGITS)
+
+
+@register("V12_ann_rerank")
+def v12(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return ivf.searched(ivf.built(v, "vec_id", "embedding"), vector_of(spark, sf), 10, "vec_id", "embedding", rerank=v, digits=DIGITS)
+
+
+@register("V15_ann_delta")
+def v15(spark, sf):
+    """Members after vectors of one label were deleted and those of another written again."""
+    v = table(spark, sf, "embeddings")
+    index = ivf.built(v, "vec_id", "embedding")
+    return ivf.maintained(index, v.where("label = 2"), v.where("label = 1"), "vec_id", "embedding").members.select("vec_id", "fine_id")
+
+
+@register("V3_half_precision_scores")
+def v3(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", vectors.half(F.col("embedding")).alias("embedding"))
+    return v.select("vec_id", F.round(vectors.cosine(F.col("embedding"), vector_of(spark, sf)), 3).alias("dist"))
+
+
+@register("V19_two_vector_fields", f"""
+WITH v AS (SELECT vec_id, {COS} AS a, round(list_cosine_similarity(list_reverse(embedding::DOUBLE[]), {Q0}), 6) AS b FROM embeddings)
+SELECT vec_id, a, b FROM v ORDER BY b DESC, vec_id LIMIT 10""")
+def v19(spark, sf):
+    q = vector_of(spark, sf)
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding", F.reverse("embedding").alias("second"))
+    s = v.select("vec_id", F.round(vectors.cosine(F.col("embedding"), q), DIGITS).alias("a"), F.round(vectors.cosine(F.col("second"), q), DIGITS).alias("b"))
+    return s.orderBy(F.desc("b"), "vec_id").limit(10)
+
+
+@register("S9_base64_vectors", "SELECT vec_id, embedding FROM embeddings")
+def s9(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return v.select("vec_id", vectors.encoded(F.col("embedding")).alias("raw")).select("vec_id", vectors.decoded(F.col("raw")).alias("embedding"))
+
+
+# ---- filters ----
+
+
+def rated(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the ratings that some of them have."""
+    labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "_l")
+    return table(spark, sf, "documents").join(labels, F.col("doc_id") == F.col("_l"), "left").drop("_l", "text")
+
+
+RATED = "(SELECT d.doc_id, lang, source, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+
+
+def filtered(name: str, tree: Any, where: str) -> None:
+    @register(name, f"SELECT doc_id, lang, quality FROM {RATED} WHERE {where}")
+    def run(spark, sf):
+        docs = rated(spark, sf)
+        return docs.where(condition(Scope(docs.schema, "doc_id"), parse_filter(tree))).select("doc_id", "lang", "quality")
+
+
+filtered("F1_eq", ["lang", "Eq", "de"], "lang = 'de'")
+filtered("F1_eq_other_kind", ["n_chars", "Eq", "100"], "false")
+filtered("F2_eq_null", ["quality", "Eq", None], "quality IS NULL")
+filtered("F3_ne", ["quality", "Ne", 1], "quality IS NULL OR quality <> 1")
+filtered("F4_ne_null", ["quality", "Ne", None], "quality IS NOT NULL")
+filtered("F5_range", ["And", [["n_chars", "Gte", 500], ["n_chars", "Lt", 2000.5]]], "n_chars >= 500 AND n_chars < 2000.5")
+filtered("F6_string_range", ["source", "Gt", "src5"], "source > 'src5'")
+filtered("F8_in", ["lang", "In", ["en", "fr", 7]], "lang IN ('en', 'fr')")
+filtered("F8_in_null", ["quality", "In", [0, None]], "quality = 0 OR quality IS NULL")
+filtered("F9_nested_and_or", ["Or", [["And", [["lang", "Eq", "en"], ["toxic", "Eq", 1]]], ["And", [["lang", "Ne", "en"], ["quality", "Eq", 0]]], ["Or", []]]], "(lang = 'en' AND toxic = 1) OR (lang <> 'en' AND quality = 0)")
+filtered("F9_empty_and", ["And", []], "true")
+filtered("F10_id", ["id", "Lte", 20], "doc_id <= 20")
+filtered("F12_missing_field", ["nowhere", "Ne", 3], "true")
+
+
+@register("F6_datetime_range", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS at FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-11 12:00:00'")
+def f6(spark, sf):
+    """Datetimes are strings in UTC with nine digits, so that string order is time order."""
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("000Z"))
+    events = table(spark, sf, "events").select("event_id", at.alias("at"))
+    tree = parse_filter(["And", [["at", "Gte", "2024-01-10T00:00:00.000000000Z"], ["at", "Lt", "2024-01-11T12:00:00.000000000Z"]]])
+    return events.where(condition(Scope(events.schema, "event_id"), tree))
+
+
+@register("F7_bool_range", f"SELECT doc_id, (toxic = 1)::BOOLEAN AS toxic FROM {RATED} WHERE toxic = 1")
+def f7(spark, sf):
+    docs = rated(spark, sf).select("doc_id", (F.col("toxic") == 1).alias("toxic"))
+    return docs.where(condition(Scope(docs.schema, "doc_id"), parse_filter(["And", [["toxic", "Gt", False], ["toxic", "Gte", 0.5]]])))
+
+
+@register("F0_truth_values", f"SELECT doc_id, coalesce(quality = 1, false) AS good, coalesce(toxic > 0, false) OR lang = 'fr' AS odd FROM {RATED}")
+def f0(spark, sf):
+    docs = rated(spark, sf)
+    scope = Scope(docs.schema, "doc_id")
+    return docs.select("doc_id", truth(scope, parse_filter(["quality", "Eq", 1])).alias("good"), truth(scope, parse_filter(["Or", [["toxic", "Gt", 0], ["lang", "Eq", "fr"]]])).alias("odd"))
+
+
+# ---- text ----
+
+STOP = ", ".join(f"'{w}'" for w in texts.STOPWORDS)
+WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+TERMS = f"list_filter({WORDS}, lambda w: w NOT IN ({STOP}))"
+ASK = "erst hathin onhe erst"
+
+
+def terms_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", texts.tokens(F.col("text")).alias("terms"))
+
+
+@register("T1_tokens", f"SELECT doc_id, unnest({WORDS}) AS term, count(*) AS n FROM documents GROUP BY ALL")
+def t1(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.explode(texts.tokens(F.col("text"), stop=False)).alias("term"))
+    return d.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+
+
+SQL["T1_tokens"] = f"SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({WORDS}) AS term FROM documents) GROUP BY doc_id, term"
+
+
+@register("T2_stopwords", f"SELECT doc_id, len({TERMS}) AS kept, len({WORDS}) AS every FROM documents")
+def t2(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(texts.tokens(F.col("text"))).cast("long").alias("kept"), F.size(texts.tokens(F.col("text"), stop=False)).cast("long").alias("every"))
+
+
+@register("T3_stemmed_terms")
+def t3(spark, sf):
+    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.explode(texts.tokens(F.col("text"), stem=True)).alias("term"))
+    return d.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
+
+
+@register("T4_postings", f"SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY ALL")
+def t4(spark, sf):
+    return bm25.postings(table(spark, sf, "documents"), "doc_id", F.col("text"))[0]
+
+
+SQL["T4_postings"] = f"SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY term, doc_id"
+
+
+@register("T4_doc_lengths", f"SELECT doc_id AS id, len({TERMS}) AS dl FROM documents WHERE len({TERMS}) > 0")
+def t4_dl(spark, sf):
+    return bm25.postings(table(spark, sf, "documents"), "doc_id", F.col("text"))[1]
+
+
+@register("T5_postings_delta", f"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE lang <> 'de' AND lang <> 'fr' UNION ALL SELECT doc_id, source AS text FROM documents WHERE lang = 'fr')
+SELECT term, id, count(*) AS tf FROM (SELECT doc_id AS id, unnest({TERMS}) AS term FROM d) GROUP BY term, id""")
+def t5(spark, sf):
+    """French documents got their source as text, German ones are gone."""
+    docs = table(spark, sf, "documents")
+    old = bm25.postings(docs, "doc_id", F.col("text"))
+    new = bm25.postings(docs.where("lang = 'fr'"), "doc_id", F.col("source"))
+    return bm25.updated(old, docs.where("lang in ('fr', 'de')").select(F.col("doc_id").alias("id")), new)[0]
+
+
+def bm25_sql(df: str) -> str:
+    asked = texts.query_terms(ASK)
+    parts = []
+    for t in dict.fromkeys(asked):
+        tf = f"len(list_filter(t, lambda w: w = '{t}'))"
+        held = "1" if df == "one" else f"(SELECT count(*) FROM d WHERE list_contains(t, '{t}'))"
+        parts.append(f"{asked.count(t)} * ln((n - {held} + 0.5) / ({held} + 0.5) + 1) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * len(t) / a))")
+    anyof = " OR ".join(f"list_contains(t, '{t}')" for t in dict.fromkeys(asked))
+    return f"""d AS (SELECT doc_id, {TERMS} AS t FROM documents),
+s AS (SELECT count(*) AS n, greatest(1.0, avg(len(t))) AS a FROM d WHERE len(t) > 0),
+b AS (SELECT doc_id, {' + '.join(parts)} AS score, {anyof} AS hit FROM d, s)"""
+
+
+def ranked(spark: SparkSession, sf: str, request: dict, docs: DataFrame | None = None, extra: tuple[str, ...] = (), stats: DataFrame | None = None, **settings) -> DataFrame:
+    """The final rows of a query with rounded scores, ordered by these."""
+    docs = table(spark, sf, "documents") if docs is None else docs
+    query = parse_query(request)
+    how = plans.Settings(id_col="doc_id", **settings)
+    rows = plans.scored(docs, query, how, stats).withColumn("dist", F.round("dist", DIGITS) + 0.0)
+    return rows.orderBy(*plans.final_order(docs, query, "doc_id")).limit(query.top_k).select("doc_id", "dist", *extra)
+
+
+@register("T7_bm25_compat", f"WITH {bm25_sql('one')} SELECT doc_id, round(score, 6) AS dist FROM b WHERE hit ORDER BY dist DESC, doc_id LIMIT 20")
+def t7(spark, sf):
+    return ranked(spark, sf, {"rank_by": ["BM25", "text", ASK], "top_k": 20})
+
+
+@register("T6_bm25_corpus_df", f"WITH {bm25_sql('corpus')} SELECT doc_id, round(score, 6) AS dist FROM b WHERE hit ORDER BY dist DESC, doc_id LIMIT 20")
+def t6(spark, sf):
+    return ranked(spark, sf, {"rank_by": ["BM25", "text", ASK], "top_k": 20}, df="corpus")
+
+
+@register("T6_bm25_postings", f"WITH {bm25_sql('corpus')} SELECT doc_id AS id, round(score, 6) AS score FROM b WHERE hit")
+def t6_postings(spark, sf):
+    tf, dl = bm25.postings(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return bm25.ranked_postings(tf, dl, ASK).select("id", F.round("score", DIGITS).alias("score"))
+
+
+@register("T8_candidates", f"WITH {bm25_sql('one')} SELECT doc_id FROM b WHERE hit")
+def t8(spark, sf):
+    d = terms_of(table(spark, sf, "documents"))
+    return d.where(bm25.holds_any(F.col("terms"), texts.query_terms(ASK))).select("doc_id")
+
+
+@register("T9_full_scan", f"WITH {bm25_sql('one')} SELECT doc_id, round(score, 6) AS dist FROM b WHERE score > 0")
+def t9(spark, sf):
+    d = terms_of(table(spark, sf, "documents"))
+    n, avgdl, _ = bm25.statistics(d, F.col("terms"))
+    return d.select("doc_id", F.round(bm25.score(F.col("terms"), texts.query_terms(ASK), n, avgdl), DIGITS).alias("dist")).where("dist > 0")
+
+
+@register("T10_all_strings", "SELECT doc_id, concat_ws(' ', text, lang, source) AS t FROM documents")
+def t10(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", plans.indexed_text(d, "", "doc_id").alias("t"))
+
+
+# ---- hybrid ----
+
+
+def hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return table(spark, sf, "documents").join(e, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id")
+
+
+def hybrid_sql(combine: str, keep: str, where: str = "true", cand: str = "hit OR embedding IS NOT NULL", order: str = "", limit: int = 10, extra: str = "") -> str:
+    return f"""
+WITH {bm25_sql('one')},
+h AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, e.label, b.score AS bm, list_cosine_similarity(e.embedding::DOUBLE[], {Q0}) AS vs
+      FROM documents d JOIN b USING (doc_id) LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE ({cand}) AND ({where})),
+m AS (SELECT min(bm) AS b0, max(bm) AS b1, min(vs) AS v0, max(vs) AS v1 FROM h),
+x AS (SELECT h.*, (bm - b0) / (b1 - b0) AS nb, coalesce((vs - v0) / (v1 - v0), 0) AS nv FROM h, m),
+f AS (SELECT *, round({combine}, 6) AS dist FROM x WHERE {keep})
+SELECT doc_id, dist{extra} FROM f ORDER BY dist DESC, {order}doc_id LIMIT {limit}"""
+
+
+def sides(spark: SparkSession, sf: str) -> tuple[list, list]:
+    return ["BM25", "text", ASK], ["vector", "ANN", "embedding", vector_of(spark, sf)]
+
+
+SUM_KEEP = "nb + nv > 0 OR bm > 0 OR vs > 0"
+
+
+@register("H1_candidates_union", f"WITH {bm25_sql('one')} SELECT b.doc_id FROM b LEFT JOIN embeddings e ON b.doc_id = e.vec_id WHERE hit OR e.vec_id IS NOT NULL")
+def h1(spark, sf):
+    d = hybrid(spark, sf)
+    text, vector = sides(spark, sf)
+    rank = parse_query({"rank_by": ["Sum", text, vector]}).rank
+    flags = [bm25.holds_any(texts.tokens(F.col("text")), texts.query_terms(ASK)), F.col("embedding").isNotNull()]
+    return d.where(fusion.candidate(rank, flags)).select("doc_id")
+
+
+@register("H2_minmax", "WITH m AS (SELECT min(n_chars) AS a, max(n_chars) AS b FROM documents) SELECT doc_id, round((n_chars - a)::DOUBLE / (b - a), 6) AS dist FROM documents, m")
+def h2(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("s"))
+    return fusion.normalised(d, ["s"]).select("doc_id", F.round("_n_s", DIGITS).alias("dist"))
+
+
+@register("H3_sum", hybrid_sql("nb + nv", SUM_KEEP))
+def h3(spark, sf):
+    return ranked(spark, sf, {"rank_by": ["Sum", *sides(spark, sf)]}, hybrid(spark, sf), stats=table(spark, sf, "documents"))
+
+
+@register("H3_sum_filtered", hybrid_sql("nb + nv", SUM_KEEP, "lang IN ('en', 'de') AND n_chars > 300", order="n_chars DESC, ", extra=", n_chars"))
+def h3_filtered(spark, sf):
+    request = {"rank_by": ["Sum", *sides(spark, sf)], "filters": ["And", [["lang", "In", ["en", "de"]], ["n_chars", "Gt", 300]]], "order_by": ["n_chars", "desc"]}
+    return ranked(spark, sf, request, hybrid(spark, sf), ("n_chars",), table(spark, sf, "documents"))
+
+
+@register("H4_product", hybrid_sql("nb * nv", "nb * nv > 0", cand="hit AND embedding IS NOT NULL"))
+def h4(spark, sf):
+    return ranked(spark, sf, {"rank_by": ["Product", *sides(spark, sf)]}, hybrid(spark, sf), stats=table(spark, sf, "documents"))
+
+
+@register("H5_nested", f"""
+WITH {bm25_sql('one')},
+h AS (SELECT d.doc_id, b.score AS bm, list_cosine_similarity(e.embedding::DOUBLE[], {Q0}) AS vs
+      FROM documents d JOIN b USING (doc_id) LEFT JOIN embeddings e ON d.doc_id = e.vec_id WHERE hit OR e.embedding IS NOT NULL),
+m AS (SELECT min(bm) AS b0, max(bm) AS b1, min(vs) AS v0, max(vs) AS v1 FROM h),
+x AS (SELECT h.*, (bm - b0) / (b1 - b0) AS nb, coalesce((vs - v0) / (v1 - v0), 0) AS nv FROM h, m),
+p AS (SELECT *, CASE WHEN nb * nv > 0 THEN nb * nv END AS pr FROM x),
+n AS (SELECT min(pr) AS p0, max(pr) AS p1 FROM p),
+f AS (SELECT doc_id, nb + coalesce((pr - p0) / (p1 - p0), 0) AS s, bm, pr FROM p, n)
+SELECT doc_id, round(s, 6) AS dist FROM f WHERE s > 0 OR bm > 0 OR pr > 0 ORDER BY dist DESC, doc_id LIMIT 15""")
+def h5(spark, sf):
+    text, vector = sides(spark, sf)
+    return ranked(spark, sf, {"rank_by": ["Sum", text, ["Product", text, vector]], "top_k": 15}, hybrid(spark, sf), stats=table(spark, sf, "documents"))
+
+
+SQL["H5_nested"] = SQL["H5_nested"].replace("WHERE hit OR e.embedding IS NOT NULL", "WHERE hit")
+
+
+@register("H7_order_by_desc_nulls", f"SELECT doc_id, 1.0::DOUBLE AS dist, quality FROM {RATED} ORDER BY quality DESC NULLS LAST, doc_id LIMIT 600")
+def h7(spark, sf):
+    docs = rated(spark, sf).withColumn("dist", F.lit(1.0))
+    query = parse_query({"rank_by": ["BM25", "text", "x"], "order_by": ["quality", "desc"], "top_k": 600})
+    return docs.orderBy(*plans.final_order(docs, query, "doc_id")).limit(600).select("doc_id", "dist", "quality")
+
+
+@register("H7_order_by_asc_nulls", f"SELECT doc_id, quality FROM {RATED} ORDER BY quality ASC NULLS FIRST, doc_id LIMIT 700")
+def h7_asc(spark, sf):
+    docs = rated(spark, sf).withColumn("dist", F.lit(1.0))
+    query = parse_query({"rank_by": ["BM25", "text", "x"], "order_by": ["quality", "asc"], "top_k": 700})
+    return docs.orderBy(*plans.final_order(docs, query, "doc_id")).limit(700).select("doc_id", "quality")
+
+
+@register("H8_topk", f"WITH {bm25_sql('one')} SELECT doc_id, round(score, 6) AS dist FROM b WHERE hit ORDER BY dist DESC, doc_id LIMIT 1200")
+def h8(spark, sf):
+    return ranked(spark, sf, {"rank_by": ["BM25", "text", ASK], "top_k": 1200})
+
+
+@register("H9_missing_vectors", hybrid_sql("nb + nv", SUM_KEEP, "d.doc_id >= 400", limit=50))
+def h9(spark, sf):
+    return ranked(spark, sf, {"rank_by": ["Sum", *sides(spark, sf)], "filters": ["doc_id", "Gte", 400], "top_k": 50}, hybrid(spark, sf), stats=table(spark, sf, "documents"))
+
+
+@register("H10_pool_candidates")
+def h10(spark, sf):
+    return ranked(spark, sf, {"rank_by": ["Sum", *sides(spark, sf)]}, hybrid(spark, sf), stats=table(spark, sf, "documents"), candidates="pool")
+
+
+@register("P1_projection", f"WITH {bm25_sql('one')} SELECT doc_id, round(score, 6) AS dist, lang FROM b JOIN documents USING (doc_id) WHERE hit ORDER BY dist DESC, doc_id LIMIT 10")
+def p1(spark, sf):
+    docs = table(spark, sf, "documents")
+    query = parse_query({"rank_by": ["BM25", "text", ASK], "include_attributes": ["lang"]})
+    return plans.compiled(docs, query, plans.Settings(id_col="doc_id")).withColumn("dist", F.round("dist", DIGITS))
+
+
+@register("P2_vectors_left_out", f"SELECT vec_id, {COS} AS dist, label FROM embeddings ORDER BY dist DESC, vec_id LIMIT 10")
+def p2(spark, sf):
+    query = parse_query({"rank_by": ["vector", "ANN", "embedding", vector_of(spark, sf)]})
+    return plans.compiled(table(spark, sf, "embeddings"), query, plans.Settings(id_col="vec_id")).withColumn("dist", F.round("dist", DIGITS))
+
+
+@register("P3_base64_vectors")
+def p3(spark, sf):
+    query = parse_query({"rank_by": ["vector", "ANN", "embedding", vector_of(spark, sf)], "include_vectors": True, "vector_encoding": "base64"})
+    return plans.compiled(table(spark, sf, "embeddings"), query, plans.Settings(id_col="vec_id"))
+
+
+# ---- sources and sinks ----
+
+
+@register("S2_columns_ingest", "SELECT vec_id AS id, label FROM embeddings")
+def s2(spark, sf):
+    """Columns as arrays, expanded to rows."""
+    packed = table(spark, sf, "embeddings").groupBy((F.col("vec_id") % 16).alias("g")).agg(F.collect_list("vec_id").alias("id"), F.collect_list("label").alias("label"))
+    return expanded(packed.select("id", "label"))
+
+
+@register("S7_export_page", "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 250")
+def s7(spark, sf):
+    return page_rows(table(spark, sf, "documents").drop("text"), 100, 250, "doc_id")
+
+
+@register("S8_ndjson", """SELECT '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}' AS line FROM conversations""")
+def s8(spark, sf):
+    return ndjson(table(spark, sf, "conversations").select("conv_id", "turn", "role"))
+
+
+@register("S12_row_counts", "SELECT count(*) AS approx_row_count, max(seq) AS commit_seq FROM (SELECT event_id // 100 + 1 AS seq FROM events)")
+def s12(spark, sf):
+    return change_log(spark, sf).agg(F.count("*").alias("approx_row_count"), F.max("seq").alias("commit_seq"))
+
+
+@register("S5_checked_batches", "SELECT event_id // 100 + 1 AS seq, count(*) AS n FROM events GROUP BY 1 HAVING seq <> 3")
+def s5(spark, sf):
+    """Batch 3 has a wrong checksum and is skipped."""
+    log = change_log(spark, sf)
+    sums = logs.signed(log).withColumn("crc32", F.when(F.col("seq") == 3, F.col("crc32") + 1).otherwise(F.col("crc32")))
+    return logs.verified(log, sums, "skip").groupBy("seq").agg(F.count("*").alias("n"))
+
+
+# ---- the log ----
+
+LOG = """
+log AS (SELECT event_id // 100 + 1 AS seq, CASE event_type WHEN 'error' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS ord, event_id AS pos,
+        user_id AS id, event_type AS op, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+cut AS (SELECT max(seq) - 5 AS c FROM log)"""
+
+
+def state_sql(where: str = "true", upto: str = "true", select: str = "user_id, value, k, last_seq", name: str = "st") -> str:
+    return f"""
+WITH {LOG},
+o AS (SELECT log.*, row_number() OVER (ORDER BY seq, ord, pos) AS o FROM log, cut WHERE {upto}),
+r AS (SELECT id, max(o) AS ro, arg_max(op, o) AS rop FROM o WHERE ord < 2 GROUP BY id),
+live AS (SELECT o.* FROM o JOIN r USING (id) WHERE rop = 'signup' AND o >= ro),
+st AS (SELECT id AS user_id, arg_max(value, o) FILTER (WHERE op <> 'view') AS value, arg_max(k, o) FILTER (WHERE op <> 'click') AS k, max(seq) AS last_seq FROM live GROUP BY id)
+SELECT {select} FROM {name}, cut WHERE {where}"""
+
+
+def change_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a log: a signup upserts, an error deletes, all else patches."""
+    e = table(spark, sf, "events")
+    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "upsert").otherwise("patch")
+    value, k = F.col("value").cast("string"), F.get_json_object(F.col("props").cast("string"), "$.k")
+    kind = F.col("event_type")
+    attrs = F.when(kind == "view", F.create_map(F.lit("k"), k)).when(kind == "click", F.create_map(F.lit("value"), value)).when(kind != "error", F.create_map(F.lit("value"), value, F.lit("k"), k))
+    return e.select((F.floor(F.col("event_id") / 100) + 1).cast("long").alias("seq"), logs.ord_of(op).alias("ord"), F.col("event_id").alias("pos"), op.alias("op"), F.col("user_id").cast("string").alias("id"), attrs.alias("attrs"))
+
+
+def users(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("id").cast("long").alias("user_id"), F.element_at("attrs", F.lit("value")).cast("double").alias("value"), F.element_at("attrs", F.lit("k")).cast("long").alias("k"), F.col("_last_seq").alias("last_seq"))
+
+
+def cut_of(log: DataFrame) -> int:
+    return log.agg(F.max("seq")).first()[0] - 5
+
+
+@register("W1_upsert_lww", f"WITH {LOG} SELECT id AS user_id, arg_max(value, seq * 1000000000 + pos) AS value FROM log WHERE op = 'signup' GROUP BY id")
+def w1(spark, sf):
+    return users(logs.folded(change_log(spark, sf).where("op = 'upsert'"))).select("user_id", "value")
+
+
+@register("W2_patch_merge", state_sql(select="user_id, value, k"))
+def w2(spark, sf):
+    return users(logs.folded(change_log(spark, sf))).select("user_id", "value", "k")
+
+
+@register("W3_delete", f"WITH {LOG}, r AS (SELECT id, arg_max(op, seq * 1000000000000 + ord * 1000000000 + pos) AS op FROM log WHERE ord < 2 GROUP BY id) SELECT id AS user_id FROM r WHERE op = 'error'")
+def w3(spark, sf):
+    """Ids whose last reset is a delete."""
+    log = change_log(spark, sf)
+    gone = log.where("op <> 'patch'").select("id").distinct().join(logs.folded(log), "id", "left_anti")
+    return gone.select(F.col("id").cast("long").alias("user_id"))
+
+
+@register("W4_batch_order", f"WITH {LOG} SELECT seq, pos, row_number() OVER (PARTITION BY seq ORDER BY ord, pos) AS place FROM log")
+def w4(spark, sf):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("seq").orderBy("ord", "pos")).cast("long")
+    return change_log(spark, sf).select("seq", "pos", place.alias("place"))
+
+
+@register("W5_delete_by_filter_capped", "SELECT doc_id FROM documents WHERE lang = 'en' AND n_chars < 2000 ORDER BY doc_id LIMIT 100")
+def w5(spark, sf):
+    return writes.resolved(table(spark, sf, "documents"), ["And", [["lang", "Eq", "en"], ["n_chars", "Lt", 2000]]], 100, True, "doc_id")[0]
+
+
+@register("W6_patch_by_filter", "SELECT doc_id, CASE WHEN source = 'src0' THEN 'hot' ELSE lang END AS lang FROM documents")
+def w6(spark, sf):
+    """A patch of one attribute for all rows of a source, folded into the documents."""
+    docs = table(spark, sf, "documents")
+    ids, _ = writes.resolved(docs, ["source", "Eq", "src0"], 10**9, False, "doc_id")
+    base = docs.select(F.lit(1).cast("long").alias("seq"), F.lit(1).alias("ord"), F.col("doc_id").alias("pos"), F.lit("upsert").alias("op"), F.col("doc_id").cast("string").alias("id"), F.create_map(F.lit("lang"), F.col("lang")).alias("attrs"))
+    patch = ids.select(F.lit(2).cast("long").alias("seq"), F.lit(2).alias("ord"), F.col("doc_id").alias("pos"), F.lit("patch").alias("op"), F.col("doc_id").cast("string").alias("id"), F.create_map(F.lit("lang"), F.lit("hot")).alias("attrs"))
+    return logs.folded(base.union(patch)).select(F.col("id").cast("long").alias("doc_id"), F.element_at("attrs", F.lit("lang")).alias("lang"))
+
+
+def shifted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and incoming rows whose ids run half beyond them."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    half = docs.agg(F.max("doc_id")).first()[0] // 2
+    return docs, docs.select((F.col("doc_id") + half).alias("doc_id"), "lang", "n_chars")
+
+
+NEW = "(SELECT doc_id + (SELECT max(doc_id) // 2 FROM documents) AS doc_id, lang, n_chars FROM documents)"
+
+
+@register("W7_upsert_newer", f"SELECT n.doc_id, n.lang, n.n_chars FROM {NEW} n LEFT JOIN documents c USING (doc_id) WHERE c.doc_id IS NULL OR c.n_chars < n.n_chars")
+def w7(spark, sf):
+    return writes.applied("upsert", *shifted(spark, sf), ["n_chars", "Lt", {"$ref_new": "n_chars"}], "doc_id")
+
+
+@register("W7_insert_if_absent", f"SELECT n.doc_id, n.lang, n.n_chars FROM {NEW} n LEFT JOIN documents c USING (doc_id) WHERE c.doc_id IS NULL")
+def w7_absent(spark, sf):
+    return writes.applied("upsert", *shifted(spark, sf), ["id", "Eq", None], "doc_id")
+
+
+@register("W8_patch_cond", f"SELECT n.doc_id, n.lang, n.n_chars FROM {NEW} n JOIN documents c USING (doc_id) WHERE c.lang <> n.lang")
+def w8(spark, sf):
+    return writes.applied("patch", *shifted(spark, sf), ["lang", "Ne", {"$ref_new": "lang"}], "doc_id")
+
+
+@register("W9_delete_cond", f"SELECT n.doc_id FROM {NEW} n JOIN documents c USING (doc_id) WHERE c.n_chars > 1000")
+def w9(spark, sf):
+    return writes.applied("delete", *shifted(spark, sf), ["And", [["n_chars", "Gt", 1000], ["lang", "Ne", {"$ref_new": "lang"}]]], "doc_id")
+
+
+@register("W11_affected", f"WITH {LOG} SELECT seq, count(*) FILTER (WHERE ord = 0) AS rows_deleted, count(*) FILTER (WHERE ord = 1) AS rows_upserted, count(*) FILTER (WHERE ord = 2) AS rows_patched FROM log GROUP BY seq")
+def w11(spark, sf):
+    n = lambda op: F.count(F.when(F.col("op") == op, 1))
+    return change_log(spark, sf).groupBy("seq").agg(n("delete").alias("rows_deleted"), n("upsert").alias("rows_upserted"), n("patch").alias("rows_patched"))
+
+
+UUID = "substr(md5(event_id::VARCHAR), 1, 8) || '-' || substr(md5(event_id::VARCHAR), 9, 4) || '-' || substr(md5(event_id::VARCHAR), 13, 4) || '-' || substr(md5(event_id::VARCHAR), 17, 4) || '-' || substr(md5(event_id::VARCHAR), 21)"
+
+
+@register("W12_normalised_values", f"SELECT event_id, {UUID} AS tenant, strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%dT%H:%M:%S.%f') || '000Z' AS at FROM events")
+def w12(spark, sf):
+    e = table(spark, sf, "events")
+    local = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+02:00"))
+    return e.select("event_id", uuids(F.upper(F.md5(F.col("event_id").cast("string").cast("binary")))).alias("tenant"), datetimes(local).alias("at"))
+
+
+@register("W13_group_commit_seq", "SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 512 + 1 AS seq FROM events")
+def w13(spark, sf):
+    return logs.flush_seq(table(spark, sf, "events").select("event_id"), ["event_id"])
+
+
+@register("L1_state_at_seq", state_sql(upto="seq <= c"))
+def l1(spark, sf):
+    log = change_log(spark, sf)
+    return users(logs.folded(log, cut_of(log)))
+
+
+@register("L1_snapshot_replay", state_sql(select="user_id, value, k"))
+def l1_replay(spark, sf):
+    log = change_log(spark, sf)
+    at, last = cut_of(log), cut_of(log) + 5
+    return users(logs.replayed(logs.folded(log, at).select("id", "attrs"), at, log, last)).select("user_id", "value", "k")
+
+
+@register("L2_last_seq", state_sql(select="user_id, last_seq"))
+def l2(spark, sf):
+    return users(logs.folded(change_log(spark, sf))).select("user_id", "last_seq")
+
+
+@register("L3_strong", state_sql())
+def l3(spark, sf):
+    """Documents of the index at the cursor that the tail leaves alone, and the tail's live ones."""
+    log = change_log(spark, sf)
+    cursor = cut_of(log)
+    tail = logs.touched(log, cursor)
+    indexed = logs.folded(log, cursor).join(tail, "id", "left_anti")
+    return users(indexed.unionByName(logs.folded(log).join(tail, "id", "left_semi")))
+
+
+@register("L4_eventual", state_sql("last_seq <= c"))
+def l4(spark, sf):
+    log = change_log(spark, sf)
+    return users(logs.eventual(logs.folded(log), cut_of(log)))
+
+
+@register("L5_touched", f"WITH {LOG} SELECT DISTINCT id AS user_id FROM log, cut WHERE seq > c")
+def l5(spark, sf):
+    log = change_log(spark, sf)
+    return logs.touched(log, cut_of(log)).select(F.col("id").cast("long").alias("user_id"))
+
+
+@register("L8_compaction", state_sql(upto="seq <= c", select="user_id, value, k"))
+def l8(spark, sf):
+    """The snapshot that compaction writes at the cursor."""
+    log = change_log(spark, sf)
+    at, _ = logs.compaction_plan(cut_of(log), cut_of(log), 0, least=0)
+    return users(logs.folded(log, at)).select("user_id", "value", "k")
+
+
+@register("L9_lag", f"WITH {LOG} SELECT max(seq) AS commit_seq, max(seq) - 5 AS index_cursor, 5::BIGINT AS lag, 'catching_up' AS status FROM log")
+def l9(spark, sf):
+    return logs.lag(change_log(spark, sf).agg(F.max("seq").alias("commit_seq"), (F.max("seq") - 5).alias("index_cursor")))
+
+
+@register("L7_indexing_order", """
+SELECT event_type AS namespace, row_number() OVER (ORDER BY count(*) DESC, event_type) AS place, 8::BIGINT AS slice FROM events GROUP BY event_type""")
+def l7(spark, sf):
+    lags = {r[0]: r[1] for r in table(spark, sf, "events").groupBy("event_type").count().collect()}
+    rows = [(n, i, s) for i, (n, s) in enumerate(logs.indexing_order(lags), 1)]
+    return spark.createDataFrame(rows, "namespace string, place long, slice long")
+
+
+# ---- evaluation ----
+
+SEED = 0
+for _b in b"embeddings":
+    SEED = ((SEED or 0xCBF29CE484222325) ^ _b) * 0x100000001B3 & ivf.MASK
+
+
+@register("E1_brute_side", f"""
+WITH RECURSIVE g AS (SELECT 1 AS i, ({SEED}::UHUGEINT * 6364136223846793005::UHUGEINT + 1442695040888963407::UHUGEINT) % 18446744073709551616::UHUGEINT AS s
+  UNION ALL SELECT i + 1, (s * 6364136223846793005::UHUGEINT + 1442695040888963407::UHUGEINT) % 18446744073709551616::UHUGEINT FROM g WHERE i < 200),
+p AS (SELECT s % (SELECT count(*) FROM embeddings)::UHUGEINT AS at, min(i) AS i FROM g GROUP BY 1 ORDER BY 2 LIMIT 25),
+e AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS at FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS dist FROM e a JOIN p ON a.at = p.at, e b),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, dist, rank::INT AS rank FROM r WHERE rank <= 10""")
+def e1(spark, sf):
+    v = table(spark, sf, "embeddings")
+    ids = [r[0] for r in v.select("vec_id").orderBy("vec_id").collect()]
+    picked = [ids[i] for i in ivf.recall_sample(len(ids), 25, "embeddings")]
+    asked = v.where(F.col("vec_id").isin(picked)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return knn.batch(v, asked, 10, "vec_id", "embedding", "query_id", "query", digits=DIGITS)
+
+
+@register("E2_filtered_recall")
+def e2(spark, sf):
+    v = table(spark, sf, "embeddings")
+    index = ivf.built(v, "vec_id", "embedding")
+    return spark.createDataFrame([ivf.recall(index, v.where("label < 5"), "vec_id", "embedding", "embeddings")])
+
+
+@register("E3_candidate_stats", f"WITH {bm25_sql('one')} SELECT count(*) FILTER (WHERE hit) AS candidates, count(*) AS exhaustive, round(count(*) FILTER (WHERE hit) / count(*), 6) AS ratio FROM b")
+def e3(spark, sf):
+    d = terms_of(table(spark, sf, "documents"))
+    hit = bm25.holds_any(F.col("terms"), texts.query_terms(ASK))
+    return d.agg(F.count(F.when(hit, 1)).alias("candidates"), F.count("*").alias("exhaustive"), F.round(F.count(F.when(hit, 1)) / F.count("*"), DIGITS).alias("ratio"))
+
+
+@register("E4_billing", "SELECT count(*) AS docs, greatest(1, sum(strlen(doc_id::VARCHAR) + strlen(lang) + 2 + strlen(source) + 2 + strlen(n_chars::VARCHAR)) // count(*))::BIGINT AS avg_doc_bytes, greatest(1, sum(strlen(doc_id::VARCHAR) + strlen(lang) + 2 + strlen(source) + 2 + strlen(n_chars::VARCHAR)) // count(*))::BIGINT * 64 AS queried_bytes FROM documents")
+def e4(spark, sf):
+    return measures.billed(table(spark, sf, "documents").drop("text"), 64, "doc_id")
+
+
+@register("E6_overlap", f"""
+WITH a AS (SELECT vec_id FROM embeddings ORDER BY {COS} DESC, vec_id LIMIT 10),
+b AS (SELECT vec_id FROM embeddings, (SELECT {Q0} AS v) q ORDER BY round(-{L2}, 6) DESC, vec_id LIMIT 10)
+SELECT count(*) AS common, count(*) / 10.0::DOUBLE AS overlap FROM a JOIN b USING (vec_id)""")
+def e6(spark, sf):
+    return measures.overlap(v4(spark, sf), v4_l2(spark, sf), 10, "vec_id")
+
+
+@register("E7_synth_corpus", """
+SELECT 'doc-' || i AS id, 'cat-' || (i % 8) AS category, (i % 100)::INT AS priority, 'stressterm document number ' || i AS text,
+       round(list_sum([sin((i * 128 + d) * 0.001) for d in range(128)]), 6) AS total FROM range(2000) t(i)""")
+def e7(spark, sf):
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return measures.synthetic(spark, 2000).select("id", "category", "priority", "text", F.round(total, DIGITS).alias("total"))
+
+
+@register("E8_scrambled_corpus")
+def e8(spark, sf):
+    return measures.scrambled(spark, 2000)
