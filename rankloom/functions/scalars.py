@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STAMP = re.compile(r"(\d{4})-(\d\d)-(\d\d)[Tt ](\d\d):(\d\d):(\d\d)(?:\.(\d+))?(?:([Zz])|([+-])(\d\d):(\d\d))")
 
@@ -28,7 +29,7 @@ def canonical_datetime(raw: str) -> str:
     return f"{t:%Y-%m-%dT%H:%M:%S}.{(frac or '')[:9]:0<9}Z".rjust(30, "0")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _datetimes(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else canonical_datetime(x))
 

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stem import stem as porter2
 
@@ -21,12 +22,12 @@ WORD = r"([\p{IsAlphabetic}\p{N}]+)"
 SUSPECT = r"[ ¨ª¯²-µ¸-º¼-¾ĲĳĿŀŉſ]|[^\u0000-ſ]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else [porter2(w) for w in x])
 
