@@ -5,7 +5,7 @@ a shared-prefix trie, weight -score) and byte fallback for characters outside th
 and the tropical-semiring shortest path gives its pieces. For a BPE model, additive weights alone don't give the merge
 order, so the pieces machine remembers the last piece: an arc after another is there only if the two stand side by
 side when merged by rank alone. A sequence is the BPE result exactly if all its neighbours are such pairs, so one path
-is left at each position. Where no piece reaches over a place, such as the start of a run of white space marks, the composition is
+is left to each position, and a depth-first search finds it; unigram models take the least sum. Where no piece reaches over a place, such as the start of a run of white space marks, the composition is
 done, and remembered, per stretch between such places.
 """
 
@@ -107,16 +107,20 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """BPE by its definition: merge the neighbours of the best score, leftmost first."""
+        none, look = float("inf"), self.weight.get
         parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                w = self.weight.get(parts[i] + parts[i + 1])
-                if w is not None and (best is None or w < best):
-                    best, at = w, i
-            if at < 0:
+        costs = [look(a + b, none) for a, b in zip(parts, parts[1:])]
+        while costs:
+            least = min(costs)
+            if least == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = costs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del costs[i]
+            if i < len(costs):
+                costs[i] = look(parts[i] + parts[i + 1], none)
+            if i:
+                costs[i - 1] = look(parts[i - 1] + parts[i], none)
         return parts
 
     def _allowed(self, last: str, piece: str) -> bool:
@@ -129,31 +133,64 @@ class Transducer:
             found = self._beside[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return found
 
+    def _arcs(self, text: str, i: int) -> list[int]:
+        """Ends of the pieces that start at i, ascending; a character outside the pieces is an arc for byte fallback."""
+        trie, weight, n = self.trie, self.weight, len(text)
+        ends = [i + 1]
+        if text[i] not in trie:
+            return ends
+        j = i + 2
+        while j <= n:
+            piece = text[i:j]
+            if piece not in trie:
+                break
+            if piece in weight:
+                ends.append(j)
+            j += 1
+        return ends
+
     def path(self, text: str) -> list[str]:
         """Pieces on the shortest path of the composition with a normalised text."""
-        n, bpe, trie, weight, allowed = len(text), self.kind == BPE, self.trie, self.weight, self._allowed
-        cost: list[float | None] = [None] * (n + 1)
-        start, last = [0] * (n + 1), [""] * (n + 1)
-        cost[0] = 0.0
-        for i in range(n):
-            so_far, before = cost[i], last[i]
-            if so_far is None:
-                continue
-            j = i + 1
-            while j <= n:
+        return self._only_path(text) if self.kind == BPE else self._least_path(text)
+
+    def _only_path(self, text: str) -> list[str]:
+        """Depth first, longest arcs first: each position has one way to it, so a position left in vain stays dead."""
+        n, beside = len(text), self._beside
+        out: list[str] = []
+        stack: list[tuple[int, str, list[int]]] = []
+        dead: set[int] = set()
+        i, last, ends = 0, "", self._arcs(text, 0)
+        while True:
+            while ends:
+                j = ends.pop()
+                if j in dead:
+                    continue
                 piece = text[i:j]
-                if piece not in trie:
+                ok = beside.get((last, piece))
+                if ok if ok is not None else self._allowed(last, piece):
+                    out.append(piece)
+                    if j == n:
+                        return out
+                    stack.append((i, last, ends))
+                    i, last, ends = j, piece, self._arcs(text, j)
                     break
-                w = weight.get(piece)
-                if w is not None and (cost[j] is None or so_far + w < cost[j]) and (not bpe or allowed(before, piece)):
-                    cost[j], start[j], last[j] = so_far + w, i, piece
-                j += 1
-            char = text[i]
-            if char not in weight and (cost[i + 1] is None or so_far + self._worst < cost[i + 1]) and (not bpe or allowed(before, char)):
-                cost[i + 1], start[i + 1], last[i + 1] = so_far + self._worst, i, char
+            else:
+                dead.add(i)
+                i, last, ends = stack.pop()
+                out.pop()
+
+    def _least_path(self, text: str) -> list[str]:
+        n, weight = len(text), self.weight
+        cost: list[float] = [0.0] + [float("inf")] * n
+        start = [0] * (n + 1)
+        for i in range(n):
+            for j in self._arcs(text, i):
+                c = cost[i] + weight.get(text[i:j], self._worst)
+                if c < cost[j]:
+                    cost[j], start[j] = c, i
         out = []
         while n:
-            out.append(last[n])
+            out.append(text[start[n] : n])
             n = start[n]
         return out[::-1]
 
