@@ -1,14 +1,15 @@
 """Quality classifier: cumulative-link (proportional odds) regression on graded ratings.
 
 P(grade <= j) = sigmoid(theta_j - w.x) with one weight vector for all grades and ordered thresholds. x marks the
-hashed features of the whole text: its distinct words and the steps its style rates fall on. Features are picked by a
-first pass with an L1 penalty. Expected grade and the tail P(grade >= least) follow; selection takes rows
+hashed features of the whole text: its distinct words, their beginnings and the steps its style rates fall on.
+Features are screened and picked by an L1 penalty. Expected grade and the tail P(grade >= least) follow; selection takes rows
 whose tail reaches `cutoff`. Fitting looks at `max_train` labelled rows at most, chosen by hashed id; scoring at all.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import chain
 from math import exp
 
 import numpy as np
@@ -19,21 +20,29 @@ from pyspark.sql import functions as F
 
 from .common import WORDS, id_text, map_arrow, stable_fraction
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
+#: Lengths of the beginnings of words that are features.
+PREFIXES = (3, 4, 5, 6, 7)
 #: Labelled rows that fitting looks at, about; a bound on the model's data, not on what is scored.
-MAX_TRAIN = 20_000
-#: Least P(grade >= least) of what is kept. Texts without anything against them score well above it.
-CUTOFF = 0.75
+MAX_TRAIN = 10_000
+#: Least P(grade >= least) of what is kept. Texts with nothing against them score well above it.
+CUTOFF = 0.6
 
 
 class Features(dict):
-    """word -> bucket, remembered."""
+    """word -> buckets of the word and of its beginnings, remembered; `only`: None, or which buckets matter."""
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+    def __init__(self, only: np.ndarray | None = None):
+        super().__init__()
+        self.only = only
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 400_000:
             self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7) % BUCKETS
-        return h
+        names = [word, *(f"{word[:n]} *" for n in PREFIXES if n < len(word))]
+        own = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) % BUCKETS for x in names]
+        found = self[word] = tuple(own) if self.only is None else tuple(x for x in own if self.only[x])
+        return found
 
 
 def style(text: str, words: list[str], distinct: int) -> list[str]:
@@ -48,12 +57,14 @@ def style(text: str, words: list[str], distinct: int) -> list[str]:
     return [*out, f" size {size}", f" again {int(rates['again'] * 10)} {size}"]
 
 
-def features(text: str, buckets: Features) -> list[int]:
+def features(text: str, buckets: Features) -> list[int] | None:
+    """Distinct buckets of a text; None if it has no word."""
     words = WORDS.findall(text.lower())
     if not words:
-        return []
+        return None
     distinct = set(words)
-    return [*map(buckets.__getitem__, distinct), *map(buckets.__getitem__, style(text, words, len(distinct)))]
+    names = chain(distinct, style(text, words, len(distinct)))
+    return list(set(chain.from_iterable(map(buckets.__getitem__, names))))
 
 
 @dataclass(frozen=True)
@@ -129,30 +140,38 @@ def _scored(x: np.ndarray, grades: np.ndarray, w: np.ndarray, theta: np.ndarray,
     return w, theta
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, least_gain: float = 20, l2: float = 1e-5, rounds: int = 150, least_rows: int = 8, most: int = 500) -> Model:
-    """A first pass with an L1 penalty, under which a feature must account for about `least_gain` rows (a fortieth of few), picks `most`
-    features; a second fits these by Fisher scoring with a small L2 penalty only, so that rare but decisive words get
-    their full weight.
+def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, least_gain: float = 8, l2: float = 1e-5, rounds: int = 150, least_rows: int = 8, screened: int = 4000, most: int = 500) -> Model:
+    """Features of the largest score statistic at zero weights are screened; a pass with an L1 penalty, under which one
+    must account for about `least_gain` rows (a fortieth of few), picks at most `most`; Fisher scoring with a small L2
+    penalty fits these, so that rare but decisive words get their full weight.
 
     rows hold each text's distinct buckets; features of fewer than `least_rows` rows are left out.
     """
     k = max(1, top)
+    n = len(rows)
     share = np.array([(grades < j).mean() for j in range(1, k + 1)]).clip(0.005, 0.995)
     theta = np.log(share / (1 - share)) + 1e-3 * np.arange(k)
-    flat = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int32)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    c = np.r_[0, 1 / (1 + np.exp(-theta)), 1]
+    d = c * (1 - c)
+    pull = ((d[1:] - d[:-1]) / np.diff(c))[grades]
     seen = np.bincount(flat, minlength=BUCKETS)
-    used = np.flatnonzero((seen >= least_rows) & (seen < len(rows)))
-    at = np.full(BUCKETS, -1)
+    z = np.abs(np.bincount(flat, pull[doc], minlength=BUCKETS)) / np.sqrt(np.maximum(seen, 1))
+    z[(seen < least_rows) | (seen >= n)] = 0
+    used = np.sort(np.argsort(-z, kind="stable")[:screened])
+    used = used[z[used] > 0]
+    at = np.full(BUCKETS, -1, np.int32)
     at[used] = np.arange(len(used))
     col = at[flat]
-    w, theta = _descend(doc[col >= 0], col[col >= 0], len(used), grades, theta, min(least_gain / len(rows), 1 / 40), 0.0, rounds)
+    doc, col = doc[col >= 0], col[col >= 0]
+    w, theta = _descend(doc, col, len(used), grades, theta, min(least_gain / n, 1 / 40), 0.0, rounds)
     picked = np.sort(np.argsort(-np.abs(w), kind="stable")[:most])
     picked = picked[w[picked] != 0]
-    at = np.full(BUCKETS, -1)
-    at[used[picked]] = np.arange(len(picked))
-    x = np.zeros((len(rows), len(picked)))
-    x[doc[at[flat] >= 0], at[flat][at[flat] >= 0]] = 1
+    place = np.full(len(used) + 1, -1, np.int32)
+    place[picked] = np.arange(len(picked))
+    x = np.zeros((n, len(picked)))
+    x[doc[place[col] >= 0], place[col][place[col] >= 0]] = 1
     weights = np.zeros(BUCKETS, np.float32)
     weights[used[picked]], fitted = _scored(x, grades, w[picked], theta + 1e-6 * np.arange(k), l2)
     return Model(weights, fitted)
@@ -171,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str, top: int, id_col: str
     def run(batches):
         buckets = Features()
         for b in batches:
-            out = [np.array(features(t, buckets), np.int32) for t in b.column(1).to_pylist()]
+            out = [np.array(features(t, buckets) or [], np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([np.unique(x).tobytes() for x in out], pa.binary())], ["id", "grade", "x"])
 
     rows = id_text(docs, id_col, text_col).where("text is not null").join(some, "id")
@@ -187,17 +206,17 @@ def scored(docs: DataFrame, model: Model | None, least: int, id_col: str = "doc_
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m, buckets = known.value, Features()
-        w = m.weights.tolist() if m else []
+        m = known.value
+        buckets, w = (Features(m.weights != 0), m.weights) if m else (None, None)
         for b in batches:
             grades, tails = [], []
             for text in b.column(1).to_pylist():
-                own = set(features(text, buckets)) if m and text else ()
-                if not own:
+                own = features(text, buckets) if m and text else None
+                if own is None:
                     grades.append(None)
                     tails.append(None)
                     continue
-                each = m.tails(sum(map(w.__getitem__, own)))
+                each = m.tails(float(w[own].sum()))
                 grades.append(sum(each))
                 tails.append(each[least - 1])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grades, pa.float64()), pa.array(tails, pa.float64())], ["id", "expected_grade", "tail"])
@@ -225,12 +244,12 @@ def kept_rows(docs: DataFrame, model: Model | None, least: int, cutoff: float =
     def good(texts):
         import pandas as pd
 
-        m, buckets = known.value, Features()
-        w = m.weights.tolist()
+        m = known.value
+        buckets, w = Features(m.weights != 0), m.weights
         out = []
         for text in texts:
-            own = set(features(text, buckets)) if text else ()
-            out.append(bool(own) and m.tails(sum(map(w.__getitem__, own)))[least - 1] >= cutoff)
+            own = features(text, buckets) if text else None
+            out.append(own is not None and m.tails(float(w[own].sum()))[least - 1] >= cutoff)
         return pd.Series(out)
 
     return docs.where(good(F.col(text_col)))

@@ -1,7 +1,7 @@
 """Near-duplicate groups: 64-bit SimHash searched by the general pigeonhole principle with allotted thresholds.
 
 Fingerprints: the sign of the bit sums over a document's distinct words, and a second one over its distinct word pairs.
-Two documents match if the first differ in at most `tau` bits and the second, which verifies, in at most `tau_pairs`.
+Two documents match if the first differ in at most `tau` bits and both together, which verifies, in at most `tau_both`.
 
 Search: bits are reordered so that correlated ones share a partition. Thresholds e_i >= -1 with sum tau - m + 1 leave
 out no pair within tau; dynamic programming picks those of the least estimated probes and candidates, and the number
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from itertools import combinations
 from math import comb
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -76,7 +77,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def group_bits(bits: np.ndarray, m: int) -> list[list[int]]:
     """m partitions of the bit positions, correlated bits together: each grows from the strongest pair left."""
-    c = np.abs(np.nan_to_num(np.corrcoef(bits.astype(float).T), nan=0.0)) if len(bits) > 2 else np.zeros((BITS, BITS))
+    c = np.zeros((BITS, BITS))
+    if len(bits) > 2:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            c = np.abs(np.nan_to_num(np.corrcoef(bits.astype(float).T), nan=0.0))
     left, parts = set(range(BITS)), []
     for k in range(m):
         size = len(left) // (m - k)
@@ -168,7 +172,7 @@ def rotated(rows: np.ndarray, end: int) -> np.ndarray:
     return np.concatenate([((x << turn) | (x >> (np.uint64(BITS - 1) - turn) >> np.uint64(1)))[:, None], rows[:, 1:]], axis=1)
 
 
-def match_block(index: np.ndarray, probe: np.ndarray, width: int, low: int, prefix: int, e: int, tau: int, tau_pairs: int) -> tuple[np.ndarray, np.ndarray]:
+def match_block(index: np.ndarray, probe: np.ndarray, width: int, low: int, prefix: int, e: int, tau: int, tau_both: int) -> tuple[np.ndarray, np.ndarray]:
     """Stars over the verified pairs of ids between index and probe rows (fp, fp2, id), keys within e of one another.
 
     A key is the top `width` bits: a prefix, which all index rows share, and `low` bits below it.
@@ -198,9 +202,10 @@ def match_block(index: np.ndarray, probe: np.ndarray, width: int, low: int, pref
                 n = count[q]
                 rows = np.repeat(start[q] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 a, b = some[np.repeat(q, n)], index[rows]
-                ok = (np.bitwise_count(a[:, 0] ^ b[:, 0]) <= tau) & (a[:, 2] != b[:, 2])
-                a, b = a[ok], b[ok]
-                ok = np.bitwise_count(a[:, 1] ^ b[:, 1]) <= tau_pairs
+                bits = np.bitwise_count(a[:, 0] ^ b[:, 0])
+                ok = (bits <= tau) & (a[:, 2] != b[:, 2])
+                a, b, bits = a[ok], b[ok], bits[ok]
+                ok = bits + np.bitwise_count(a[:, 1] ^ b[:, 1]) <= tau_both
                 if ok.any():
                     out.append(_stars(a[ok, 2].view(np.int64), b[ok, 2].view(np.int64)))
                 at = to
@@ -209,7 +214,7 @@ def match_block(index: np.ndarray, probe: np.ndarray, width: int, low: int, pref
     return _stars(np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 10, tau_pairs: int = 17) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 11, tau_both: int = 28) -> DataFrame:
     """(doc_id, kept_doc_id): each document that is a copy, and the least id of its group, which stays.
 
     Groups are the connected components of the matches. Null or wordless texts and null ids are in no group; an id on
@@ -249,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                             got.append((i << 10 | v, True, rows[same].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got]), pa.array([g[2] for g in got], pa.binary())], ["g", "indexed", "rows"])
 
-    def search(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         i, v = int(key[0]) >> 10, int(key[0]) & 1023
         shift, width, e = spans[i]
         take = lambda flag: np.frombuffer(b"".join(pdf["rows"][pdf["indexed"] == flag]), np.uint64).reshape(-1, 3)
@@ -257,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not len(index):
             return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
         probe = take(False)
-        a, b = match_block(rotated(index, shift + width), rotated(probe, shift + width), width, width - p, v, e, tau, tau_pairs)
+        a, b = match_block(rotated(index, shift + width), rotated(probe, shift + width), width, width - p, v, e, tau, tau_both)
         return pd.DataFrame({"src": a, "dst": b})
 
     blobs = map_arrow(reps, route, "g int, indexed boolean, rows binary")
