@@ -6,6 +6,7 @@ nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -20,7 +21,8 @@ from .plans import query as plans
 from .plans.predicates import Scope, condition, truth
 from .plans.spec import parse_filter, parse_query
 from .sources import log as logs
-from .sources.namespace import expanded, ndjson, page_rows
+from .sources.namespace import Catalog, Namespace, expanded, ndjson, page_rows
+from .sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -503,6 +505,75 @@ def cut_of(log: DataFrame) -> int:
     return log.agg(F.max("seq")).first()[0] - 5
 
 
+def stored(spark: SparkSession, sf: str) -> Namespace:
+    """A namespace on disk that holds the change log."""
+    ns = Catalog(spark, f"{shared_dir(spark)}/ns-{uuid.uuid4().hex}").namespace("users")
+    ns.append_batches(change_log(spark, sf))
+    return ns
+
+
+@register("S1_row_upserts", "SELECT doc_id, lang, n_chars, quality FROM " + RATED)
+def s1(spark, sf):
+    """Rows with JSON attributes in, typed columns out; the types are inferred."""
+    docs = rated(spark, sf)
+    json = lambda c: F.get_json_object(F.to_json(F.struct(F.col(c).alias("v"))), "$.v")
+    attrs = F.map_filter(F.create_map(F.lit("lang"), F.concat(F.lit('"'), "lang", F.lit('"')), F.lit("n_chars"), json("n_chars"), F.lit("quality"), json("quality")), lambda _, v: v.isNotNull())
+    ns = Catalog(spark, f"{shared_dir(spark)}/ns-{uuid.uuid4().hex}").namespace("rows")
+    ns.append(docs.select(F.lit("upsert").alias("op"), F.col("doc_id").cast("string").alias("id"), attrs.alias("attrs"), F.col("doc_id").alias("pos")))
+    return ns.view().select(F.col("id").cast("long").alias("doc_id"), "lang", F.col("n_chars").cast("long").alias("n_chars"), F.col("quality").cast("int").alias("quality"))
+
+
+@register("S3_log_append", state_sql())
+def s3(spark, sf):
+    return users(stored(spark, sf).documents())
+
+
+@register("S4_log_scan", "SELECT event_id // 100 + 1 AS seq, event_id AS pos, user_id FROM events WHERE event_id // 100 + 1 BETWEEN 3 AND 7")
+def s4(spark, sf):
+    return stored(spark, sf).log(2).where("seq <= 7").select("seq", "pos", F.col("id").cast("long").alias("user_id"))
+
+
+@register("S6_snapshot", state_sql(select="user_id, value, k"))
+def s6(spark, sf):
+    """All documents once the log is compacted into a snapshot and what little follows it."""
+    ns = stored(spark, sf)
+    ns.indexed_to(ns.meta()["commit_seq"])
+    ns.compact()
+    return users(ns.documents()).select("user_id", "value", "k")
+
+
+@register("S10_copy", state_sql(select="user_id, value, k"))
+def s10(spark, sf):
+    """A copy, read after the source was emptied."""
+    ns = stored(spark, sf)
+    ns.catalog.copy("users", "twin")
+    gone = ns.documents().select(F.lit("delete").alias("op"), "id", F.lit(None).cast("map<string,string>").alias("attrs"), F.lit(0).alias("pos"))
+    ns.append(gone)
+    return users(ns.catalog.namespace("twin").documents()).select("user_id", "value", "k")
+
+
+@register("L6_stream_index", state_sql(select="user_id, value, k"))
+def l6(spark, sf):
+    """A table that followed the log as a stream, some batches at a time."""
+    from .streaming.indexing import TableIndex, follow
+
+    ns = stored(spark, sf)
+    index = TableIndex(ns, ns._path("table"), lambda docs: docs.select("id", "attrs", "_last_seq"))
+    follow(ns, ns._path("stream"), index.apply, files_per_trigger=max(1, ns.meta()["commit_seq"] // 3)).awaitTermination()
+    return users(index.table()).select("user_id", "value", "k")
+
+
+@register("W10_pending_writes", "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 1000 UNION ALL SELECT doc_id, n_chars + 1 AS n_chars FROM documents WHERE lang = 'en' AND n_chars < 1000")
+def w10(spark, sf):
+    """Conditions are judged by the state that earlier writes of the same flush left."""
+    docs = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "n_chars")
+    up = docs.where("n_chars < 1000").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"))
+    state = docs.join(up, "doc_id", "left_anti").unionByName(up)
+    late = up.select("doc_id", (F.col("n_chars") - 1).alias("n_chars"))
+    passed = writes.applied("upsert", state, late, ["n_chars", "Lt", {"$ref_new": "n_chars"}], "doc_id")
+    return state.join(passed, "doc_id", "left_anti").unionByName(passed)
+
+
 @register("W1_upsert_lww", f"WITH {LOG} SELECT id AS user_id, arg_max(value, seq * 1000000000 + pos) AS value FROM log WHERE op = 'signup' GROUP BY id")
 def w1(spark, sf):
     return users(logs.folded(change_log(spark, sf).where("op = 'upsert'"))).select("user_id", "value")

@@ -132,6 +132,19 @@ class Namespace:
         self._save(meta | {"commit_seq": seq})
         return seq
 
+    def append_batches(self, log: DataFrame) -> int:
+        """Commit a whole log whose batches are numbered onwards from the last one; each becomes a folder."""
+        meta = FRESH | (json.loads(self.files.read(self.name, "meta.json")) if self.files.exists(self.name, "meta.json") else {})
+        bounds = log.agg(F.min("seq"), F.max("seq")).first()
+        if bounds[0] is None:
+            return meta["commit_seq"]
+        if bounds[0] <= meta["commit_seq"]:
+            raise ValueError(f"batches up to {meta['commit_seq']} are committed")
+        rows = log.select("ord", "pos", "op", "id", "attrs", "seq")
+        rows.repartition("seq").write.mode("append").partitionBy("seq").parquet(self._path("log"))
+        self._save(meta | {"commit_seq": bounds[1]})
+        return bounds[1]
+
     def write(self, request: dict) -> dict:
         """One write: deletes, then upserts, then patches, whatever their order here; filters and conditions are judged by
         the state before it. Returns what was affected."""
