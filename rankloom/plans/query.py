@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
-from ..functions.text import all_text, query_terms, tokens
+from ..functions.text import SUSPECT, all_text, query_terms, tokens
 from ..operators import bm25
 from ..operators.fusion import candidate, fused
 from .predicates import Scope, condition, kind_of
@@ -67,6 +67,19 @@ def final_order(view: DataFrame, query: Query, id_col: str, score: str = "dist",
     return [*out, F.asc(f"`{id_col}`")]
 
 
+def may_hold(text: Column, terms: list[str], settings: Settings) -> Column:
+    """A test that every text with one of the terms passes, cheap as it cuts no words; stems are too short to be missed."""
+    if not terms:
+        return F.lit(False)
+    low = F.lower(text)
+    found = F.lit(False)
+    for t in terms:
+        found = found | low.contains(t[: max(1, len(t) - 1)] if settings.stem and t.endswith("i") else t)
+    if settings.normalise or any(not t.isascii() for t in terms):
+        found = found | text.rlike(SUSPECT)
+    return F.coalesce(found, F.lit(False))
+
+
 def check_dimensions(view: DataFrame, query: Query) -> None:
     """The query's vector fields must be vectors of the view."""
     for leaf in leaves(query.rank):
@@ -89,21 +102,26 @@ def scored(view: DataFrame, query: Query, settings: Settings = Settings(), stats
     base = view
     if where is not None:
         base = base.where(where)
-    flags, names = [], []
+    flags, names, hints = [], [], []
+    terms_cols, score_cols = {}, {}
     for i, leaf in enumerate(leaves(query.rank)):
         name = f"_raw_{i}"
         names.append(name)
         if isinstance(leaf, Text):
-            terms = tokens(indexed_text(view, leaf.field, settings.id_col), **how)
+            text = indexed_text(view, leaf.field, settings.id_col)
+            terms = tokens(text, **how)
             wanted = query_terms(leaf.query, settings.stop, settings.stem)
-            n, avgdl, df = bm25.statistics(stats_view if stats_view is not None else view, terms, list(dict.fromkeys(wanted)) if settings.df == "corpus" else [])
-            base = base.withColumn(f"_terms_{i}", terms)
-            base = base.withColumn(name, F.coalesce(bm25.score(F.col(f"_terms_{i}"), wanted, n, avgdl, df if settings.df == "corpus" else None), F.lit(0.0)))
-            flags.append(bm25.holds_any(F.col(f"_terms_{i}"), wanted))
+            known = list(dict.fromkeys(wanted))
+            n, avgdl, df = bm25.statistics(stats_view if stats_view is not None else view, terms, known if settings.df == "corpus" else [])
+            terms_cols[f"_terms_{i}"] = terms
+            score_cols[name] = F.coalesce(bm25.score(F.col(f"_terms_{i}"), wanted, n, avgdl, df if settings.df == "corpus" else None), F.lit(0.0))
+            flags.append(F.col(name) > 0)
+            hints.append(may_hold(text, known, settings))
         else:
             column = F.col(f"`{leaf.field}`")
-            base = base.withColumn(name, F.when(F.size(column) == len(leaf.query), vectors.similarity(column, leaf.query, settings.metric)).otherwise(float("-inf")))
-            flag = F.coalesce(F.size(column) == len(leaf.query), F.lit(False))
+            fits = F.coalesce(F.size(column) == len(leaf.query), F.lit(False))
+            score_cols[name] = F.when(fits, vectors.similarity(column, leaf.query, settings.metric)).otherwise(float("-inf"))
+            flag = fits
             if settings.candidates == "pool":
                 pool = max(8 * query.top_k, 64)
                 best = view.where(F.size(column) == len(leaf.query)).select(F.col(f"`{settings.id_col}`").alias("_pool_id"), vectors.similarity(column, leaf.query, settings.metric).alias("_s"))
@@ -111,8 +129,11 @@ def scored(view: DataFrame, query: Query, settings: Settings = Settings(), stats
                 base = base.join(F.broadcast(best), F.col(f"`{settings.id_col}`") == F.col("_pool_id"), "left").drop("_pool_id")
                 flag = F.coalesce(F.col(f"_in_{i}"), F.lit(False))
             flags.append(flag)
-    chosen = base.where(candidate(query.rank, list(flags)))
-    extra = [c for c in chosen.columns if c.startswith(("_terms_", "_in_"))]
+            hints.append(flag)
+    # cheap tests first; then terms and scores once a row: the pin keeps the exact filter from moving below them
+    base = base.where(candidate(query.rank, hints)).withColumns({"_pin": F.spark_partition_id(), **terms_cols}).withColumns(score_cols)
+    chosen = base.where(candidate(query.rank, list(flags)) & (F.col("_pin") >= 0))
+    extra = ["_pin", *[c for c in chosen.columns if c.startswith(("_terms_", "_in_"))]]
     out = fused(chosen.drop(*extra), query.rank, names)
     return out.drop(*[c for c in out.columns if c.startswith("_raw_") or c.startswith("dist_")])
 
