@@ -1,4 +1,4 @@
-"""Shared pieces: session settings, whole-text tokens and stable hashes.
+"""Shared pieces: whole-text tokens, stable hashes, lineage cuts.
 
 Tokens are maximal runs of word characters of the lower-cased text. Hashes do not depend on the process, so every
 executor, and every rerun of a lost task, agrees on them.
@@ -13,14 +13,14 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 WORDS = re.compile(r"\w+")
-MIX = np.uint64(0x9E3779B97F4A7C15)
-MASK64 = (1 << 64) - 1
 #: Entries after which a word cache is emptied; it bounds memory and never changes a result.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 
 class WordHash(dict):
@@ -37,6 +37,10 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One cache a process, whatever operators run in it.
+word_hash = WordHash()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that each output bit depends on all input bits."""
     with np.errstate(over="ignore"):
@@ -78,23 +82,6 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
     return df.mapInArrow(f, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or one of our own where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir()
-    if found:
-        return found
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        conf = tempfile.mkdtemp(prefix="rankloom-")
-    sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

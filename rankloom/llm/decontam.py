@@ -15,20 +15,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, WordHash, cut, id_text, map_arrow
+from .common import RollingHash, cut, id_text, map_arrow, word_hash
 
 SHINGLE = 4
 THRESHOLD = 0.5
 #: Bytes of benchmark text that one pass holds on every executor; a larger benchmark takes several passes.
 PASS_BYTES = 32_000_000
-_words = WordHash()
 
 
 def _items(rows: list[tuple[int, str]], n: int) -> list[tuple[int, int, int, np.ndarray]]:
     """(item id, shingle size, places of shingles, distinct shingles); items of fewer than n words use all their words."""
     out = []
     for item, text in rows:
-        tokens = _words.of(text)
+        tokens = word_hash.of(text)
         if len(tokens):
             size = min(n, len(tokens))
             shingles = RollingHash(size, 2 * size + 0xD6E8FEB86659FD01).of(tokens)
@@ -133,7 +132,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for b in batches:
                 out = []
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    tokens = _words.of(text)
+                    tokens = word_hash.of(text)
                     out += [(i, s, n, len(tokens), at.tobytes(), h.tobytes()) for s, (n, at, h) in probe.hits(tokens).items()]
                 cols = list(zip(*out)) if out else [[]] * 6
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]

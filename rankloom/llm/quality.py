@@ -151,20 +151,23 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, least_gain: float
     n = len(rows)
     share = np.array([(grades < j).mean() for j in range(1, k + 1)]).clip(0.005, 0.995)
     theta = np.log(share / (1 - share)) + 1e-3 * np.arange(k)
-    flat = np.concatenate(rows).astype(np.int32)
-    doc = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
+    rows = [r.astype(np.int32, copy=False) for r in rows]
     c = np.r_[0, 1 / (1 + np.exp(-theta)), 1]
     d = c * (1 - c)
     pull = ((d[1:] - d[:-1]) / np.diff(c))[grades]
-    seen = np.bincount(flat, minlength=BUCKETS)
-    z = np.abs(np.bincount(flat, pull[doc], minlength=BUCKETS)) / np.sqrt(np.maximum(seen, 1))
+    seen, z = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
+    for r, x in zip(rows, pull):
+        seen[r] += 1
+        z[r] += x
+    z = np.abs(z) / np.sqrt(np.maximum(seen, 1))
     z[(seen < least_rows) | (seen >= n)] = 0
     used = np.sort(np.argsort(-z, kind="stable")[:screened])
     used = used[z[used] > 0]
     at = np.full(BUCKETS, -1, np.int32)
     at[used] = np.arange(len(used))
-    col = at[flat]
-    doc, col = doc[col >= 0], col[col >= 0]
+    own = [x[x >= 0] for x in (at[r] for r in rows)]
+    col = np.concatenate(own)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in own])
     w, theta = _descend(doc, col, len(used), grades, theta, min(least_gain / n, 1 / 40), 0.0, rounds)
     picked = np.sort(np.argsort(-np.abs(w), kind="stable")[:most])
     picked = picked[w[picked] != 0]
@@ -193,12 +196,12 @@ def train(docs: DataFrame, labels: DataFrame, grade: str, top: int, id_col: str
             out = [np.array(features(t, buckets) or [], np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([np.unique(x).tobytes() for x in out], pa.binary())], ["id", "grade", "x"])
 
-    rows = id_text(docs, id_col, text_col).where("text is not null").join(some, "id")
+    rows = id_text(docs, id_col, text_col).where("text is not null").join(F.broadcast(some), "id")  # max_train rows, about
     got = [r for r in map_arrow(rows, run, "id long, grade int, x binary").collect() if r["x"]]
     if not got:
         return None
     got.sort(key=lambda r: (r["id"], bytes(r["x"])))
-    return fit([np.frombuffer(r["x"], np.int32).astype(np.int64) for r in got], np.array([r["grade"] for r in got]), top)
+    return fit([np.frombuffer(r["x"], np.int32) for r in got], np.array([r["grade"] for r in got]), top)
 
 
 def scored(docs: DataFrame, model: Model | None, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

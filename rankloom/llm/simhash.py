@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, WordHash, cut, id_text, map_arrow, mixed
+from .common import RollingHash, cut, id_text, map_arrow, mixed, word_hash
 from .components import components
 
 BITS = 64
@@ -30,7 +30,6 @@ BITS = 64
 SAMPLE = 2000
 #: Fingerprints of one partition that one reducer indexes, about.
 PER_REDUCER = 32_768
-_words = WordHash()
 
 
 def _signs(hashes: list[np.ndarray]) -> np.ndarray:
@@ -53,7 +52,7 @@ def fingerprint(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.nda
     pairs_of = RollingHash(2)
     at, one, two = [], [], []
     for i, text in enumerate(texts):
-        tokens = _words.of(text or "")
+        tokens = word_hash.of(text or "")
         if len(tokens):
             at.append(i)
             one.append(mixed(np.unique(tokens)))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, RollingHash, WordHash, id_text, map_arrow
+from .common import WORDS, RollingHash, id_text, map_arrow, word_hash
 
 WIDTH = 50
 #: Windows that are hashed before they are sent on; a longer document makes a longer batch.
@@ -26,7 +26,6 @@ BATCH = 1 << 20
 PER_GROUP = 1_500_000
 #: Characters a token takes at least on average, to size the groups; too few or too many only shifts the work.
 CHARS = 5
-_words = WordHash()
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -76,7 +75,7 @@ def _hashed(groups: int, width: int):
         n = 0
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = rolling.of(_words.of(text))
+                h = rolling.of(word_hash.of(text))
                 if len(h):
                     ids.append(i)
                     hashes.append(h)
