@@ -14,14 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import decontam, quality, secrets, simhash, spm_fst
-from rankloom.llm.common import written
+from rankloom.llm.common import cut, written
 from rankloom.llm.registry import GRADE, TOKENIZERS, TOP, table
 
 
+#: Ids up to which a list of them is sent to every executor; a longer one is joined by shuffle.
+SENT_IDS = 500_000
+
+
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the ids; rows whose own id is null stay."""
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = cut(ids.select(F.col("doc_id").alias("_gone")).distinct())
+    few = gone.count() <= SENT_IDS
+    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
