@@ -30,6 +30,8 @@ BITS = 64
 SAMPLE = 2000
 #: Fingerprints of one partition that one reducer indexes, about.
 PER_REDUCER = 32_768
+#: Bits by which the reducers of a partition are told apart at most; each costs copies of the probes.
+MOST_PREFIX = 14
 
 
 def _signs(hashes: list[np.ndarray]) -> np.ndarray:
@@ -226,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sample = np.array([r[0] for r in reps.select("fp").orderBy(F.xxhash64("fp", "fp2"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     parts, es, _ = plan(sample, n, tau)
     order = np.array([b for part in parts for b in part])
-    p = max(0, min(10, int(np.ceil(np.log2(max(1, n / PER_REDUCER))))))
+    p = max(0, min(MOST_PREFIX, int(np.ceil(np.log2(max(1, n / PER_REDUCER))))))
     spans, at = [], BITS
     for part, e in zip(parts, es):
         at -= len(part)
@@ -245,16 +247,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             got: list[tuple[int, bool, bytes]] = []
             for i, (shift, width, e) in enumerate(spans):
                 prefix = (fp >> np.uint64(shift + width - p)) & np.uint64((1 << p) - 1)
-                for v in range(1 << p):
-                    near = np.bitwise_count(prefix ^ np.uint64(v)) <= e
-                    if near.any():
-                        got.append((i << 10 | v, False, rows[near].tobytes()))
-                        if (same := prefix == v).any():
-                            got.append((i << 10 | v, True, rows[same].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got]), pa.array([g[2] for g in got], pa.binary())], ["g", "indexed", "rows"])
+                for indexed, reach in ((True, np.zeros(1, np.uint64)), (False, _masks(p, e))):
+                    target = (prefix[:, None] ^ reach[None]).ravel()
+                    by = np.argsort(target, kind="stable")
+                    ends = np.r_[np.flatnonzero(np.diff(target[by])) + 1, len(by)]
+                    for x, y in zip(np.r_[0, ends[:-1]], ends):
+                        got.append((i << 32 | int(target[by[x]]), indexed, rows[by[x:y] // len(reach)].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got]), pa.array([g[2] for g in got], pa.binary())], ["g", "indexed", "rows"])
 
     def search(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        i, v = int(key[0]) >> 10, int(key[0]) & 1023
+        i, v = int(key[0]) >> 32, int(key[0]) & 0xFFFFFFFF
         shift, width, e = spans[i]
         take = lambda flag: np.frombuffer(b"".join(pdf["rows"][pdf["indexed"] == flag]), np.uint64).reshape(-1, 3)
         index = take(True)
@@ -264,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         a, b = match_block(rotated(index, shift + width), rotated(probe, shift + width), width, width - p, v, e, tau, tau_both)
         return pd.DataFrame({"src": a, "dst": b})
 
-    blobs = map_arrow(reps, route, "g int, indexed boolean, rows binary")
+    blobs = map_arrow(reps, route, "g long, indexed boolean, rows binary")
     edges = blobs.groupBy("g").applyInPandas(search, "src long, dst long")
     # the same id under several fingerprints joins their groups
     twice = marks.join(reps, ["fp", "fp2"]).select(F.col("id").alias("src"), F.col("rep").alias("dst"))
