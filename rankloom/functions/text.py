@@ -12,10 +12,16 @@ from pyspark.sql import types as T
 
 from .stem import stem as porter2
 
+#: English function words, by length.
 STOPWORDS = tuple(
-    """a an and are as at be been being but by can did do does for from had has have he her him his if in into is it
-    its may might must no nor not of on or our shall she should so such than that the their them then there these
-    they this those to too was we were what when where which while who whom why will with would you your""".split()
+    """
+    a
+    be he we if of an in on do no so to or as is at it by
+    had did and she the are him can who too her for nor our has was his its not but you may why
+    were have such with will them whom from than been then when into your does this that what must they
+    would while there where these those being which shall their might
+    should
+    """.split()
 )
 WORD = r"([\p{IsAlphabetic}\p{N}]+)"
 #: Only texts with such characters can change under NFKC; all others stay inside the JVM.
