@@ -25,7 +25,7 @@ STOPWORDS = tuple(
 )
 WORD = r"([\p{IsAlphabetic}\p{N}]+)"
 #: Only texts with such characters can change under NFKC; all others stay inside the JVM.
-SUSPECT = r"[ ¨ª¯²-µ¸-º¼-¾ĲĳĿŀŉſ]|[^\u0000-ſ]"
+SUSPECT = r"[\u00A0\u00A8\u00AA\u00AF\u00B2-\u00B5\u00B8-\u00BA\u00BC-\u00BE\u0132\u0133\u013F\u0140\u0149\u017F]|[^\u0000-\u017F]"
 
 
 @F.pandas_udf(T.StringType())
