@@ -304,7 +304,8 @@ def t8(spark, sf):
 def t9(spark, sf):
     d = terms_of(table(spark, sf, "documents"))
     n, avgdl, _ = bm25.statistics(d, F.col("terms"))
-    return d.select("doc_id", F.round(bm25.score(F.col("terms"), texts.query_terms(ASK), n, avgdl), DIGITS).alias("dist")).where("dist > 0")
+    d = d.select("doc_id", F.size("terms").alias("dl"), bm25.hits(F.col("terms"), texts.query_terms(ASK)).alias("hits"))
+    return d.select("doc_id", F.round(bm25.score(F.col("hits"), F.col("dl"), texts.query_terms(ASK), n, avgdl), DIGITS).alias("dist")).where("dist > 0")
 
 
 @register("T10_all_strings", "SELECT doc_id, concat_ws(' ', text, lang, source) AS t FROM documents")

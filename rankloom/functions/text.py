@@ -24,8 +24,8 @@ STOPWORDS = tuple(
     """.split()
 )
 WORD = r"([\p{IsAlphabetic}\p{N}]+)"
-#: Only texts with such characters can change under NFKC; all others stay inside the JVM.
-SUSPECT = r"[\u00A0\u00A8\u00AA\u00AF\u00B2-\u00B5\u00B8-\u00BA\u00BC-\u00BE\u0132\u0133\u013F\u0140\u0149\u017F]|[^\u0000-\u017F]"
+#: Texts of such characters alone stay as they are under NFKC and never leave the JVM; one anchored possessive run.
+STABLE = r"\A[\u0000-\u009F\u00A1-\u00A7\u00A9\u00AB-\u00AE\u00B0\u00B1\u00B6\u00B7\u00BB\u00BF-\u0131\u0134-\u013E\u0141-\u0148\u014A-\u017E]*+\z"
 
 
 @F.pandas_udf(T.StringType())
@@ -39,9 +39,13 @@ def _stems(s: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """NFKC form; texts without a suspect character pass by unchanged."""
-    odd = text.rlike(SUSPECT)
-    return F.when(odd, _nfkc(F.when(odd, text))).otherwise(text)
+    """NFKC form; texts that can't change pass by."""
+    return F.coalesce(_nfkc(F.when(suspect(text), text)), text)
+
+
+def suspect(text: Column) -> Column:
+    """Whether NFKC might change a text; ASCII is told by its length in bytes."""
+    return (F.octet_length(text) != F.length(text)) & ~text.rlike(STABLE)
 
 
 def words(text: Column) -> Column:

@@ -22,21 +22,26 @@ def _weight(tf: Column, dl: Column, avgdl: float) -> Column:
 
 def statistics(docs: DataFrame, terms: Column, known: list[str] = ()) -> tuple[int, float, dict[str, int]]:
     """Documents with a term, their mean length (1 at least) and how many hold each of the known terms; one pass."""
-    dl = F.size(terms)
-    rows = docs.select(terms.alias("_terms")).where("size(_terms) > 0")
-    aggs = [F.sum(F.array_contains("_terms", t).cast("long")).alias(f"_{i}") for i, t in enumerate(known)]
-    row = rows.agg(F.count("*").alias("n"), F.sum(F.size("_terms")).alias("total"), *aggs).first()
+    held = F.filter(F.col("_terms"), lambda t: t.isin(*known)) if known else F.array().cast("array<string>")
+    rows = docs.select(terms.alias("_terms")).select(F.size("_terms").alias("_dl"), F.array_distinct(held).alias("_held"))
+    aggs = [F.sum(F.array_contains("_held", t).cast("long")).alias(f"_{i}") for i, t in enumerate(known)]
+    row = rows.agg(F.count(F.when(F.col("_dl") > 0, 1)).alias("n"), F.sum(F.when(F.col("_dl") > 0, F.col("_dl"))).alias("total"), *aggs).first()
     n = row["n"] or 0
     return n, max(1.0, (row["total"] or 0) / n) if n else 1.0, {t: row[f"_{i}"] or 0 for i, t in enumerate(known)}
 
 
-def score(terms: Column, query: list[str], n: int, avgdl: float, df: dict[str, int] | None = None) -> Column:
-    """Sum over the query's terms, repeats included. Without df each term counts as held by one document."""
-    dl = F.size(terms).cast("double")
+def hits(terms: Column, query: list[str]) -> Column:
+    """The terms of a document that a query asks for, repeats included."""
+    return F.filter(terms, lambda t: t.isin(*dict.fromkeys(query))) if query else F.array().cast("array<string>")
+
+
+def score(found: Column, dl: Column, query: list[str], n: int, avgdl: float, df: dict[str, int] | None = None) -> Column:
+    """Sum over the query's terms, repeats included, from a document's hits and length. Without df each term counts as
+    held by one document."""
     parts = []
     for t in dict.fromkeys(query):
-        tf = term_count(terms, t).cast("double")
-        parts.append(F.lit(query.count(t) * idf(max(1, n), 1 if df is None else df[t])) * _weight(tf, dl, max(1.0, avgdl)))
+        tf = term_count(found, t).cast("double")
+        parts.append(F.lit(query.count(t) * idf(max(1, n), 1 if df is None else df[t])) * _weight(tf, dl.cast("double"), max(1.0, avgdl)))
     return total(parts) if parts else F.lit(0.0)
 
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
-from ..functions.text import SUSPECT, all_text, query_terms, tokens
+from ..functions.text import all_text, query_terms, suspect, tokens
 from ..operators import bm25
 from ..operators.fusion import candidate, fused
+from ..sources.shared import shared_dir
 from .predicates import Scope, condition, kind_of
 from .spec import Fusion, Query, Text, Vector, leaves
 
@@ -76,7 +77,7 @@ def may_hold(text: Column, terms: list[str], settings: Settings) -> Column:
     for t in terms:
         found = found | low.contains(t[: max(1, len(t) - 1)] if settings.stem and t.endswith("i") else t)
     if settings.normalise or any(not t.isascii() for t in terms):
-        found = found | text.rlike(SUSPECT)
+        found = found | suspect(text)
     return F.coalesce(found, F.lit(False))
 
 
@@ -91,7 +92,7 @@ def check_dimensions(view: DataFrame, query: Query) -> None:
 
 
 def scored(view: DataFrame, query: Query, settings: Settings = Settings(), stats_view: DataFrame | None = None) -> DataFrame:
-    """The filtered candidates with their final score `dist`, before order and limit.
+    """The filtered candidates with their final score `dist`, before order and limit; of a fusion only id and tie-break.
 
     stats_view: the documents whose number and mean length BM25 uses; the view's own by default.
     """
@@ -103,7 +104,7 @@ def scored(view: DataFrame, query: Query, settings: Settings = Settings(), stats
     if where is not None:
         base = base.where(where)
     flags, names, hints = [], [], []
-    terms_cols, score_cols = {}, {}
+    terms_cols, hit_cols, score_cols = {}, {}, {}
     for i, leaf in enumerate(leaves(query.rank)):
         name = f"_raw_{i}"
         names.append(name)
@@ -114,8 +115,9 @@ def scored(view: DataFrame, query: Query, settings: Settings = Settings(), stats
             known = list(dict.fromkeys(wanted))
             n, avgdl, df = bm25.statistics(stats_view if stats_view is not None else view, terms, known if settings.df == "corpus" else [])
             terms_cols[f"_terms_{i}"] = terms
-            score_cols[name] = F.coalesce(bm25.score(F.col(f"_terms_{i}"), wanted, n, avgdl, df if settings.df == "corpus" else None), F.lit(0.0))
-            flags.append(F.col(name) > 0)
+            hit_cols |= {f"_hits_{i}": bm25.hits(F.col(f"_terms_{i}"), wanted), f"_dl_{i}": F.size(f"_terms_{i}")}
+            score_cols[name] = F.coalesce(bm25.score(F.col(f"_hits_{i}"), F.col(f"_dl_{i}"), wanted, n, avgdl, df if settings.df == "corpus" else None), F.lit(0.0))
+            flags.append(F.coalesce(F.size(f"_hits_{i}") > 0, F.lit(False)))
             hints.append(may_hold(text, known, settings))
         else:
             column = F.col(f"`{leaf.field}`")
@@ -131,10 +133,16 @@ def scored(view: DataFrame, query: Query, settings: Settings = Settings(), stats
             flags.append(flag)
             hints.append(flag)
     # cheap tests first; then terms and scores once a row: the pin keeps the exact filter from moving below them
-    base = base.where(candidate(query.rank, hints)).withColumns({"_pin": F.spark_partition_id(), **terms_cols}).withColumns(score_cols)
-    chosen = base.where(candidate(query.rank, list(flags)) & (F.col("_pin") >= 0))
-    extra = ["_pin", *[c for c in chosen.columns if c.startswith(("_terms_", "_in_"))]]
-    out = fused(chosen.drop(*extra), query.rank, names)
+    base = base.where(candidate(query.rank, hints)).withColumns({"_pin": F.spark_partition_id(), **terms_cols})
+    base = base.withColumns(hit_cols).drop(*terms_cols) if hit_cols else base
+    chosen = base.where(candidate(query.rank, list(flags)) & (F.col("_pin") >= 0)).withColumns(score_cols)
+    if isinstance(query.rank, Fusion):
+        # narrow rows, cut once: normalisation reads them again for each level
+        shared_dir(view.sparkSession)
+        tie = [F.col(f"`{query.order.field}`")] if query.order and query.order.field in view.columns and query.order.field != settings.id_col else []
+        out = fused(chosen.select(F.col(f"`{settings.id_col}`"), *tie, *names).checkpoint(), query.rank, names)
+    else:
+        out = fused(chosen.drop("_pin", *[c for c in chosen.columns if c.startswith(("_hits_", "_dl_", "_in_"))]), query.rank, names)
     return out.drop(*[c for c in out.columns if c.startswith("_raw_") or c.startswith("dist_")])
 
 
@@ -159,5 +167,9 @@ def projected(view: DataFrame, query: Query, rows: DataFrame, id_col: str) -> Da
 def compiled(view: DataFrame, query: Query, settings: Settings = Settings(), stats_view: DataFrame | None = None) -> DataFrame:
     """The whole query: candidates, scores, order, top-k, projection."""
     rows = scored(view, query, settings, stats_view)
-    top = rows.orderBy(*final_order(view, query, settings.id_col)).limit(query.top_k)
+    order = final_order(view, query, settings.id_col)
+    top = rows.orderBy(*order).limit(query.top_k)
+    if isinstance(query.rank, Fusion):
+        best = top.select(F.col(f"`{settings.id_col}`").alias("_best"), "dist")
+        top = view.join(F.broadcast(best), F.col(f"`{settings.id_col}`") == F.col("_best")).drop("_best").orderBy(*order).limit(query.top_k)
     return projected(view, query, top, settings.id_col)
