@@ -17,13 +17,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, RollingHash, id_text, map_arrow, word_hash
+from .common import WORDS, RollingHash, id_text, map_arrow, slices, word_hash
 
 WIDTH = 50
 #: Windows that are hashed before they are sent on; a longer document makes a longer batch.
 BATCH = 1 << 20
 #: Windows that one counting group holds, about.
-PER_GROUP = 1_500_000
+PER_GROUP = 500_000
 #: Characters a token takes at least on average, to size the groups; too few or too many only shifts the work.
 CHARS = 5
 
@@ -73,7 +73,7 @@ def _hashed(groups: int, width: int):
         ids: list[int] = []
         hashes: list[np.ndarray] = []
         n = 0
-        for b in batches:
+        for b in slices(batches):
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = rolling.of(word_hash.of(text))
                 if len(h):
