@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Block and allow rules: domains, or addresses with what lies below them.
-BLOCK = ("casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com")
+BLOCK = ("casino-win.example.com", "cheap-pills.example.com", "free-bets.example.com", "ads-track.example.com", "adult-x.example.net", "spam-farm.example.com", "spam-farm.example.org")
 ALLOW = ("casino-win.example.com/de", "www.cheap-pills.example.com/en/1")
 
 
@@ -74,4 +74,4 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_projection_knn, op2_url_filter, op3_simhash_near_dedup, op4_quality_classifier, op5_sentencepiece, op6_karmarkar_karp_shards, op7_substring_dedup, op8_benchmark_decontamination, op9_language_id, op10_secret_scan)}
-SQL: dict[str, str] = {"op7_substring_dedup": substring.SQL, "op8_benchmark_decontamination": decontam.SQL}
+SQL: dict[str, str] = {"op2_url_filter": url_filter.sql(BLOCK, tuple(r.removeprefix("www.") for r in ALLOW)), "op7_substring_dedup": substring.SQL, "op8_benchmark_decontamination": decontam.SQL}

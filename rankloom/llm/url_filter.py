@@ -72,3 +72,38 @@ def decided(pages: DataFrame, block: DataFrame, allow: DataFrame, id_col: str =
     verdict = nodes.join(blocked, "root", "left").join(allowed, "node", "left").select(F.col("node").alias("_node"), "root", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("none").alias("verdict"))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"))
     return rows.join(verdict, F.col("url") == F.col("_node"), "left").select("page_id", "url", F.coalesce("root", "url").alias("alias_root"), F.coalesce("verdict", F.lit("none")).alias("decision"))
+
+
+def sql(block: tuple[str, ...], allow: tuple[str, ...]) -> str:
+    """DuckDB SQL of decided() over pages; the rules are given in their plain forms."""
+
+    def hit(rules: tuple[str, ...]) -> str:
+        one = lambda r: f"hp = '{r}' OR starts_with(hp, '{r}/') OR form = '{r}'" if "/" in r else f"host = '{r}' OR ends_with(host, '.{r}')"
+        return " OR ".join(one(r) for r in rules) or "false"
+
+    def formed(source: str, name: str) -> str:
+        return rf"""
+{name}1 AS (SELECT *, regexp_replace(regexp_replace(trim(raw), '#.*$', ''), '(?i)^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?', '') AS u FROM {source}),
+{name}2 AS (SELECT *, regexp_replace(lower(regexp_extract(u, '^([^/?:]*)', 1)), '^(?:(?:www|m)\.)+|\.$', '', 'g') AS host,
+  regexp_replace(regexp_replace(regexp_extract(u, '^[^/?]*(/[^?]*)', 1), '(?i)(?:/index)?\.html?$', ''), '/+$', '') AS path,
+  list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '(?i)^(?:utm_[a-z]+|ref|fbclid|gclid|page)(?:=|$)'))) AS kept FROM {name}1),
+{name} AS (SELECT *, host || path AS hp, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS form FROM {name}2 WHERE host <> '')"""
+
+    tag = lambda name, mark, part: f"""SELECT url, regexp_extract(t, '(?is)\\b{part}\\s*=\\s*["'']?([^"''\\s>]+)', 1) AS target FROM (SELECT url, unnest(regexp_extract_all(html, '(?is)<{name}\\b[^>]*>')) AS t FROM pages) WHERE regexp_matches(t, '(?is)\\b{mark}\\b')"""
+    return rf"""
+WITH RECURSIVE tags AS ({tag("link", "rel\\s*=\\s*[\"'']?canonical", "href")} UNION ALL {tag("meta", "http-equiv\\s*=\\s*[\"'']?refresh", "url")}),
+addr AS (SELECT url AS src, url AS raw FROM pages WHERE url IS NOT NULL
+  UNION SELECT url, CASE WHEN starts_with(target, '/') THEN regexp_extract(url, '(?i)^([a-z][a-z0-9+.-]*://[^/?#]*)', 1) || target ELSE target END FROM tags WHERE url IS NOT NULL),
+{formed("addr", "f")},
+e AS (SELECT src AS a, form AS b FROM f UNION SELECT form, src FROM f),
+nodes AS (SELECT DISTINCT a AS node FROM e),
+reach(node, other) AS (SELECT node, node FROM nodes UNION SELECT r.node, e.b FROM reach r JOIN e ON r.other = e.a),
+root AS (SELECT node, min(other) AS root FROM reach GROUP BY node),
+raws AS (SELECT node, node AS raw FROM nodes),
+{formed("raws", "g")},
+bad AS (SELECT DISTINCT root FROM g JOIN root USING (node) WHERE {hit(block)}),
+good AS (SELECT node FROM g WHERE {hit(allow)})
+SELECT page_id, url, coalesce(root.root, url) AS alias_root,
+  CASE WHEN url IN (SELECT node FROM good) THEN 'allow' WHEN root.root IN (SELECT root FROM bad) THEN 'block' ELSE 'none' END AS decision
+FROM pages LEFT JOIN root ON url = node
+"""

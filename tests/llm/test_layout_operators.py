@@ -128,6 +128,27 @@ def test_alias_classes_and_precedence(spark):
     assert url_filter.decided(pages(spark, data), rules(), rules()).where("decision <> 'none'").count() == 0
 
 
+def test_sql_sees_the_same_tags(spark):
+    import duckdb
+
+    data = [
+        (1, "http://www.bad.com/a/?utm_source=x#top", "", "x", "y", "z"),
+        (2, "https://fine.org/copy", '<p><link data-x="1" rel="canonical" href="https://bad.com/a"></p>', "x", "y", "z"),
+        (3, "https://fine.org/refresh", "<META http-equiv=refresh content='0; url=/copy'>", "x", "y", "z"),
+        (4, "https://fine.org/ok", None, "x", "y", "z"),
+        (5, None, "", "x", "y", "z"),
+        (6, "https://sub.bad.com/b/c?z=1&a=2", "", "x", "y", "z"),
+    ]
+    df = spark.createDataFrame(data, "page_id long, url string, html string, node string, root string, part string")
+    rules = lambda *r: spark.createDataFrame([(x,) for x in r], "rule string")
+    got = {tuple(r) for r in url_filter.decided(df, rules("bad.com"), rules("fine.org/copy", "sub.bad.com/b")).collect()}
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", [r[:3] for r in data])
+    assert got == set(duck.execute(url_filter.sql(("bad.com",), ("fine.org/copy", "sub.bad.com/b"))).fetchall())
+    assert {(r[0], r[3]) for r in got} == {(1, "block"), (2, "allow"), (3, "block"), (4, "none"), (5, "none"), (6, "allow")}
+
+
 @pytest.mark.parametrize(
     ("url", "want"),
     [
