@@ -20,7 +20,7 @@ from ..sources.shared import shared_dir
 
 WORDS = re.compile(r"\w+")
 #: Entries after which a word cache is emptied; it bounds memory and never changes a result.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 
 
 class WordHash(dict):
@@ -82,6 +82,13 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa
     return df.mapInArrow(f, schema)
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that what is made of a part stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, cut, id_text, map_arrow, word_hash
+from .common import RollingHash, cut, id_text, map_arrow, slices, word_hash
 
 SHINGLE = 4
 THRESHOLD = 0.5
@@ -129,7 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def look(batches, held=held, threshold=threshold):
             probe = Probe(held.value, threshold)
-            for b in batches:
+            for b in slices(batches):
                 out = []
                 for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     tokens = word_hash.of(text)

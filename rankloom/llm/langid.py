@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, id_text, map_arrow, stable_fraction
+from .common import WORDS, id_text, map_arrow, slices, stable_fraction
 
 ORDERS = (5, 4, 3, 2, 1)
 MAX_TRAIN = 20_000
 MAX_WORDS = 100_000
-CACHE = 400_000
+CACHE = 200_000
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
     def count(batches):
         found: dict[str, Counter] = {}
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 found.setdefault(lang, Counter()).update(WORDS.findall(text.lower()))
         for lang, c in found.items():
@@ -132,7 +132,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches):
         scorer = Scorer(known.value)
         langs = known.value.langs
-        for b in batches:
+        for b in slices(batches):
             pred, lead = [], []
             for text in b.column(1).to_pylist():
                 m = scorer.means(text)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, id_text, map_arrow, stable_fraction
+from .common import WORDS, id_text, map_arrow, slices, stable_fraction
 
 BUCKETS = 1 << 20
 #: Lengths of the beginnings of words that are features.
@@ -37,7 +37,7 @@ class Features(dict):
         self.only = only
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         names = [word, *(f"{word[:n]} *" for n in PREFIXES if n < len(word))]
         own = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) % BUCKETS for x in names]
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, grade: str, top: int, id_col: str
 
     def run(batches):
         buckets = Features()
-        for b in batches:
+        for b in slices(batches):
             out = [np.array(features(t, buckets) or [], np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([np.unique(x).tobytes() for x in out], pa.binary())], ["id", "grade", "x"])
 
@@ -211,7 +211,7 @@ def scored(docs: DataFrame, model: Model | None, least: int, id_col: str = "doc_
     def run(batches):
         m = known.value
         buckets, w = (Features(m.weights != 0), m.weights) if m else (None, None)
-        for b in batches:
+        for b in slices(batches):
             grades, tails = [], []
             for text in b.column(1).to_pylist():
                 own = features(text, buckets) if m and text else None

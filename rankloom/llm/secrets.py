@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow
+from .common import id_text, map_arrow, slices
 
 RATIO = 2.3
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -72,7 +72,7 @@ def secrets(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
 
     def run(batches):
         enc = encoder(vocabulary)
-        for b in batches:
+        for b in slices(batches):
             rows = [(i, s, e, per, hashlib.sha256(text[s:e].encode()).hexdigest()) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if text for s, e, per in find(text, enc, ratio, skip)]
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.string())], ["doc_id", "start_char", "end_char", "chars_per_token", "sha256"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, cut, id_text, map_arrow, mixed, word_hash
+from .common import RollingHash, cut, id_text, map_arrow, mixed, slices, word_hash
 from .components import components
 
 BITS = 64
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp, fp2); rows without an id, or whose text is null or has no word, have none."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             at, one, two = fingerprint(b.column(1).to_pylist())
             ids = b.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["id", "fp", "fp2"])

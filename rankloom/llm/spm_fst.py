@@ -20,13 +20,36 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, map_arrow
+from .common import id_text, map_arrow, slices
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-#: Remembered stretches and neighbours, and the longest that is; emptied when full.
-CACHE, CACHE_CHARS = 500_000, 48
+#: Stretches, neighbours and arcs of a generation that are remembered, and the longest stretch that is.
+CACHE, CACHE_CHARS = 200_000, 48
+#: Characters that decide the arcs at a place, unless a longer piece may start there.
+AHEAD = 7
+
+
+class Recent(dict):
+    """The entries of the last generation and, moved here when asked for, those of the one before."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict = {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is not None:
+            self[key] = found
+        return found
+
+    def keep(self, key, value):
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def _fields(raw: bytes):
@@ -81,6 +104,8 @@ class Transducer:
             raise ValueError("unigram and BPE models only")
         self.ids = {p: i for i, (p, _, t) in enumerate(self.pieces) if t in (NORMAL, USER)}
         self.weight = {p: -self.pieces[i][1] for p, i in self.ids.items()}
+        order = {w: i for i, w in enumerate(sorted(set(self.weight.values())))}
+        self.rank = {p: order[w] for p, w in self.weight.items()}
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.trie = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
@@ -89,8 +114,9 @@ class Transducer:
         self.is_byte = np.array([t == BYTE for _, _, t in self.pieces])
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self._worst = max(self.weight.values(), default=0.0) + 10
-        self._beside: dict[tuple[str, str], bool] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
+        self._beside, self._known, self._near = Recent(), Recent(), Recent()
+        self._same = {p: p for p in self.ids}
+        self._split: dict[str, tuple[str, ...]] = {}
 
     def _boundaries(self) -> re.Pattern:
         """Stretches between which no piece reaches: from a run of marks to the next; where no piece joins a Latin
@@ -123,16 +149,46 @@ class Transducer:
                 costs[i - 1] = look(parts[i - 1] + parts[i], none)
         return parts
 
-    def _allowed(self, last: str, piece: str) -> bool:
-        """Whether the pieces machine of a BPE model has an arc for the piece after the last one ('' at the start)."""
-        key = last, piece
-        found = self._beside.get(key)
+    def _halves(self, piece: str) -> tuple[str, ...]:
+        """The two parts whose merge makes the piece, just itself for a single character, nothing if merging can't make it."""
+        found = self._split.get(piece)
         if found is None:
-            if len(self._beside) > CACHE:
-                self._beside.clear()
-            found = self._beside[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
+            parts = [piece]
+            if len(piece) > 1:
+                weight = self.weight.pop(piece, None)  # stop short of the last merge
+                parts = self.merged(piece)
+                if weight is not None:
+                    self.weight[piece] = weight
+            found = self._split[piece] = tuple(parts) if len(parts) < 3 else ()
         return found
 
+    def _allowed(self, last: str, piece: str) -> bool:
+        """Whether the pieces machine of a BPE model has an arc for the piece after the last one ('' at the start).
+
+        Follows the parts that touch the border back in time: the two stay apart unless the parts on both sides, while
+        they are there, merge before either side merges on.
+        """
+        halves, rank = self._halves, self.rank
+        if not halves(last or piece) or not halves(piece):
+            return False
+        a, b, limit, forever = last, piece, len(rank) + 1, -1
+        at_a, at_b = (rank[a] if len(a) > 1 else forever), (rank[b] if len(b) > 1 else forever)
+        while last:
+            r = rank.get(a + b)
+            if r is not None and r < limit:
+                break
+            if at_a == at_b == forever:
+                return self._beside.keep((self._same.get(last, last), self._same.get(piece, piece)), True)
+            if at_a > at_b:
+                limit = at_a
+                a = halves(a)[1]
+                at_a = rank[a] if len(a) > 1 else forever
+            else:
+                limit = at_b + 1
+                b = halves(b)[0]
+                at_b = rank[b] if len(b) > 1 else forever
+        return self._beside.keep((self._same.get(last, last), self._same.get(piece, piece)), not last)
+
     def _arcs(self, text: str, i: int) -> list[int]:
         """Ends of the pieces that start at i, ascending; a character outside the pieces is an arc for byte fallback."""
         trie, weight, n = self.trie, self.weight, len(text)
@@ -149,34 +205,44 @@ class Transducer:
             j += 1
         return ends
 
+    def _lengths(self, text: str, i: int) -> tuple[int, ...]:
+        """Lengths of the arcs at i, longest first; remembered by the characters ahead, which mostly decide them."""
+        ahead = text[i : i + AHEAD]
+        found = self._near[ahead]
+        if found is None:
+            own = () if len(ahead) == AHEAD and ahead in self.trie else tuple(j for j in reversed(self._arcs(ahead, 0)))
+            found = self._near.keep(ahead, own)
+        return found or tuple(j - i for j in reversed(self._arcs(text, i)))
+
     def path(self, text: str) -> list[str]:
         """Pieces on the shortest path of the composition with a normalised text."""
         return self._only_path(text) if self.kind == BPE else self._least_path(text)
 
     def _only_path(self, text: str) -> list[str]:
         """Depth first, longest arcs first: each position has one way to it, so a position left in vain stays dead."""
-        n, beside = len(text), self._beside
+        n, beside, lengths = len(text), self._beside, self._lengths
         out: list[str] = []
-        stack: list[tuple[int, str, list[int]]] = []
+        stack: list[tuple[int, str, tuple[int, ...], int]] = []
         dead: set[int] = set()
-        i, last, ends = 0, "", self._arcs(text, 0)
+        i, last, arcs, k = 0, "", lengths(text, 0), 0
         while True:
-            while ends:
-                j = ends.pop()
-                if j in dead:
+            while k < len(arcs):
+                j = i + arcs[k]
+                k += 1
+                if dead and j in dead:
                     continue
                 piece = text[i:j]
-                ok = beside.get((last, piece))
+                ok = beside[last, piece]
                 if ok if ok is not None else self._allowed(last, piece):
                     out.append(piece)
                     if j == n:
                         return out
-                    stack.append((i, last, ends))
-                    i, last, ends = j, piece, self._arcs(text, j)
+                    stack.append((i, last, arcs, k))
+                    i, last, arcs, k = j, piece, lengths(text, j), 0
                     break
             else:
                 dead.add(i)
-                i, last, ends = stack.pop()
+                i, last, arcs, k = stack.pop()
                 out.pop()
 
     def _least_path(self, text: str) -> list[str]:
@@ -219,16 +285,14 @@ class Transducer:
         return text.replace(" ", MARK) if self.escape else text
 
     def encode(self, text: str) -> np.ndarray:
-        known, parts = self._known, self.split.findall(self.normalised(text))
-        if len(known) > CACHE:
-            known.clear()
+        known = self._known
         got = []
-        for part in parts:
-            ids = known.get(part)
+        for part in self.split.findall(self.normalised(text)):
+            ids = known[part]
             if ids is None:
                 ids = self._stretch(part)
                 if len(part) <= CACHE_CHARS:
-                    known[part] = ids
+                    known.keep(part, ids)
             got.append(ids)
         return np.fromiter(chain.from_iterable(got), np.int32)
 
@@ -277,10 +341,9 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         machine = transducer(model)
-        for b in batches:
+        for b in slices(batches):
             ids, arrays, texts, size = [], [], [], 0
-            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py()
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(i)
                 arrays.append(None if text is None else machine.encode(text))
                 texts.append(None if text is None else machine.decode(arrays[-1]))
