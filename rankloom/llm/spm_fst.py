@@ -25,28 +25,17 @@ from .common import id_text, map_arrow, slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-#: Stretches, neighbours and arcs of a generation that are remembered, and the longest stretch that is.
-CACHE, CACHE_CHARS = 200_000, 48
+#: Stretches, neighbours and arcs that are remembered, each, and the longest stretch that is.
+CACHE, CACHE_CHARS = 350_000, 48
 #: Characters that decide the arcs at a place, unless a longer piece may start there.
 AHEAD = 7
 
 
-class Recent(dict):
-    """The entries of the last generation and, moved here when asked for, those of the one before."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.older: dict = {}
-
-    def __missing__(self, key):
-        found = self.older.get(key)
-        if found is not None:
-            self[key] = found
-        return found
+class Bounded(dict):
+    """A cache that is emptied when it is full."""
 
     def keep(self, key, value):
         if len(self) >= CACHE:
-            self.older = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -110,11 +99,14 @@ class Transducer:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.trie = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         self.split = self._boundaries()
-        self.surface = ["" if t == CONTROL else " ⁇ " if t == UNKNOWN else p for p, _, t in self.pieces]
-        self.is_byte = np.array([t == BYTE for _, _, t in self.pieces])
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        surface = [bytes([self.byte_of[i]]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else (p.replace(MARK, " ") if self.escape else p).encode() for i, (p, _, t) in enumerate(self.pieces)]
+        surface.append(b"\xff")  # for ids outside the model
+        self._bytes = np.frombuffer(b"".join(surface), np.uint8)
+        self._sizes = np.array([len(x) for x in surface])
+        self._starts = np.cumsum(self._sizes) - self._sizes
         self._worst = max(self.weight.values(), default=0.0) + 10
-        self._beside, self._known, self._near = Recent(), Recent(), Recent()
+        self._beside, self._known, self._near = Bounded(), Bounded(), Bounded()
         self._same = {p: p for p in self.ids}
         self._split: dict[str, tuple[str, ...]] = {}
 
@@ -208,7 +200,7 @@ class Transducer:
     def _lengths(self, text: str, i: int) -> tuple[int, ...]:
         """Lengths of the arcs at i, longest first; remembered by the characters ahead, which mostly decide them."""
         ahead = text[i : i + AHEAD]
-        found = self._near[ahead]
+        found = self._near.get(ahead)
         if found is None:
             own = () if len(ahead) == AHEAD and ahead in self.trie else tuple(j for j in reversed(self._arcs(ahead, 0)))
             found = self._near.keep(ahead, own)
@@ -220,7 +212,7 @@ class Transducer:
 
     def _only_path(self, text: str) -> list[str]:
         """Depth first, longest arcs first: each position has one way to it, so a position left in vain stays dead."""
-        n, beside, lengths = len(text), self._beside, self._lengths
+        n, beside, lengths = len(text), self._beside.get, self._lengths
         out: list[str] = []
         stack: list[tuple[int, str, tuple[int, ...], int]] = []
         dead: set[int] = set()
@@ -232,7 +224,7 @@ class Transducer:
                 if dead and j in dead:
                     continue
                 piece = text[i:j]
-                ok = beside[last, piece]
+                ok = beside((last, piece))
                 if ok if ok is not None else self._allowed(last, piece):
                     out.append(piece)
                     if j == n:
@@ -286,29 +278,25 @@ class Transducer:
 
     def encode(self, text: str) -> np.ndarray:
         known = self._known
-        got = []
-        for part in self.split.findall(self.normalised(text)):
-            ids = known[part]
-            if ids is None:
-                ids = self._stretch(part)
-                if len(part) <= CACHE_CHARS:
-                    known.keep(part, ids)
-            got.append(ids)
+        parts = self.split.findall(self.normalised(text))
+        got = list(map(known.get, parts))
+        if None in got:
+            for k, ids in enumerate(got):
+                if ids is None:
+                    part = parts[k]
+                    ids = got[k] = known.get(part) or self._stretch(part)
+                    if len(part) <= CACHE_CHARS:
+                        known.keep(part, ids)
         return np.fromiter(chain.from_iterable(got), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the pieces; bytes that aren't valid UTF-8 and ids outside the model become U+FFFD."""
         ids = np.asarray(ids, np.int64)
-        ok = (ids >= 0) & (ids < len(self.pieces))
-        if ok.all() and not self.is_byte[ids].any():
-            text = "".join(map(self.surface.__getitem__, ids.tolist()))
-        else:
-            raw = bytearray()
-            for i in ids.tolist():
-                raw += b"\xff" if not 0 <= i < len(self.pieces) else bytes([self.byte_of[i]]) if i in self.byte_of else self.surface[i].encode()
-            text = raw.decode("utf-8", "replace")
-        if self.escape:
-            text = text.replace(MARK, " ")
+        ids = np.where((ids >= 0) & (ids < len(self.pieces)), ids, len(self.pieces))
+        sizes = self._sizes[ids]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        text = self._bytes[np.repeat(self._starts[ids] - ends + sizes, sizes) + np.arange(total)].tobytes().decode("utf-8", "replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
