@@ -1,9 +1,10 @@
 """Byte-balanced shards of indivisible groups by Karmarkar-Karp differencing.
 
 A partial partition is a tuple of `shards` sums. Differencing takes the two of the largest spread and adds them in
-opposite orders, until one is left. Groups are dealt to blocks by hash; tasks difference each block to one partial
-partition, and blocks of these again, level by level, until one block is left. So no task and not the driver holds
-more than `block` partial partitions, and an assignment is the chain of slots from a group up.
+opposite orders, until one is left. Groups are ranged by descending bytes into blocks of about `block`; each block is
+differenced together with the partial partition that the blocks before left, so that the many small groups level what
+the heavy ones leave. That takes one small task a block, in turn, which returns only the partition; a second, parallel pass
+assigns the groups. No task holds more than a block, and the driver only a partition a block.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,23 +60,41 @@ def difference(parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return store[-1], out
 
 
-def _level(rows: DataFrame, blocks: int, shards: int, single: bool) -> DataFrame:
-    """Difference each block: rows (node, sums) give (node, block, slots, sums); sums once a block, on its first row."""
+def _carried(rows: pd.DataFrame, shards: int, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each shard once the block's rows (node, bytes) join those in carry, and the shard of each row."""
+    parts = np.zeros((len(rows) + 1, shards), np.int64)
+    parts[0] = carry
+    parts[1:, 0] = rows["bytes"]
+    total, slots = difference(parts)
+    # the entries of carry keep their shards, whatever slots they move to
+    shard = np.argsort(slots[0])
+    after = np.empty(shards, np.int64)
+    after[shard] = total
+    return after, shard[slots[1:, 0]]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable", ignore_index=True)
-        if single:
-            parts = np.zeros((len(pdf), shards), np.int64)
-            parts[:, 0] = pdf["bytes"]
-        else:
-            parts = np.array(pdf["sums"].tolist(), np.int64)
-        total, slots = difference(parts)
-        keep = slots[:, :1] if single else slots
-        return pd.DataFrame({"node": pdf["node"], "block": pdf["block"], "slots": list(keep), "sums": [total if i == 0 else None for i in range(len(pdf))]})
 
-    dealt = rows.withColumn("block", F.lit(0).cast("long") if blocks == 1 else F.pmod(F.xxhash64("node"), F.lit(blocks)))
-    kind = dict(rows.dtypes)["node"]
-    return dealt.groupBy("block").applyInPandas(run, f"node {kind}, block long, slots array<long>, sums array<long>")
+def _block(batches) -> pd.DataFrame | None:
+    """The rows of a partition, heaviest first."""
+    found = [pdf for pdf in batches if len(pdf)]
+    return pd.concat(found).sort_values(["bytes", "node"], ascending=[False, True], ignore_index=True) if found else None
+
+
+def _carries(groups: DataFrame, blocks: int, shards: int) -> list[list[int]]:
+    """The partial partition that each block starts from."""
+    sc = groups.sparkSession.sparkContext
+    out = [[0] * shards]
+    for i in range(blocks - 1):
+        carry = out[-1]
+
+        def run(batches, carry=carry):
+            rows = _block(batches)
+            if rows is not None:
+                yield pd.DataFrame({"sums": [_carried(rows, shards, np.array(carry, np.int64))[0]]})
+
+        # only this block's partition is read
+        left = sc.runJob(groups.mapInPandas(run, "sums array<long>").rdd, list, [i])
+        out.append([int(x) for x in left[0]["sums"]] if left else carry)
+    return out
 
 
 def sharded(docs: DataFrame, group: list, shards: int, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -91,12 +111,15 @@ def sharded(docs: DataFrame, group: list, shards: int, id_col: str = "doc_id", t
     if not n:
         return spark.createDataFrame([], "doc_id long, group_key string, shard long")
     blocks = -(-n // block)
-    done = cut(_level(groups, blocks, shards, True))
-    assigned = done.select(F.col("node").alias("group_key"), F.col("block").alias("up"), F.element_at("slots", 1).alias("slot"))
-    while blocks > 1:
-        parts = done.where("sums is not null").select(F.col("block").alias("node"), "sums")
-        blocks = -(-blocks // block)
-        done = cut(_level(parts, blocks, shards, False))
-        step = done.select(F.col("node").alias("up"), F.col("block").alias("next"), "slots")
-        assigned = assigned.join(step, "up").select("group_key", F.col("next").alias("up"), F.expr("slots[cast(slot as int)]").alias("slot"))
-    return rows.join(assigned, "group_key").select("doc_id", "group_key", F.col("slot").alias("shard"))
+    groups = cut(groups.repartitionByRange(blocks, F.desc("bytes"), "node"))
+    blocks = groups.rdd.getNumPartitions()
+    sent = spark.sparkContext.broadcast(_carries(groups, blocks, shards))
+
+    def run(batches):
+        rows = _block(batches)
+        if rows is not None:
+            carry = np.array(sent.value[TaskContext.get().partitionId()], np.int64)
+            yield pd.DataFrame({"group_key": rows["node"], "shard": _carried(rows, shards, carry)[1]})
+
+    assigned = cut(groups.mapInPandas(run, "group_key string, shard long"))
+    return rows.join(assigned, "group_key").select("doc_id", "group_key", "shard")

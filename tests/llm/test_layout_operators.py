@@ -214,6 +214,17 @@ def test_shards_keep_groups_and_balance(make, prose):
     assert sharding.sharded(make([(1, "a"), (2, None)]), ["lang"], 3).select("shard").distinct().count() == 1
 
 
+def test_shards_level_heavy_groups_over_blocks(make, prose):
+    texts = [(i, prose(i, 5 + i % 9)) for i in range(200)] + [(500 + i, prose(1000, 30)) for i in range(10)] + [(600 + i, prose(1001, 30)) for i in range(6)]
+    load, where = np.zeros(4, np.int64), {}
+    size = {i: len(t.encode()) for i, t in texts}
+    for r in sharding.sharded(make(texts), ["text"], 4, block=25).collect():
+        load[r["shard"]] += size[r["doc_id"]]
+        where.setdefault(r["group_key"], set()).add(r["shard"])
+    assert len(where) == 202 and all(len(x) == 1 for x in where.values())
+    assert load.sum() == sum(size.values()) and load.max() - load.min() <= 20
+
+
 # ---- shared folder ----
 
 
