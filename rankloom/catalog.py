@@ -102,16 +102,22 @@ def v10(spark, sf):
     return ivf.searched(index, vector_of(spark, sf), 10, "vec_id", "embedding", coarse=len(index.coarse), fine=len(index.fine), digits=DIGITS)
 
 
+def ann(spark: SparkSession, sf: str, k: int, rerank: bool = False) -> DataFrame:
+    """Probes as many cells as keep a recall of 0.9 of the k rows given."""
+    v = table(spark, sf, "embeddings")
+    index = ivf.built(v, "vec_id", "embedding")
+    cells = ivf.cells_for(index, v, "vec_id", "embedding", k)
+    return ivf.searched(index, vector_of(spark, sf), k, "vec_id", "embedding", rerank=v if rerank else None, digits=DIGITS, cells=cells)
+
+
 @register("V11_ann_probe")
 def v11(spark, sf):
-    v = table(spark, sf, "embeddings")
-    return ivf.searched(ivf.built(v, "vec_id", "embedding"), vector_of(spark, sf), ivf.pool_size(10), "vec_id", "embedding", digits=DIGITS)
+    return ann(spark, sf, ivf.pool_size(10))
 
 
 @register("V12_ann_rerank")
 def v12(spark, sf):
-    v = table(spark, sf, "embeddings")
-    return ivf.searched(ivf.built(v, "vec_id", "embedding"), vector_of(spark, sf), 10, "vec_id", "embedding", rerank=v, digits=DIGITS)
+    return ann(spark, sf, 10, rerank=True)
 
 
 @register("V15_ann_delta")

@@ -1,7 +1,8 @@
 """Cluster-probed nearest neighbours: a two-level k-means hierarchy, members partitioned by fine cell, probes as pruning.
 
 Centroids are fitted on a bounded sample (model fitting, `FIT_ROWS`); all rows are then assigned in one pass. Up to 32
-fine cells every query probes all of them, which makes the result exact.
+fine cells every query probes all of them, which makes the result exact. The surveyed system's probe of 4 x 2 cells is
+the default and loses recall as cells grow; `cells_for` measures how many cells keep a given recall.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ..functions.vectors import METRICS, similarity
 ROUNDS = 10
 FIT_ROWS = 100_000
 PROBE_ALL = 32
+#: What approximate searches keep, and the queries it is measured with.
+RECALL, RECALL_QUERIES = 0.9, 200
 COARSE, FINE, MOST_OBJECTS = 4, 2, 64
 MASK = (1 << 64) - 1
 
@@ -118,6 +121,10 @@ class Index:
             out += own[np.argsort(-pairwise(q, self.fine[own], self.metric)[0], kind="stable")[:fine]].tolist()
         return sorted(out)
 
+    def ranked(self, query: Sequence[float]) -> np.ndarray:
+        """All fine cells, those of the nearest centres first, ties to the lowest."""
+        return np.argsort(-pairwise(np.array([query], float), self.fine, self.metric)[0], kind="stable")
+
     def assign(self, points: np.ndarray) -> np.ndarray:
         near = pairwise(points, self.coarse, self.metric).argmax(axis=1)
         out = np.empty(len(points), np.int64)
@@ -183,9 +190,13 @@ def pool_size(top_k: int) -> int:
     return max(8 * top_k, 64)
 
 
-def searched(index: Index, query: Sequence[float], k: int, id_col: str, vector_col: str, coarse: int = COARSE, fine: int = FINE, rerank: DataFrame | None = None, digits: int | None = None) -> DataFrame:
-    """(id, dist) of the k best members of the probed cells; with rerank, live rows score them and decide who exists."""
-    found = index.members.where(F.col("fine_id").isin(index.probes(query, coarse, fine)))
+def searched(index: Index, query: Sequence[float], k: int, id_col: str, vector_col: str, coarse: int = COARSE, fine: int = FINE, rerank: DataFrame | None = None, digits: int | None = None, cells: int | None = None) -> DataFrame:
+    """(id, dist) of the k best members of the probed cells; with rerank, live rows score them and decide who exists.
+
+    With cells, so many fine cells nearest to the query are probed, whatever their coarse cells are.
+    """
+    probed = index.probes(query, coarse, fine) if cells is None else sorted(index.ranked(query)[:cells].tolist())
+    found = index.members.where(F.col("fine_id").isin(probed))
     if rerank is not None:
         found = rerank.join(found.select(id_col), id_col, "left_semi")
     score = similarity(F.col(vector_col), query, index.metric)
@@ -193,6 +204,34 @@ def searched(index: Index, query: Sequence[float], k: int, id_col: str, vector_c
     return scored.orderBy(F.desc("dist"), id_col).limit(k)
 
 
+def cells_for(index: Index, vectors: DataFrame, id_col: str, vector_col: str, k: int = 10, least: float = RECALL, num: int = RECALL_QUERIES) -> int:
+    """The fewest cells whose probe finds `least` of the k nearest others of sampled rows, two standard errors aside.
+
+    All rows are searched once for the sample's true neighbours; of each, the place of its cell in the query's order counts.
+    """
+    from .knn import batch
+
+    rows = vectors.where(F.size(vector_col) == index.coarse.shape[1]).select(id_col, F.col(vector_col).cast("array<double>").alias(vector_col))
+    asked = rows.orderBy(F.xxhash64(id_col), id_col).limit(num).select(F.col(id_col).alias("_q"), F.col(vector_col).alias("_v")).collect()
+    sent = vectors.sparkSession.createDataFrame(asked, f"_q {dict(rows.dtypes)[id_col]}, _v array<double>")
+    near = batch(rows, sent, k + 1, id_col, vector_col, "_q", "_v", index.metric).where(F.col("_q") != F.col(id_col)).select("_q", id_col)
+    hits = index.members.select(id_col, "fine_id").join(F.broadcast(near), id_col).select("_q", "fine_id").collect()
+    if not hits:
+        return len(index.fine)
+    place = {}
+    for q, v in asked:
+        place[q] = np.empty(len(index.fine), np.int64)
+        place[q][index.ranked(v)] = np.arange(len(index.fine))
+    found: dict = {}
+    for q, cell in hits:
+        found.setdefault(q, []).append(place[q][cell])
+    for cells in range(1, len(index.fine)):
+        part = np.array([np.mean(np.array(x) < cells) for x in found.values()])
+        if part.mean() - 2 * part.std() / sqrt(len(part)) >= least:
+            return cells
+    return len(index.fine)
+
+
 def maintained(index: Index, upserts: DataFrame, deletes: DataFrame, id_col: str, vector_col: str) -> Index:
     """Members after a delta: old copies of all touched ids go, new vectors join their nearest cells."""
     gone = deletes.select(id_col).union(upserts.select(id_col)).distinct()

@@ -41,6 +41,29 @@ def test_recall_on_waves(spark):
     assert ivf.recall(ivf.built(df, "id", "embedding"), df, "id", "embedding", "waves", 10, 5)["avg_recall"] >= 0.75
 
 
+def test_registered_searches_keep_recall(spark, monkeypatch):
+    from rankloom import catalog
+
+    sf = "/root/testdata/sf0.1"
+    v = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = v.orderBy("vec_id").collect()
+    m, at = np.array([r["embedding"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    asked, used = list(range(0, len(m), 10)), {}
+    real = ivf.searched
+    monkeypatch.setattr(ivf, "searched", lambda index, *a, **kw: used.update(index=index, **kw) or real(index, *a, **kw))
+    truth = np.argsort(-ivf.pairwise(m[asked], m, "cosine_distance"), axis=1, kind="stable")
+    for query, k in ((catalog.v11, ivf.pool_size(10)), (catalog.v12, 10)):
+        assert query(spark, sf).count() == k
+        index, cells = used["index"], used.get("cells")
+        cell = index.assign(m)
+        found = [np.isin(cell[truth[i, :k]], index.probes(m[q]) if cells is None else index.ranked(m[q])[:cells]).mean() for i, q in enumerate(asked)]
+        assert np.mean(found) >= 0.9
+        assert cells < len(index.fine)
+        got = {r["vec_id"] for r in real(index, m[5], k, "vec_id", "embedding", cells=cells).collect()}
+        inside = np.isin(cell[truth[0]], index.ranked(m[0])[:cells])
+        assert {r["vec_id"] for r in query(spark, sf).collect()} == set(at[truth[0][inside][:k]].tolist()) and len(got) == k
+
+
 def test_probes_prune_partitions(spark, tmp_path):
     df = frame(spark, np.random.default_rng(3).normal(size=(400, 6)))
     index = ivf.built(df, "id", "v", path=str(tmp_path / "members"))
