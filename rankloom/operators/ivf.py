@@ -110,8 +110,8 @@ class Index:
     path: str | None = None
 
     def probes(self, query: Sequence[float], coarse: int = COARSE, fine: int = FINE, most: int = MOST_OBJECTS) -> list[int]:
-        """Fine cells that a query reads: the best of the best coarse cells, ties to the lowest, or all of a few."""
-        if len(self.fine) <= PROBE_ALL:
+        """Fine cells that a query reads: the best of the best coarse cells, ties to the lowest, or all of a few or when all are asked for."""
+        if len(self.fine) <= PROBE_ALL or (coarse >= len(self.coarse) and fine >= np.bincount(self.parent).max()):
             return list(range(len(self.fine)))
         coarse, fine = clamp(coarse, fine, most)
         q = np.array([query], float)

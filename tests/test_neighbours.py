@@ -41,6 +41,15 @@ def test_recall_on_waves(spark):
     assert ivf.recall(ivf.built(df, "id", "embedding"), df, "id", "embedding", "waves", 10, 5)["avg_recall"] >= 0.75
 
 
+def test_all_cells_are_read_when_asked_for(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    for rows in (v.where("label = 0"), v):
+        index = ivf.fitted(rows, "vec_id", "embedding", layout=3)
+        assert len(index.fine) > ivf.PROBE_ALL
+        assert index.probes(index.fine[0], len(index.coarse), len(index.fine)) == list(range(len(index.fine)))
+        assert len(index.probes(index.fine[0], len(index.coarse), 1)) < len(index.fine)
+
+
 def test_registered_searches_keep_recall(spark, monkeypatch):
     from rankloom import catalog
 
