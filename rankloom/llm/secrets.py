@@ -2,7 +2,9 @@
 
 Candidates are runs of 16 signs or more of key alphabets with letters and digits, or letters of both cases in a mix. A
 byte-pair vocabulary spends many tokens on random strings: characters per token below `ratio` expose them. Left out:
-digests that the caller knows or that the text names as such, UUIDs, e-mail names, parts of URLs, and numbers.
+digests that the caller knows or that the text names as such, UUIDs, e-mail names, and numbers. Of an address, what may
+hold a key is judged piece by piece: user info, values behind ? and #, and parts of the path of 24 signs or more that are
+neither hexadecimal digests nor words and numbers joined by - or _; its host is left out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,13 @@ RATIO = 2.3
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RUN = re.compile(r"[A-Za-z0-9+/_=\-]{16,}")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-NAMED = re.compile(r"(?:md5|sha-?\d*|digest|checksum|commit|etag|revision|fingerprint|integrity)[\"']?\s*[:=#(]?\s*[\"']?(?:sha\d+-)?$", re.IGNORECASE)
+NAMED = re.compile(r"(?<![a-z])(?:md5|sha-?\d*|digest|checksum|commit|etag|revision|fingerprint|integrity)[\"']?\s*[:=#(]?\s*[\"']?(?:sha\d+-)?$", re.IGNORECASE)
+MAIL = re.compile(r"@[\w-]+(?:\.[\w-]+)+")
+AUTHORITY = re.compile(r"[^\s/?#\"<>]*")
+DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
+SLUG = re.compile(r"(?:[A-Z]?[a-z]*|[A-Z]+|\d+)(?:[-_]+(?:[A-Z]?[a-z]*|[A-Z]+|\d+))*")
+NAME, PART = re.compile(r"[^=]*=+(?=[^=])"), re.compile(r"[^/=]+")
+LEAST, LEAST_PATH = 16, 24
 _encoders: dict[str, object] = {}
 
 
@@ -46,20 +54,45 @@ def _mixed(s: str) -> bool:
     return letters and len(s) >= 20 and turns >= len(s) / 6
 
 
+def _address(text: str, a: int, e: int) -> int | None:
+    """Where the authority of the address starts that the run a..e is in; None outside of addresses."""
+    start = max(text.rfind(c, 0, a) for c in ' \n\t\r"<>') + 1
+    at = text.rfind("://", start, e)
+    return None if at < 0 else at + 3
+
+
+def _pieces(text: str, a: int, e: int, start: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of what may be a key in the run a..e of the address whose authority begins at start."""
+    a = max(a, start)
+    stop = AUTHORITY.match(text, start).end()
+    if a < text.rfind("@", start, stop) or text[e : e + 1] == "@":
+        yield a, e
+    elif max(text.rfind("?", start, a), text.rfind("#", start, a)) >= 0:
+        name = NAME.match(text, a, e)
+        yield (name.end() if name else a), e
+    else:
+        for part in PART.finditer(text, max(a, stop), e):
+            if len(part.group()) >= LEAST_PATH and not DIGEST.fullmatch(part.group()) and not SLUG.fullmatch(part.group()):
+                yield part.span()
+
+
 def find(text: str, enc, ratio: float = RATIO, known: frozenset[str] = frozenset()) -> Iterator[tuple[int, int, float]]:
     """(start, end, characters per token) of each secret in the text."""
     for m in RUN.finditer(text):
-        a, s = m.start(), m.group().rstrip("=")
-        if not _mixed(s) or UUID.fullmatch(s) or s.lower() in known:
-            continue
-        if text[m.end() : m.end() + 1] == "@" or NAMED.search(text, max(0, a - 40), a):
+        a, e = m.span()
+        if not _mixed(m.group().rstrip("=")):
             continue
-        word = text[max(text.rfind(" ", 0, a), text.rfind("\n", 0, a), text.rfind('"', 0, a)) + 1 : a] if "/" in s or text[max(0, a - 1) : a] in (".", ":", "/", "?", "&", "#") else ""
-        if "://" in word + s or word.endswith(("www.", "://")):
+        mail = text[e : e + 1] == "@"
+        start = _address(text, a, e) if mail or "/" in m.group() or text[max(0, a - 1) : a] in (".", ":", "/", "?", "&", "#", "%", ";") else None
+        if start is None and (text.endswith("www.", 0, a) or mail and MAIL.match(text, e) and (text[a - 1 : a] != ":" or text[max(0, a - 7) : a].lower() == "mailto:")):
             continue
-        per = len(s) / len(enc.encode_ordinary(s))
-        if per < ratio:
-            yield a, m.end(), per
+        for i, j in [(a, e)] if start is None else _pieces(text, a, e, start):
+            s = text[i:j].rstrip("=")
+            if len(s) < LEAST and start is not None or not _mixed(s) or UUID.fullmatch(s) or s.lower() in known or NAMED.search(text, max(0, i - 40), i):
+                continue
+            per = len(s) / len(enc.encode_ordinary(s))
+            if per < ratio:
+                yield i, j, per
 
 
 def secrets(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO, known: tuple[str, ...] = ()) -> DataFrame:

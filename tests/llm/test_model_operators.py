@@ -171,6 +171,34 @@ def test_secret_cases(text, found):
     assert [g.removeprefix("TOKEN=") for g in got] == found
 
 
+TOKEN = "q7Zp2Xv9Lk4Tn8Rw3Yb6Hd1Mc5Jf0GsA"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (f"clone https://user:{TOKEN}@host/", [TOKEN]),
+        (f"clone https://{TOKEN}@host.example.org/x.git", [TOKEN]),
+        (f"dsn postgres://svc:{TOKEN}@host/db", [TOKEN]),
+        (f"dsn svc:{TOKEN}@db.example.org now", [TOKEN]),
+        (f"get https://host/?access_token={TOKEN}", [TOKEN]),
+        (f"get https://host/a/b?x=1&access_token={TOKEN}&y=2", [TOKEN]),
+        (f"get https://host/cb#access_token={TOKEN}", [TOKEN]),
+        (f"get https://host/?key={HEX}", [HEX]),
+        (f"hook https://hooks.example.org/services/T0A1/{TOKEN}", [TOKEN]),
+        (f"Natasha: {TOKEN}", [TOKEN]),
+        (f"git_commit: {HEX}", []),
+        (f"get https://host/?sha1={HEX}", []),
+        (f"mail mailto:{HEX[:20]}@example.org", []),
+        (f"blob https://host/blob/{HEX}/file.py", []),
+        (f"at https://{HEX[:20]}.example.org/x", []),
+        ("read https://example.org/2024/how-to-train-your-own-model-in-10-steps", []),
+    ],
+)
+def test_secrets_in_addresses(text, found):
+    assert [text[a:b] for a, b, _ in secrets.find(text, secrets.encoder(RANKS))] == found
+
+
 def test_secret_tables(make):
     docs = make([*EDGES, (7, f"a {HEX} b {HEX}"), (7, f"a {HEX} b {HEX}"), (None, HEX)])
     got = rows(secrets.secrets(docs, RANKS))
