@@ -472,6 +472,18 @@ def s8(spark, sf):
     return ndjson(table(spark, sf, "conversations").select("conv_id", "turn", "role"))
 
 
+@register("S7_export_whole", "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 250")
+def s7_whole(spark, sf):
+    """The page with the texts."""
+    return page_rows(table(spark, sf, "documents"), 100, 250, "doc_id")
+
+
+@register("S8_ndjson_whole", """SELECT '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"' || coalesce(',"text":' || to_json(text)::VARCHAR, '') || '}' AS line FROM conversations""")
+def s8_whole(spark, sf):
+    """All columns, the texts among them."""
+    return ndjson(table(spark, sf, "conversations"))
+
+
 @register("S12_row_counts", "SELECT count(*) AS approx_row_count, max(seq) AS commit_seq FROM (SELECT event_id // 100 + 1 AS seq FROM events)")
 def s12(spark, sf):
     return change_log(spark, sf).agg(F.count("*").alias("approx_row_count"), F.max("seq").alias("commit_seq"))
@@ -785,6 +797,15 @@ def e4(spark, sf):
     return measures.billed(table(spark, sf, "documents").drop("text"), 64, "doc_id")
 
 
+WHOLE_BYTES = "greatest(1, sum(strlen(doc_id::VARCHAR) + coalesce(strlen(to_json(text)::VARCHAR), 0) + strlen(lang) + 2 + strlen(source) + 2 + strlen(n_chars::VARCHAR)) // count(*))::BIGINT"
+
+
+@register("E4_billing_whole", f"SELECT count(*) AS docs, {WHOLE_BYTES} AS avg_doc_bytes, {WHOLE_BYTES} * 64 AS queried_bytes FROM documents")
+def e4_whole(spark, sf):
+    """Whole documents, the texts among them."""
+    return measures.billed(table(spark, sf, "documents"), 64, "doc_id")
+
+
 @register("E6_overlap", f"""
 WITH a AS (SELECT vec_id FROM embeddings ORDER BY {COS} DESC, vec_id LIMIT 10),
 b AS (SELECT vec_id FROM embeddings, (SELECT {Q0} AS v) q ORDER BY round(-{L2}, 6) DESC, vec_id LIMIT 10)
