@@ -2,20 +2,22 @@
 
 A word that training has seen scores its log frequency in each language. An unseen one falls back to its n-grams,
 ends marked: the longest order of which one is known, averaged. A text gets the language of the greatest mean over its
-words. Training counts the words of `max_train` labelled rows at most, chosen by hashed id, and keeps `max_words`.
+words. Training counts the words of about `max_train` rows of each language at most, chosen by hashed id, and keeps the
+`max_words` commonest of each; of a rarer language all rows count.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS, id_text, map_arrow, slices, stable_fraction
+from .common import WORDS, cut, id_text, map_arrow, slices
 
 ORDERS = (5, 4, 3, 2, 1)
 MAX_TRAIN = 20_000
@@ -23,34 +25,56 @@ MAX_WORDS = 100_000
 CACHE = 200_000
 
 
+class Table:
+    """Rows of log frequencies by key, in one matrix; it travels as one text of keys, which have no line breaks."""
+
+    def __init__(self, at: dict[str, int], logs: np.ndarray):
+        self.at, self.logs = at, logs
+
+    def get(self, key: str) -> np.ndarray | None:
+        i = self.at.get(key)
+        return None if i is None else self.logs[i]
+
+    def __iter__(self):
+        return iter(self.at)
+
+    def __getstate__(self):
+        return "\n".join(self.at), self.logs
+
+    def __setstate__(self, state):
+        keys, self.logs = state
+        self.at = {k: i for i, k in enumerate(keys.split("\n") if keys else ())}
+
+
 @dataclass(frozen=True)
 class Model:
     langs: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]
-    grams: tuple[dict[str, tuple[float, ...]], ...]
+    words: Table
+    grams: tuple[Table, ...]
 
     def word(self, word: str) -> tuple[float, ...]:
         found = self.words.get(word)
         if found is not None:
-            return found
+            return tuple(found.tolist())
         marked = f"<{word}>"
         for n, known in zip(ORDERS, self.grams):
             rows = [r for i in range(len(marked) - n + 1) if (r := known.get(marked[i : i + n])) is not None]
             if rows:
-                return tuple(sum(c) / len(rows) for c in zip(*rows))
+                return tuple(sum(c) / len(rows) for c in zip(*(r.tolist() for r in rows)))
         return (0.0,) * len(self.langs)
 
 
-def _logs(counts: dict[str, np.ndarray], total: np.ndarray) -> dict[str, tuple[float, ...]]:
-    base = np.log(total + 0.5 * max(1, len(counts)))
-    return {k: tuple((np.log(v + 0.5) - base).tolist()) for k, v in counts.items()}
+def _logs(at: dict[str, int], counts: np.ndarray) -> Table:
+    base = np.log(counts.sum(axis=0) + 0.5 * max(1, len(at)))
+    return Table(at, np.log(counts + 0.5) - base)
 
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Model:
     """Model of the labelled rows; those with a null language, id or text are left out. Without any it knows no language."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("id is not null and lang is not null")
-    n = rows.count()
-    some = stable_fraction(rows, "id", max_train / n if n > max_train else 1).where("text is not null")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    some = rows.join(F.broadcast(sizes), "lang").where((F.col("rows") <= max_train) | (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.floor(F.lit(max_train) / F.col("rows") * (1 << 30))))
+    some = some.where("text is not null").select("id", "text", "lang")
 
     def count(batches):
         found: dict[str, Counter] = {}
@@ -61,29 +85,32 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
     counted = map_arrow(some, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by_word = counted.groupBy("word").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("n"))
-    top = by_word.orderBy(F.desc("all"), "word").limit(max_words).collect()
-    langs = tuple(sorted({lang for r in top for lang in r["n"]}))
-    at = {lang: i for i, lang in enumerate(langs)}
-    words: dict[str, np.ndarray] = {}
-    for r in top:
-        v = words[r["word"]] = np.zeros(len(langs))
-        for lang, c in r["n"].items():
-            v[at[lang]] = c
-    total = sum(words.values(), np.zeros(len(langs)))
+    counted = cut(counted)
+    common = counted.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("at") <= max_words)
+    top = counted.join(common.select("word").distinct(), "word", "left_semi").select("lang", "word", "n").toArrow()
+    langs = tuple(sorted(top["lang"].unique().to_pylist()))
+    at: dict[str, int] = {}
+    words = np.fromiter((at.setdefault(w.as_py(), len(at)) for w in top["word"]), np.int64, top.num_rows)
+    counts = np.zeros((len(at), len(langs)))
+    place = {lang: i for i, lang in enumerate(langs)}
+    counts[words, np.fromiter((place[x.as_py()] for x in top["lang"]), np.int64, top.num_rows)] = top["n"].to_numpy()
+    del top
     grams = []
     for n in ORDERS:
-        g: dict[str, np.ndarray] = {}
-        for w, v in words.items():
+        own: dict[str, int] = {}
+        of, of_word = array("q"), array("q")
+        for w, i in at.items():
             marked = f"<{w}>"
-            for i in range(len(marked) - n + 1):
-                k = marked[i : i + n]
-                if k in g:
-                    g[k] += v
-                else:
-                    g[k] = v.copy()
-        grams.append(_logs(g, sum(g.values(), np.zeros(len(langs)))))
-    return Model(langs, _logs(words, total), tuple(grams))
+            for j in range(len(marked) - n + 1):
+                of.append(own.setdefault(marked[j : j + n], len(own)))
+                of_word.append(i)
+        g = np.zeros((len(own), len(langs)))
+        if len(of):
+            gram, word = np.frombuffer(of, np.int64), np.frombuffer(of_word, np.int64)
+            for c in range(len(langs)):
+                g[:, c] = np.bincount(gram, counts[word, c], len(own))
+        grams.append(_logs(own, g))
+    return Model(langs, _logs(at, counts), tuple(grams))
 
 
 class Scorer:

@@ -143,6 +143,14 @@ def test_backoff_and_edges(make):
     assert langid.identified(make([]), model).count() == 0
 
 
+def test_rare_languages_are_trained(make):
+    docs = make([(i, f"common words number {i % 40} of many rows again and again", "aa") for i in range(2000)] + [(5000 + i, "zyx wvu tsr", "zz") for i in range(3)])
+    model = langid.train(docs, max_train=50, max_words=10)
+    assert model.langs == ("aa", "zz") and {"zyx", "wvu", "tsr", "again"} <= set(model.words)
+    got = {r["doc_id"]: r["pred_lang"] for r in langid.identified(make([(1, "wvu zyx"), (2, "many rows"), (3, "zyxw")]), model).collect()}
+    assert got == {1: "zz", 2: "aa", 3: "zz"}
+
+
 # ---- secrets ----
 
 HEX = "3c4226790fc3f8022bcc4434e93601b2005f1325"
