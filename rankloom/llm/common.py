@@ -74,8 +74,9 @@ class RollingHash:
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns that an operator needs, under fixed names; whatever else the table has can't clash."""
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    """Only the two columns that an operator needs, under fixed names; whatever else the table has can't clash. An id that
+    is no integer counts as null."""
+    return docs.select(docs[id_col].try_cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

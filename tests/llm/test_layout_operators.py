@@ -68,6 +68,56 @@ def test_neighbours_recall_over_many_cells(spark):
     assert all(abs(d - np.linalg.norm(m[i] - m[n])) < 1e-6 for i in list(got)[:50] for n, d in got[i].values())
 
 
+def test_queries_by_blocks_over_a_tree_of_two_levels(spark):
+    """Recall of the registered form on the test table: every 50th row against all, in several blocks."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    m = np.array([r[0] for r in v.orderBy("vec_id").select("embedding").collect()], float)
+    want = brute(m, 10)
+    for more in ({}, {"cell": 100, "sample": 512, "query_bytes": 5000}):
+        got = {}
+        for r in ann.neighbours(v, v.where("vec_id % 50 = 0"), **more).collect():
+            got.setdefault(r["vec_id"], set()).add(r["neighbour_id"])
+        assert set(got) == set(range(0, len(m), 50)) and all(len(x) == 10 for x in got.values())
+        assert np.mean([len(want[i] & x) / 10 for i, x in got.items()]) >= 0.9
+
+
+def test_the_stopping_test_prunes_clustered_vectors():
+    """Under a fifth of all pairs of a query and a row is verified, and nine tenths of the neighbours are found."""
+    rng = np.random.default_rng(3)
+    n, k, dims = 20_000, 10, 12
+    m = 3 * rng.normal(size=(60, 32))[rng.integers(0, 60, n)] + 0.5 * rng.normal(size=(n, 32))
+    way, quantile = ann.directions(32, dims, 7), ann.chi_square_quantile(0.9, dims)
+    p = m @ way
+    tree = ann.Tree(ann.kd_cuts(p[:2000], 16), {})
+    at = tree.cell(p)
+    q = np.arange(0, n, 50)
+    best, found, verified = np.full((len(q), k), np.inf), np.zeros((len(q), k), np.int64), 0
+    for home in (True, False):
+        for c in np.unique(at):
+            own = ann.Cell.of(np.flatnonzero(at == c), m[at == c], p[at == c])
+            some = np.flatnonzero((at[q] == c) == home)
+            d, i, seen = own.search(q[some], m[q[some]], p[q[some]], best[some, -1], k, quantile)
+            best[some], found[some] = ann._merge(best[some], found[some], d, i)
+            verified += seen
+    assert verified < 0.2 * len(q) * n
+    d = ((m[q] ** 2).sum(1)[:, None] + (m**2).sum(1)[None] - 2 * m[q] @ m.T)
+    d[np.arange(len(q)), q] = np.inf
+    true = np.argsort(d, axis=1)[:, :k]
+    assert np.mean([len(set(a) & set(b)) / k for a, b in zip(true, found)]) >= 0.9
+
+
+def test_hot_vectors_and_queries_from_elsewhere(spark):
+    m = np.zeros((3000, 4))
+    m[2000:] = np.random.default_rng(0).normal(size=(1000, 4))
+    asked = table(spark, [[0.0] * 4, [0.1] * 4], [(7000, [1.0]), (None, [0.0] * 4)])
+    got = {}
+    for r in ann.neighbours(table(spark, m), asked, k=3, cell=64).collect():
+        got.setdefault(r["vec_id"], {})[r["rank"]] = r["neighbour_id"]
+    assert got[0] == {1: 1, 2: 2, 3: 3} and set(got) == {0, 1}
+    strings = spark.createDataFrame([("1", [0.0, 1.0]), ("x", [0.0, 1.0]), ("2", [0.0, 2.0])], "vec_id string, embedding array<float>")
+    assert [(r[0], r[1]) for r in rows(ann.neighbours(strings))] == [(1, 2), (2, 1)]
+
+
 def test_projected_distance_is_chi_square():
     for dims, p, want in ((4, 0.95, 9.4877), (12, 0.9, 18.5493), (1, 0.5, 0.4549)):
         assert ann.chi_square_quantile(p, dims) == pytest.approx(want, abs=1e-3)
