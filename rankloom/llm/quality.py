@@ -2,8 +2,9 @@
 
 P(grade <= j) = sigmoid(theta_j - w.x) with one weight vector for all grades and ordered thresholds. x marks the
 hashed features of the whole text: its distinct words, their beginnings and the steps its style rates fall on.
-Features are screened and picked by an L1 penalty. Expected grade and the tail P(grade >= least) follow; selection takes rows
-whose tail reaches `cutoff`. Fitting looks at `max_train` labelled rows at most, chosen by hashed id; scoring at all.
+Features are picked by an L1 penalty. Expected grade and the tail P(grade >= least) follow; selection takes rows
+whose tail reaches `cutoff`. Fitting looks at about `max_train` labelled rows, chosen by hashed id; scoring at all.
+Very long texts count whole; equal texts score equally, and a tail that just reaches the cutoff is kept.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ BUCKETS = 1 << 20
 #: Lengths of the beginnings of words that are features.
 PREFIXES = (3, 4, 5, 6, 7)
 #: Labelled rows that fitting looks at, about; a bound on the model's data, not on what is scored.
-MAX_TRAIN = 10_000
+MAX_TRAIN = 20_000
+#: Sampled rows up to which they are sent to every executor; more are joined by shuffle.
+SENT_ROWS = 200_000
 #: Least P(grade >= least) of what is kept. Texts with nothing against them score well above it.
 CUTOFF = 0.6
 
@@ -79,105 +82,149 @@ class Model:
         return [1 / (1 + exp(min(60.0, max(-60.0, t - score)))) for t in self.theta.tolist()]
 
 
-def _descend(doc: np.ndarray, col: np.ndarray, width: int, grades: np.ndarray, theta: np.ndarray, l1: float, l2: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proximal adaptive gradient on the mean negative log likelihood plus penalties; the best weights and thresholds met."""
-    n, k = len(grades), len(theta)
-    w, hw, ht = np.zeros(width), np.full(width, 1e-10), np.full(k, 1e-10)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-    best, best_loss = (w.copy(), theta.copy()), np.inf
-    for _ in range(rounds):
-        s = np.bincount(doc, w[col], minlength=n)
-        e = np.r_[-np.inf, theta, np.inf]
-        up, low = sig(e[grades + 1] - s), sig(e[grades] - s)
-        p = np.maximum(up - low, 1e-12)
-        loss = -np.log(p).mean() + l1 * np.abs(w).sum() + l2 / 2 * (w @ w)
-        if loss < best_loss:
-            best, best_loss = (w.copy(), theta.copy()), loss
-        du, dl = up * (1 - up) / p, low * (1 - low) / p
-        gw = np.bincount(col, (du - dl)[doc], minlength=width) / n + l2 * w
-        gt = np.array([(dl[grades == j + 1].sum() - du[grades == j].sum()) / n for j in range(k)])
-        hw += gw * gw
-        ht += gt * gt
-        step = 0.3 / np.sqrt(hw)
-        w = w - step * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-        theta = np.maximum.accumulate(theta - 0.3 / np.sqrt(ht) * gt + 1e-6 * np.arange(k))
-    return best
-
-
-def _scored(x: np.ndarray, grades: np.ndarray, w: np.ndarray, theta: np.ndarray, l2: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Fisher scoring of few features, thresholds and weights in turn, with steps halved until the loss falls."""
-    n, k = len(grades), len(theta)
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-
-    def look(w, theta):
-        e = np.r_[-np.inf, theta, np.inf]
-        c = sig(e[None] - (x @ w)[:, None])
-        p = np.maximum(np.diff(c, axis=1), 1e-12)
-        return c * (1 - c), p, -np.log(p[np.arange(n), grades]).mean() + l2 / 2 * (w @ w)
-
-    d, p, loss = look(w, theta)
+class Rows:
+    """Distinct buckets of each row, laid end to end; worked through in stretches, so that no copy of all is made."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, stretch: int = 2_000_000):
+        self.flat, self.sizes, self.n = flat, sizes, len(sizes)
+        ends = np.r_[0, np.cumsum(sizes)]
+        rows, self.parts = 0, []
+        while rows < self.n:
+            to = max(rows + 1, int(np.searchsorted(ends, ends[rows] + stretch, side="right")) - 1)
+            self.parts.append((rows, to, int(ends[rows]), int(ends[to])))
+            rows = to
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """For each bucket the sum of the values of the rows that hold it."""
+        out = np.zeros(BUCKETS)
+        for r0, r1, a, b in self.parts:
+            out += np.bincount(self.flat[a:b], np.repeat(values[r0:r1], self.sizes[r0:r1]), minlength=BUCKETS)
+        return out
+
+    def holders(self, buckets: np.ndarray) -> list[np.ndarray]:
+        """For each of the buckets the rows that hold it."""
+        at = np.full(BUCKETS, -1, np.int32)
+        at[buckets] = np.arange(len(buckets))
+        rows, which = [], []
+        for r0, r1, a, b in self.parts:
+            own = at[self.flat[a:b]]
+            hit = np.flatnonzero(own >= 0)
+            which.append(own[hit])
+            rows.append(np.repeat(np.arange(r0, r1, dtype=np.int32), self.sizes[r0:r1])[hit])
+        which, rows = np.concatenate(which), np.concatenate(rows)
+        by = np.argsort(which, kind="stable")
+        return np.split(rows[by], np.searchsorted(which[by], np.arange(1, len(buckets))))
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
+
+def derivatives(score: np.ndarray, grades: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's negative log likelihood: the value, its slope and expected curvature in the score; and the cumulative
+    probabilities' slopes by threshold."""
+    n = len(grades)
+    c = _sigmoid(np.r_[-np.inf, theta, np.inf][None] - score[:, None])
+    c[:, 0], c[:, -1] = 0, 1
+    p = np.maximum(np.diff(c, axis=1), 1e-12)
+    d = c * (1 - c)
+    own = p[np.arange(n), grades]
+    slope = (d[np.arange(n), grades + 1] - d[np.arange(n), grades]) / own
+    return -np.log(own), slope, (np.diff(d, axis=1) ** 2 / p).sum(axis=1), d / np.c_[own, own[:, None] * np.ones(d.shape[1] - 1)]
+
+
+def _thresholds(score: np.ndarray, grades: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """A Newton step for the thresholds, of bounded length, halved until it helps and keeps their order."""
+    k = len(theta)
+    value, _, _, d = derivatives(score, grades, theta)
+    slope = np.array([d[grades == j + 1, j + 1].sum() - d[grades == j, j + 1].sum() for j in range(k)])
+    curve = np.array([(d[(grades == j) | (grades == j + 1), j + 1] ** 2).sum() for j in range(k)]) + 1e-9
+    step, size = np.clip(slope / curve, -2, 2), 1.0
+    while size > 1e-4:
+        moved = np.clip(theta - size * step, -30, 30)
+        if (np.diff(moved) > 0).all() and derivatives(score, grades, moved)[0].sum() < value.sum():
+            return moved
+        size /= 2
+    return theta
+
+
+def _solved(holders: list[np.ndarray], grades: np.ndarray, w: np.ndarray, theta: np.ndarray, l1: float, l2: float, rounds: int = 60, sweeps: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, thresholds and scores of the least mean loss plus penalties: quadratic models of the loss, each worked off
+    feature by feature, and Newton steps for the thresholds in between."""
+    n = len(grades)
+    w = w.copy()
+    score = np.zeros(n)
+    for own, x in zip(holders, w):
+        if x:
+            score[own] += x
+    loss = lambda score, w, theta: derivatives(score, grades, theta)[0].mean() + l1 * np.abs(w).sum() + l2 / 2 * (w @ w)
+    now = loss(score, w, theta)
     for _ in range(rounds):
-        before = loss
-        own = p[np.arange(n), grades]
-        gw = x.T @ ((d[np.arange(n), grades + 1] - d[np.arange(n), grades]) / own) / n + l2 * w
-        info = (np.diff(d, axis=1) ** 2 / p).sum(axis=1) / n
-        dw = np.linalg.solve((x * info[:, None]).T @ x + (l2 + 1e-9) * np.eye(len(w)), gw)
-        gt = np.array([((d[:, j + 1] / p[:, j + 1])[grades == j + 1].sum() - (d[:, j + 1] / p[:, j])[grades == j].sum()) / n for j in range(k)])
-        ht = np.array([(d[:, j + 1] ** 2 * (1 / p[:, j] + 1 / p[:, j + 1])).sum() / n + 1e-9 for j in range(k)])
-        for step_w, step_t in ((dw, 0 * gt), (0 * dw, gt / ht)):
-            size = 1.0
-            while size > 1e-4:
-                w2, t2 = w - size * step_w, theta - size * step_t
-                if (np.diff(t2) > 0).all():
-                    d2, p2, l2nd = look(w2, t2)
-                    if l2nd < loss:
-                        w, theta, d, p, loss = w2, t2, d2, p2, l2nd
-                        break
-                size /= 2
-        if before - loss < 1e-9:
+        before = now
+        for _ in range(2):
+            theta = _thresholds(score, grades, theta)
+        now = loss(score, w, theta)
+        _, slope, curve, _ = derivatives(score, grades, theta)
+        bend = np.array([curve[own].sum() for own in holders]) / n + l2 + 1e-9
+        new, moved = w.copy(), np.zeros(n)
+        for sweep in range(sweeps):
+            most = 0.0
+            for j in range(len(w)) if not sweep else np.flatnonzero(new):
+                own = holders[j]
+                g = (slope[own].sum() + curve[own] @ moved[own]) / n + l2 * new[j]
+                z = new[j] * bend[j] - g
+                x = np.sign(z) * max(abs(z) - l1, 0.0) / bend[j]
+                if x != new[j]:
+                    moved[own] += x - new[j]
+                    most = max(most, abs(x - new[j]))
+                    new[j] = x
+            if most < 1e-4:
+                break
+        size = 1.0
+        while size > 1e-3:
+            step = w + size * (new - w)
+            then = loss(score + size * moved, step, theta)
+            if then < now:
+                w, score, now = step, score + size * moved, then
+                break
+            size /= 2
+        if before - now < 1e-7:
             break
-    return w, theta
+    return w, theta, score
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, least_gain: float = 8, l2: float = 1e-5, rounds: int = 150, least_rows: int = 8, screened: int = 4000, most: int = 500) -> Model:
-    """Features of the largest score statistic at zero weights are screened; a pass with an L1 penalty, under which one
-    must account for about `least_gain` rows (a fortieth of few), picks at most `most`; Fisher scoring with a small L2
-    penalty fits these, so that rare but decisive words get their full weight.
+def fit(rows: Rows | list[np.ndarray], grades: np.ndarray, top: int, least_gain: float = 8, l2: float = 1e-5, slack: float = 0.01) -> Model:
+    """An L1 penalty of least_gain / n, under which a feature must account for about `least_gain` rows, picks features
+    among all; the fit is then repeated with these and a small L2 penalty, so that rare but decisive words get their full
+    weight.
 
-    rows hold each text's distinct buckets; features of fewer than `least_rows` rows are left out.
+    rows hold each text's distinct buckets. The penalised optimum is found with those features only that its conditions
+    ask for: as long as any other's slope is above the penalty, by `slack` of it, it joins. No feature is left out for
+    its rank or rarity: one of fewer than least_gain rows can't reach the penalty, as a row's slope is under 1.
     """
-    k = max(1, top)
-    n = len(rows)
-    share = np.array([(grades < j).mean() for j in range(1, k + 1)]).clip(0.005, 0.995)
+    if not isinstance(rows, Rows):
+        rows = Rows(np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int32), np.array([len(r) for r in rows]))
+    k, n = max(1, top), rows.n
+    l1 = least_gain / n
+    share = np.array([(grades < j).mean() for j in range(1, k + 1)]).clip(0.5 / n, 1 - 0.5 / n)
     theta = np.log(share / (1 - share)) + 1e-3 * np.arange(k)
-    rows = [r.astype(np.int32, copy=False) for r in rows]
-    c = np.r_[0, 1 / (1 + np.exp(-theta)), 1]
-    d = c * (1 - c)
-    pull = ((d[1:] - d[:-1]) / np.diff(c))[grades]
-    seen, z = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS)
-    for r, x in zip(rows, pull):
-        seen[r] += 1
-        z[r] += x
-    z = np.abs(z) / np.sqrt(np.maximum(seen, 1))
-    z[(seen < least_rows) | (seen >= n)] = 0
-    used = np.sort(np.argsort(-z, kind="stable")[:screened])
-    used = used[z[used] > 0]
-    at = np.full(BUCKETS, -1, np.int32)
-    at[used] = np.arange(len(used))
-    own = [x[x >= 0] for x in (at[r] for r in rows)]
-    col = np.concatenate(own)
-    doc = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in own])
-    w, theta = _descend(doc, col, len(used), grades, theta, min(least_gain / n, 1 / 40), 0.0, rounds)
-    picked = np.sort(np.argsort(-np.abs(w), kind="stable")[:most])
-    picked = picked[w[picked] != 0]
-    place = np.full(len(used) + 1, -1, np.int32)
-    place[picked] = np.arange(len(picked))
-    x = np.zeros((n, len(picked)))
-    x[doc[place[col] >= 0], place[col][place[col] >= 0]] = 1
+    used, w, score, holders = np.empty(0, np.int64), np.empty(0), np.zeros(n), []
+    while True:
+        slope = np.abs(rows.sums(derivatives(score, grades, theta)[1])) / n
+        slope[used] = 0
+        more = np.flatnonzero(slope > l1 * (1 + slack))
+        if not len(more):
+            break
+        # the steepest first: what they explain spares others the way
+        more = np.sort(more[np.argsort(-slope[more], kind="stable")[:200]])
+        used, w = np.r_[used, more], np.r_[w, np.zeros(len(more))]
+        holders += rows.holders(more)
+        w, theta, score = _solved(holders, grades, w, theta, l1, 0.0, 12)
+        keep = np.flatnonzero(w)
+        used, w, holders = used[keep], w[keep], [holders[j] for j in keep]
     weights = np.zeros(BUCKETS, np.float32)
-    weights[used[picked]], fitted = _scored(x, grades, w[picked], theta + 1e-6 * np.arange(k), l2)
-    return Model(weights, fitted)
+    weights[used], theta, _ = _solved(holders, grades, w, theta, 0.0, l2)
+    return Model(weights, theta)
 
 
 def train(docs: DataFrame, labels: DataFrame, grade: str, top: int, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", max_train: int = MAX_TRAIN) -> Model | None:
@@ -193,15 +240,18 @@ def train(docs: DataFrame, labels: DataFrame, grade: str, top: int, id_col: str
     def run(batches):
         buckets = Features()
         for b in slices(batches):
-            out = [np.array(features(t, buckets) or [], np.int32) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([np.unique(x).tobytes() for x in out], pa.binary())], ["id", "grade", "x"])
-
-    rows = id_text(docs, id_col, text_col).where("text is not null").join(F.broadcast(some), "id")  # max_train rows, about
-    got = [r for r in map_arrow(rows, run, "id long, grade int, x binary").collect() if r["x"]]
-    if not got:
+            out = [features(t, buckets) or [] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.list_(pa.int32()))], ["id", "grade", "x"])
+
+    some = F.broadcast(some) if min(n, max_train) <= SENT_ROWS else some
+    rows = id_text(docs, id_col, text_col).where("text is not null").join(some, "id")
+    got = map_arrow(rows, run, "id long, grade int, x array<int>").toArrow()
+    sizes = got["x"].combine_chunks().value_lengths().to_numpy()
+    if not sizes.any():
         return None
-    got.sort(key=lambda r: (r["id"], bytes(r["x"])))
-    return fit([np.frombuffer(r["x"], np.int32) for r in got], np.array([r["grade"] for r in got]), top)
+    got = got.filter(pa.array(sizes > 0))
+    sizes, flat = sizes[sizes > 0], got["x"].combine_chunks().flatten().to_numpy()
+    return fit(Rows(flat, sizes), got["grade"].to_numpy().astype(np.int64), top)
 
 
 def scored(docs: DataFrame, model: Model | None, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

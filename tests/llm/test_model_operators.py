@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -38,6 +40,75 @@ def test_ordinal_regression_orders_grades():
     assert (np.abs(m.weights) > 0).sum() <= 40
 
 
+def dense_slopes(x, grades, w, theta):
+    """Value and slopes of the mean negative log likelihood, from P(grade <= j) = 1 / (1 + exp(w.x - theta_j)) itself."""
+    below = 1 / (1 + np.exp(np.clip((x @ w)[:, None] - np.r_[-60.0, theta, 60.0][None], -60, 60)))
+    below[:, 0], below[:, -1] = 0, 1
+    n, value, gw, gt = len(grades), 0.0, np.zeros(len(w)), np.zeros(len(theta))
+    for row, g, b in zip(x, grades, below):
+        p = b[g + 1] - b[g]
+        up, low = b[g + 1] * (1 - b[g + 1]) / p, b[g] * (1 - b[g]) / p
+        value -= np.log(p) / n
+        gw += (up - low) * row / n
+        if g < len(theta):
+            gt[g] -= up / n
+        if g:
+            gt[g - 1] += low / n
+    return value, gw, gt
+
+
+def test_fit_equals_a_dense_one():
+    rng = np.random.default_rng(5)
+    n, f = 240, 30
+    x = (rng.random((n, f)) < rng.uniform(0.05, 0.6, f)).astype(float)
+    true = np.zeros(f)
+    true[[2, 5, 9]] = 2.0, -2.5, 1.5
+    grades = np.digitize(x @ true + rng.logistic(size=n), [-0.7, 0.9])
+    m = quality.fit([np.flatnonzero(r) for r in x], grades, 2, l2=0.01)
+    picked = np.flatnonzero(m.weights)
+    # the same choice by plain proximal steps over all features
+    w, theta, l1 = np.zeros(f), np.array([-0.5, 0.5]), 8 / n
+    for _ in range(3000):
+        _, gw, gt = dense_slopes(x, grades, w, theta)
+        w = w - 0.5 * gw
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.5 * l1, 0)
+        theta = theta - 0.5 * gt
+    _, gw, _ = dense_slopes(x, grades, w, theta)
+    sure = np.abs(np.abs(gw) - l1) > 0.03 * l1
+    assert {2, 5, 9} <= set(picked) <= set(np.flatnonzero((w != 0) | ~sure)) and set(np.flatnonzero((np.abs(w) > 0.02))) <= set(picked)
+    # and the same optimum with these alone
+    _, gw, gt = dense_slopes(x[:, picked], grades, m.weights[picked].astype(float), m.theta)
+    assert np.abs(gw + 0.01 * m.weights[picked]).max() < 1e-4 and np.abs(gt).max() < 1e-4
+
+
+def test_rare_features_cannot_reach_the_penalty():
+    rng = np.random.default_rng(6)
+    grades = np.r_[np.zeros(60, int), np.full(60, 2)]
+    data = [np.array([5] * int(g == 0) + [100 + i] * (i < 7) + [50 + int(rng.integers(3))]) for i, g in enumerate(grades)]
+    m = quality.fit(data, grades, 2)
+    assert m.weights[5] < 0 and not m.weights[100:107].any()
+
+
+def test_selection_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), GRADE, TOP)
+    assert np.count_nonzero(model.weights)
+    import xxhash
+
+    want = {}
+    for i, text in docs.select("doc_id", "text").collect():
+        words = re.findall(r"\w+", (text or "").lower())
+        if not words:
+            continue
+        names = set(words) | {f"{w[:n]} *" for w in words for n in (3, 4, 5, 6, 7) if n < len(w)} | set(quality.style(text, words, len(set(words))))
+        score = sum(float(model.weights[b]) for b in {xxhash.xxh64_intdigest(x.encode(), 7) % len(model.weights) for x in names})
+        tails = [1 - 1 / (1 + math.exp(score - t)) for t in model.theta]
+        if tails[TOP - 1] >= quality.CUTOFF:
+            want[i] = (sum(tails), tails[TOP - 1])
+    got = {r[0]: (r[1], r[2]) for r in quality.selected(docs, model, TOP).collect()}
+    assert set(got) == set(want) and all(abs(a - b) < 1e-4 for i in got for a, b in zip(got[i], want[i]))
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
