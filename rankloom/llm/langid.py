@@ -2,48 +2,58 @@
 
 A word that training has seen scores its log frequency in each language. An unseen one falls back to its n-grams,
 ends marked: the longest order of which one is known, averaged. A text gets the language of the greatest mean over its
-words. Training counts the words of about `max_train` rows of each language at most, chosen by hashed id, and keeps the
-`max_words` commonest of each; of a rarer language all rows count.
+words. Training counts all words of about `max_train` rows of each language at most, chosen by hashed id; of a rarer
+language all rows count. Words and n-grams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORDS, cut, id_text, map_arrow, slices
 
 ORDERS = (5, 4, 3, 2, 1)
+#: Labelled rows of a language that training looks at, about; it bounds the model as well.
 MAX_TRAIN = 20_000
-MAX_WORDS = 100_000
+#: Languages up to which their sizes are sent to every executor.
+SENT_LANGS = 10_000
+#: Words whose rows a scorer remembers before it starts afresh; never changes a result.
 CACHE = 200_000
 
 
-class Table:
-    """Rows of log frequencies by key, in one matrix; it travels as one text of keys, which have no line breaks."""
+def hashes(keys: Iterable[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass")) for k in keys], np.uint64)
+
 
-    def __init__(self, at: dict[str, int], logs: np.ndarray):
-        self.at, self.logs = at, logs
+def grams(word: str, n: int) -> list[str]:
+    marked = f"<{word}>"
+    return [marked[j : j + n] for j in range(len(marked) - n + 1)]
 
-    def get(self, key: str) -> np.ndarray | None:
-        i = self.at.get(key)
-        return None if i is None else self.logs[i]
 
-    def __iter__(self):
-        return iter(self.at)
+class Table:
+    """Log frequencies by language of hashed keys, which ascend."""
 
-    def __getstate__(self):
-        return "\n".join(self.at), self.logs
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys = keys
+        self.logs = (np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * max(1, len(keys)))).astype(np.float32)
 
-    def __setstate__(self, state):
-        keys, self.logs = state
-        self.at = {k: i for i, k in enumerate(keys.split("\n") if keys else ())}
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def __contains__(self, key: str) -> bool:
+        return bool(self.find(hashes([key]))[0] >= 0)
 
 
 @dataclass(frozen=True)
@@ -52,28 +62,31 @@ class Model:
     words: Table
     grams: tuple[Table, ...]
 
-    def word(self, word: str) -> tuple[float, ...]:
-        found = self.words.get(word)
-        if found is not None:
-            return tuple(found.tolist())
-        marked = f"<{word}>"
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The scores of each word by language."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        at = self.words.find(hashes(words))
+        out[at >= 0] = self.words.logs[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
         for n, known in zip(ORDERS, self.grams):
-            rows = [r for i in range(len(marked) - n + 1) if (r := known.get(marked[i : i + n])) is not None]
-            if rows:
-                return tuple(sum(c) / len(rows) for c in zip(*(r.tolist() for r in rows)))
-        return (0.0,) * len(self.langs)
-
-
-def _logs(at: dict[str, int], counts: np.ndarray) -> Table:
-    base = np.log(counts.sum(axis=0) + 0.5 * max(1, len(at)))
-    return Table(at, np.log(counts + 0.5) - base)
-
-
-def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Model:
+            if not len(left):
+                break
+            own = [grams(words[i], n) for i in left.tolist()]
+            at = known.find(hashes(g for x in own for g in x))
+            word = np.repeat(np.arange(len(left)), [len(x) for x in own])[at >= 0]
+            many = np.bincount(word, minlength=len(left))
+            hit = many > 0
+            for c in range(len(self.langs)):
+                out[left[hit], c] = np.bincount(word, known.logs[at[at >= 0], c], len(left))[hit] / many[hit]
+            left = left[~hit]
+        return out
+
+
+def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Model:
     """Model of the labelled rows; those with a null language, id or text are left out. Without any it knows no language."""
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("id is not null and lang is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows"))
-    some = rows.join(F.broadcast(sizes), "lang").where((F.col("rows") <= max_train) | (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.floor(F.lit(max_train) / F.col("rows") * (1 << 30))))
+    rows = docs.select(docs[id_col].try_cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("id is not null and lang is not null")
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("rows")))
+    some = rows.join(F.broadcast(sizes) if sizes.count() <= SENT_LANGS else sizes, "lang").where((F.col("rows") <= max_train) | (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.floor(F.lit(max_train) / F.col("rows") * (1 << 30))))
     some = some.where("text is not null").select("id", "text", "lang")
 
     def count(batches):
@@ -84,33 +97,37 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         for lang, c in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
-    counted = map_arrow(some, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = cut(counted)
-    common = counted.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("at") <= max_words)
-    top = counted.join(common.select("word").distinct(), "word", "left_semi").select("lang", "word", "n").toArrow()
-    langs = tuple(sorted(top["lang"].unique().to_pylist()))
-    at: dict[str, int] = {}
-    words = np.fromiter((at.setdefault(w.as_py(), len(at)) for w in top["word"]), np.int64, top.num_rows)
-    counts = np.zeros((len(at), len(langs)))
+    counted = cut(map_arrow(some, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    langs = tuple(sorted(r[0] for r in counted.select("lang").distinct().collect()))
     place = {lang: i for i, lang in enumerate(langs)}
-    counts[words, np.fromiter((place[x.as_py()] for x in top["lang"]), np.int64, top.num_rows)] = top["n"].to_numpy()
-    del top
-    grams = []
-    for n in ORDERS:
-        own: dict[str, int] = {}
-        of, of_word = array("q"), array("q")
-        for w, i in at.items():
-            marked = f"<{w}>"
-            for j in range(len(marked) - n + 1):
-                of.append(own.setdefault(marked[j : j + n], len(own)))
-                of_word.append(i)
-        g = np.zeros((len(own), len(langs)))
-        if len(of):
-            gram, word = np.frombuffer(of, np.int64), np.frombuffer(of_word, np.int64)
-            for c in range(len(langs)):
-                g[:, c] = np.bincount(gram, counts[word, c], len(own))
-        grams.append(_logs(own, g))
-    return Model(langs, _logs(at, counts), tuple(grams))
+
+    def keyed(batches):
+        """Order 0 is the word itself."""
+        for b in slices(batches, 20_000):
+            langs = np.array([place[x] for x in b.column(0).to_pylist()], np.int32)
+            words, many = b.column(1).to_pylist(), b.column(2).to_numpy()
+            for n in (0, *ORDERS):
+                own = [[w] for w in words] if n == 0 else [grams(w, n) for w in words]
+                at = np.repeat(np.arange(len(words)), [len(x) for x in own])
+                h = hashes(g for x in own for g in x)
+                # sums within the batch first
+                by = np.lexsort((langs[at], h))
+                h, lang, times = h[by], langs[at][by], many[at][by]
+                if len(h):
+                    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (lang[1:] != lang[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), pa.array(h[first].view(np.int64)), pa.array(lang[first]), pa.array(np.add.reduceat(times, first))], ["o", "h", "lang", "n"])
+
+    found = map_arrow(counted, keyed, "o int, h long, lang int, n long").groupBy("o", "h", "lang").agg(F.sum("n").alias("n")).toArrow()
+    order, h, lang, n = (found[c].to_numpy() for c in ("o", "h", "lang", "n"))
+
+    def table(o: int) -> Table:
+        own = order == o
+        keys, at = np.unique(h[own].view(np.uint64), return_inverse=True)
+        counts = np.zeros((len(keys), len(langs)))
+        counts[at, lang[own]] = n[own]
+        return Table(keys, counts)
+
+    return Model(langs, table(0), tuple(table(o) for o in ORDERS))
 
 
 class Scorer:
@@ -122,47 +139,38 @@ class Scorer:
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows: list[tuple[float, ...]] = []
-        self.matrix = np.empty((0, len(self.model.langs)))
+        self.matrix = np.empty((0, len(self.model.langs)), np.float32)
 
-    def means(self, text: str | None) -> np.ndarray | None:
-        words = WORDS.findall(text.lower()) if text else []
-        if not words or not self.model.langs:
-            return None
+    def means(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        if not self.model.langs:
+            return [None] * len(texts)
         if len(self.at) > CACHE:
             self.reset()
-        at = self.at
-        for w in words:
-            if w not in at:
-                at[w] = len(self.rows)
-                self.rows.append(self.model.word(w))
-        if len(self.matrix) < len(self.rows):
-            # room to grow, so that adding a few words costs little
-            more = np.zeros((max(1024, 2 * len(self.rows)), len(self.model.langs)))
-            more[: len(self.rows)] = self.rows
-            self.matrix, self.filled = more, len(self.rows)
-        elif self.filled < len(self.rows):
-            self.matrix[self.filled : len(self.rows)] = self.rows[self.filled :]
-            self.filled = len(self.rows)
-        ids = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-        return self.matrix[ids].sum(axis=0) / len(words)
+        cut = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        new = list({w: None for words in cut for w in words if w not in self.at})
+        if new:
+            self.at |= {w: i for i, w in enumerate(new, len(self.at))}
+            if len(self.matrix) < len(self.at):  # room to grow
+                self.matrix = np.concatenate([self.matrix, np.zeros((len(self.at), len(self.model.langs)), np.float32)])
+            self.matrix[len(self.at) - len(new) : len(self.at)] = self.model.rows(new)
+        look = self.at.__getitem__
+        return [self.matrix[np.fromiter(map(look, w), np.int64, len(w))].sum(axis=0, dtype=np.float64) / len(w) if w else None for w in cut]
 
 
 def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, pred_lang, margin) row by row: the language of the greatest mean, the least name on ties, and its lead.
 
     Null, empty or wordless texts, and all texts under a model without languages, get nulls; null ids and repeated
-    rows pass through.
+    rows pass through, very long texts count whole, and an empty table gives no rows.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scorer = Scorer(known.value)
         langs = known.value.langs
-        for b in slices(batches):
+        for b in slices(batches, 500):
             pred, lead = [], []
-            for text in b.column(1).to_pylist():
-                m = scorer.means(text)
+            for m in scorer.means(b.column(1).to_pylist()):
                 if m is None:
                     pred.append(None)
                     lead.append(None)

@@ -188,6 +188,16 @@ def test_sql_sees_the_same_tags(spark):
         (4, "https://fine.org/ok", None, "x", "y", "z"),
         (5, None, "", "x", "y", "z"),
         (6, "https://sub.bad.com/b/c?z=1&a=2", "", "x", "y", "z"),
+        (7, "https://fine.org/dir/page", '<link rel=canonical href="other.html">', "x", "y", "z"),
+        (8, "https://fine.org/dir/other", "", "x", "y", "z"),
+        (9, "https://fine.org/two", '<link rel="canonical" href="/one"><link rel="canonical" href="//bad.com/z">', "x", "y", "z"),
+        (10, "https://fine.org/up/a/b?x=1", '<link href="../../dots/./c" rel="canonical"><link rel="canonical" href="mailto:x@bad.com">', "x", "y", "z"),
+        (11, "https://fine.org/dots/c", "", "x", "y", "z"),
+        (12, "https://fine.org/list?page=1", "", "x", "y", "z"),
+        (13, "https://fine.org/list?page=2", '<link rel="canonical" href="?page=3&amp;utm_x=1#f">', "x", "y", "z"),
+        (14, "https://fine.org/list?page=3&ref=q", "", "x", "y", "z"),
+        (15, "https://fine.org", '<link rel="canonical" href="start">', "x", "y", "z"),
+        (16, "https://fine.org/start/", "", "x", "y", "z"),
     ]
     df = spark.createDataFrame(data, "page_id long, url string, html string, node string, root string, part string")
     rules = lambda *r: spark.createDataFrame([(x,) for x in r], "rule string")
@@ -196,7 +206,10 @@ def test_sql_sees_the_same_tags(spark):
     duck.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
     duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", [r[:3] for r in data])
     assert got == set(duck.execute(url_filter.sql(("bad.com",), ("fine.org/copy", "sub.bad.com/b"))).fetchall())
-    assert {(r[0], r[3]) for r in got} == {(1, "block"), (2, "allow"), (3, "block"), (4, "none"), (5, "none"), (6, "allow")}
+    blocked, allowed = {1, 3, 9}, {2, 6}
+    assert {r[0]: r[3] for r in got} == {i: "block" if i in blocked else "allow" if i in allowed else "none" for i in range(1, 17)}
+    root = {r[0]: r[2] for r in got}
+    assert root[7] == root[8] and root[10] == root[11] and root[15] == root[16] and len({root[12], root[13], root[14]}) == 3
 
 
 @pytest.mark.parametrize(

@@ -205,7 +205,7 @@ def test_backoff_and_edges(make):
     got = {r[0]: r[1] for r in langid.identified(make([*EDGES, (50, "hunde"), (51, "dogs the"), (52, "日本"), (53, "KATZE")]), model).collect()}
     assert got[50] == "de" and got[51] == "en" and got[53] == "de" and got[52] in model.langs
     assert got[1] is None and got[2] is None and got[3] is None and None in got
-    known = model.word("hunde")
+    known = model.rows(["hunde"])[0]
     assert known[0] > known[1]
     even = langid.train(make([(1, "la la", "it"), (2, "la la", "es")]))
     assert [r[1] for r in langid.identified(make([(1, "la"), (2, "lalo")]), even).collect()] == ["es", "es"]
@@ -214,10 +214,52 @@ def test_backoff_and_edges(make):
     assert langid.identified(make([]), model).count() == 0
 
 
+def test_languages_equal_brute_force(spark):
+    """Training and scores by plain dictionaries over whole texts."""
+    from collections import Counter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    seen, asked = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0")
+    words, grams = {}, {n: {} for n in langid.ORDERS}
+    for text, lang in seen.select("text", "lang").collect():
+        own = re.findall(r"\w+", text.lower())
+        words.setdefault(lang, Counter()).update(own)
+        for n in grams:
+            grams[n].setdefault(lang, Counter()).update(g for w in own for m in [f"<{w}>"] for g in (m[i : i + n] for i in range(len(m) - n + 1)))
+    langs = sorted(words)
+
+    def logs(tables):
+        keys = set().union(*tables.values())
+        return {k: [math.log((tables[x][k] + 0.5) / (sum(tables[x].values()) + 0.5 * len(keys))) for x in langs] for k in keys}
+
+    known, parts = logs(words), {n: logs(t) for n, t in grams.items()}
+
+    def one(w):
+        if w in known:
+            return known[w]
+        m = f"<{w}>"
+        for n in langid.ORDERS:
+            rows = [parts[n][m[i : i + n]] for i in range(len(m) - n + 1) if m[i : i + n] in parts[n]]
+            if rows:
+                return [sum(c) / len(rows) for c in zip(*rows)]
+        return [0.0] * len(langs)
+
+    got = {r[0]: (r[1], r[2]) for r in langid.identified(asked, langid.train(seen)).collect()}
+    for i, text in asked.select("doc_id", "text").collect():
+        own = re.findall(r"\w+", text.lower())
+        if not own:
+            assert got[i] == (None, None)
+            continue
+        means = [sum(c) / len(own) for c in zip(*map(one, own))]
+        order = sorted(range(len(langs)), key=lambda j: (-means[j], langs[j]))
+        lead = means[order[0]] - means[order[1]]
+        assert abs(got[i][1] - lead) < 1e-4 and (got[i][0] == langs[order[0]] or lead < 1e-5)
+
+
 def test_rare_languages_are_trained(make):
     docs = make([(i, f"common words number {i % 40} of many rows again and again", "aa") for i in range(2000)] + [(5000 + i, "zyx wvu tsr", "zz") for i in range(3)])
-    model = langid.train(docs, max_train=50, max_words=10)
-    assert model.langs == ("aa", "zz") and {"zyx", "wvu", "tsr", "again"} <= set(model.words)
+    model = langid.train(docs, max_train=50)
+    assert model.langs == ("aa", "zz") and all(w in model.words for w in ("zyx", "wvu", "tsr", "again"))
     got = {r["doc_id"]: r["pred_lang"] for r in langid.identified(make([(1, "wvu zyx"), (2, "many rows"), (3, "zyxw")]), model).collect()}
     assert got == {1: "zz", 2: "aa", 3: "zz"}
 
@@ -267,6 +309,15 @@ TOKEN = "q7Zp2Xv9Lk4Tn8Rw3Yb6Hd1Mc5Jf0GsA"
         (f"hook https://hooks.example.org/services/T0A1/{TOKEN}", [TOKEN]),
         (f"Natasha: {TOKEN}", [TOKEN]),
         (f"git_commit: {HEX}", []),
+        (f"please commit {TOKEN}", [TOKEN]),
+        (f"TOKEN={TOKEN}", [TOKEN]),
+        (f"a=b&c={TOKEN}==", [f"{TOKEN}=="]),
+        ("pw Tr0ub4dor&3xyzQ! then", ["Tr0ub4dor&3xyzQ!"]),
+        ("key=x7Qp2Lm9vT4z.", ["x7Qp2Lm9vT4z"]),
+        ("integrity sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=", []),
+        ("mail John.Smith99@mail7.Example.com! R&D in Q3-2024?", []),
+        ("x=(A1+b2)*c3%D4; if(a&&B1){c!=D2}", []),
+        ("version20240101 iphone15promax section_12_b", []),
         (f"get https://host/?sha1={HEX}", []),
         (f"mail mailto:{HEX[:20]}@example.org", []),
         (f"blob https://host/blob/{HEX}/file.py", []),
@@ -278,6 +329,52 @@ def test_secrets_in_addresses(text, found):
     assert [text[a:b] for a, b, _ in secrets.find(text, secrets.encoder(RANKS))] == found
 
 
+def test_secrets_equal_brute_force(spark):
+    """Runs cut sign by sign, tokens merged by rank, over whole texts without addresses."""
+    import base64
+
+    import regex
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+
+    def tokens(s):
+        n = 0
+        for part in regex.findall(secrets.PATTERN, s):
+            p = [bytes([b]) for b in part.encode()]
+            while len(p) > 1:
+                best = min(range(len(p) - 1), key=lambda i: ranks.get(p[i] + p[i + 1], 1 << 40))
+                if p[best] + p[best + 1] not in ranks:
+                    break
+                p[best : best + 2] = [p[best] + p[best + 1]]
+            n += len(p)
+        return n
+
+    want, seen = set(), set()
+    for i, text in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect():
+        if "://" in text or any(c in text for c in "@!#$%^&*~?"):
+            continue
+        seen.add(i)
+        a = None
+        for p in range(len(text) + 1):
+            if p < len(text) and text[p] in key:
+                a = p if a is None else a
+            elif a is not None:
+                s = text[a:p]
+                start, a = a, None
+                if len(s) < 12 or not any(map(str.isalpha, s)) or not any(map(str.isdigit, s)):
+                    continue
+                per = len(s) / tokens(s)
+                named = re.search(r"(?i)(?:md5|sha-?\d*|digest|checksum|commit|etag|revision|fingerprint|integrity)\W{0,4}$", text[:start])
+                uuid = [len(x) for x in s.split("-")] == [8, 4, 4, 4, 12]
+                if per < (2.3 if len(s) >= 16 else 1.9) and not uuid and not (named and len(s) in (32, 40, 56, 64, 96, 128)):
+                    want.add((i, start, p, round(per, 9)))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {(r[0], r[1], r[2], round(r[3], 9)) for r in secrets.secrets(docs, RANKS).collect() if r[0] in seen}
+    assert got == want and want
+
+
 def test_secret_tables(make):
     docs = make([*EDGES, (7, f"a {HEX} b {HEX}"), (7, f"a {HEX} b {HEX}"), (None, HEX)])
     got = rows(secrets.secrets(docs, RANKS))
