@@ -13,10 +13,11 @@ from math import ceil, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import METRICS, similarity
+from ..functions.vectors import METRICS, dot, similarity
+from ..sources.shared import shared_dir
 
 ROUNDS = 10
 FIT_ROWS = 100_000
@@ -239,9 +240,52 @@ def maintained(index: Index, upserts: DataFrame, deletes: DataFrame, id_col: str
     return Index(*index_arrays(index), kept.unionByName(assigned(index, upserts, id_col, vector_col)))
 
 
-def needs_rebuild(passes: int, n: int, cells: int, split: int = 512) -> bool:
-    """After 256 passes, or once cells hold more than `split` members on average."""
-    return passes >= 256 or (cells > 0 and n > split * cells)
+#: Members beyond which a cell is split, up to which one is given up, cells below a coarse one at most, and the sample of
+#: a cell that its split is fitted on.
+SPLIT, TINY, MOST_FINE, SPLIT_ROWS = 512, 2, 256, 8_192
+REBUILD_PASSES = 256
+
+
+def maintained_cells(index: Index, members: DataFrame, id_col: str, vector_col: str, split: int = SPLIT) -> Index:
+    """Centres after a look at the members (id, vector, fine_id): overfull cells are split by k-means into parts below the
+    same coarse cell, those of hardly any members given up. Members are to be assigned anew.
+    """
+    sizes = {r[0]: r[1] for r in members.groupBy("fine_id").count().collect()}
+    below = np.bincount(index.parent, minlength=len(index.coarse)).tolist()
+    parts = {}
+    for cell, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        more = min(ceil(n / split), MOST_FINE - below[index.parent[cell]] + 1)
+        if n > split and more > 1:
+            parts[cell] = more
+            below[index.parent[cell]] += more - 1
+    keep = np.ones(len(index.fine), bool)
+    for cell in range(len(index.fine)):
+        if sizes.get(cell, 0) <= TINY and below[index.parent[cell]] > 1 and cell not in parts:
+            keep[cell] = False
+            below[index.parent[cell]] -= 1
+    fine, parent = [index.fine[keep]], [index.parent[keep]]
+    if parts:
+        metric = index.metric
+        share = members.sparkSession.createDataFrame([(c, k, min(1.0, SPLIT_ROWS / sizes[c])) for c, k in parts.items()], "fine_id long, _k int, _share double")
+        some = members.join(F.broadcast(share), "fine_id").where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
+
+        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(id_col)
+            centres = kmeans(np.stack(pdf[vector_col].to_numpy()).astype(float), int(pdf["_k"].iloc[0]), metric)
+            return pd.DataFrame({"fine_id": int(pdf["fine_id"].iloc[0]), "v": list(centres)})
+
+        found = some.groupBy("fine_id").applyInPandas(cut, "fine_id long, v array<double>").collect()
+        if found:
+            for r in found:
+                keep[r[0]] = False
+            fine = [index.fine[keep], np.array([r[1] for r in found])]
+            parent = [index.parent[keep], index.parent[[r[0] for r in found]]]
+    return Index(index.coarse, np.concatenate(fine), np.concatenate(parent), index.metric)
+
+
+def needs_rebuild(passes: int, n: int, cells: int, split: int = SPLIT) -> bool:
+    """After so many passes, or once cells hold more than `split` members on average."""
+    return passes >= REBUILD_PASSES or (cells > 0 and n > split * cells)
 
 
 def recall_sample(n: int, num: int, name: str) -> list[int]:
@@ -256,6 +300,29 @@ def recall_sample(n: int, num: int, name: str) -> list[int]:
     return list(out)
 
 
+def at_places(rows: DataFrame, id_col: str, places: list[int]) -> DataFrame:
+    """The rows at some places of the order by id; ids are ranged and counted by partition, not brought together."""
+    shared_dir(rows.sparkSession)
+    ids = rows.select(id_col).repartitionByRange(id_col).sortWithinPartitions(id_col).withColumn("_part", F.spark_partition_id()).checkpoint()
+    counts = {r[0]: r[1] for r in ids.groupBy("_part").count().collect()}
+    starts, before = {}, 0
+    for part in sorted(counts):
+        starts[part] = before
+        before += counts[part]
+    want = [(p, i - s + 1) for i in places for p, s in starts.items() if s <= i < s + counts[p]]
+    asked = rows.sparkSession.createDataFrame(want, "_part int, _at int")
+    numbered = ids.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(id_col)))
+    return rows.join(F.broadcast(numbered.join(F.broadcast(asked), ["_part", "_at"], "left_semi").select(id_col)), id_col, "left_semi")
+
+
+def between(a: Column, b: Column, metric: str) -> Column:
+    """Similarity of two columns of equally long vectors."""
+    if metric == METRICS[1]:
+        return -F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) + 0.0
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms > 0, dot(a, b) / norms).otherwise(0.0)
+
+
 def recall(index: Index, vectors: DataFrame, id_col: str, vector_col: str, name: str, num: int = 25, k: int = 10, coarse: int = COARSE, fine: int = FINE) -> dict[str, float]:
     """Mean recall of probing against brute force over the given rows, which may be a filtered part of the indexed ones."""
     from .knn import batch
@@ -265,26 +332,16 @@ def recall(index: Index, vectors: DataFrame, id_col: str, vector_col: str, name:
     picked = recall_sample(n, num, name)
     if not picked:
         return {"avg_recall": 0.0, "avg_ann_count": 0.0, "avg_exhaustive_count": 0.0}
-    from pyspark.sql import Window
-
-    ids = [r[0] for r in rows.select(id_col).orderBy(id_col).collect()]
-    asked = rows.where(F.col(id_col).isin([ids[i] for i in picked]))
+    asked = at_places(rows, id_col, picked)
     spark: SparkSession = vectors.sparkSession
     queries = {r[0]: r[1] for r in asked.collect()}
     brute = batch(rows, asked.select(F.col(id_col).alias("_q"), F.col(vector_col).alias("_v")), k, id_col, vector_col, "_q", "_v", index.metric)
     truth: dict = {}
     for r in brute.select("_q", id_col).collect():
         truth.setdefault(r[0], set()).add(r[1])
-    plan = spark.createDataFrame(pd.DataFrame([(q, f) for q, v in queries.items() for f in index.probes(v, coarse, fine)], columns=["_q", "fine_id"]))
-    sent = {q: np.array(v) for q, v in queries.items()}
-    metric = index.metric
-
-    @F.pandas_udf("double")
-    def score(q: pd.Series, v: pd.Series) -> pd.Series:
-        return pd.Series([float(pairwise(np.asarray(x)[None], sent[i][None], metric)[0, 0]) for i, x in zip(q, v)])
-
+    plan = spark.createDataFrame([(q, v, f) for q, v in queries.items() for f in index.probes(v, coarse, fine)], f"_q {dict(rows.dtypes)[id_col]}, _v array<double>, fine_id long")
     pool = pool_size(k)
-    hit = index.members.join(F.broadcast(plan), "fine_id").withColumn("_s", score("_q", vector_col))
+    hit = index.members.join(F.broadcast(plan), "fine_id").withColumn("_s", between(F.col(vector_col), F.col("_v"), index.metric))
     hit = hit.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("_s"), id_col))).where(F.col("_r") <= pool)
     hit = hit.join(rows.select(id_col), id_col, "left_semi")
     hit = hit.withColumn("_r", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("_s"), id_col))).where(F.col("_r") <= k)

@@ -23,6 +23,8 @@ class Settings:
     """How a view ranks: metric, document frequencies of BM25 ("one" or "corpus"), the tokenizer, vector candidates.
 
     candidates="all" takes every vector of the query's length; "pool" the max(8 k, 64) best before the filter.
+    Of a namespace with an index: scan=True leaves it unused; cells is how many of the nearest cells a vector query
+    reads, by default as many as kept the measured recall, 0 for all.
     """
 
     id_col: str = "id"
@@ -32,6 +34,8 @@ class Settings:
     stem: bool = False
     normalise: bool = True
     candidates: str = "all"
+    scan: bool = False
+    cells: int | None = None
 
 
 def is_vector(dtype: T.DataType) -> bool:
@@ -51,19 +55,30 @@ def indexed_text(view: DataFrame, field: str, id_col: str = "id") -> Column:
     return column.cast("string") if kind_of(dtype) else F.to_json(column)
 
 
-def kind_rank(view: DataFrame, field: str) -> tuple[Column, bool]:
+def kind_rank(view: DataFrame, field: str, name: str | None = None) -> tuple[Column, bool]:
     """The sort value of a tie-break field and whether it is there; booleans sort as 0 and 1, other kinds as missing."""
     if field not in view.columns or kind_of(view.schema[field].dataType) is None:
         return F.lit(None).cast("double"), False
-    column = F.col(f"`{field}`")
+    column = F.col(f"`{name or field}`")
     return (column if kind_of(view.schema[field].dataType) == "string" else column.cast("double")), True
 
 
-def final_order(view: DataFrame, query: Query, id_col: str, score: str = "dist", digits: int | None = None) -> list[Column]:
-    """Score descending, then the tie-break with missing values lowest, then id."""
-    out = [F.desc(score)]
+def public(names: list[str], id_col: str = "id") -> dict[str, str]:
+    """What the attributes are called in a result: by their names, but for one that is called as the score is."""
+    out: dict[str, str] = {n: n for n in names if n not in ("dist", id_col)}
+    if "dist" in names:
+        own = "attr_dist"
+        while own in names:
+            own = f"attr_{own}"
+        out["dist"] = own
+    return out
+
+
+def final_order(view: DataFrame, query: Query, id_col: str) -> list[Column]:
+    """Score descending, then the tie-break with missing values lowest, then id; over a result's names."""
+    out = [F.desc("dist")]
     if query.order:
-        value, _ = kind_rank(view, query.order.field)
+        value, _ = kind_rank(view, query.order.field, public(view.columns, id_col).get(query.order.field))
         out.append(value.desc_nulls_last() if query.order.descending else value.asc_nulls_first())
     return [*out, F.asc(f"`{id_col}`")]
 
@@ -81,69 +96,78 @@ def may_hold(text: Column, terms: list[str], settings: Settings) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
-def check_dimensions(view: DataFrame, query: Query) -> None:
-    """The query's vector fields must be vectors of the view."""
+def check_dimensions(view: DataFrame, query: Query, widths: dict[str, int] | None = None) -> None:
+    """The query's vector fields must be vectors of the view, and as long as these where that is known."""
     for leaf in leaves(query.rank):
         if isinstance(leaf, Vector):
             if leaf.field not in view.columns or not is_vector(view.schema[leaf.field].dataType):
                 raise ValueError(f"no vector field {leaf.field!r}")
             if not leaf.query:
                 raise ValueError("a query vector must not be empty")
+            known = (widths or {}).get(leaf.field)
+            if known and len(leaf.query) != known:
+                raise ValueError(f"the query vector has {len(leaf.query)} entries; field {leaf.field!r} has {known} dimensions")
 
 
 def scored(view: DataFrame, query: Query, settings: Settings = Settings(), stats_view: DataFrame | None = None) -> DataFrame:
     """The filtered candidates with their final score `dist`, before order and limit; of a fusion only id and tie-break.
 
-    stats_view: the documents whose number and mean length BM25 uses; the view's own by default.
+    stats_view: the documents whose number and mean length BM25 uses; the view's own by default. A job for each text
+    ranker finds these; a fusion is cut into narrow rows by another. While scores are made, the view's columns have a
+    prefix that no generated name has.
     """
     check_dimensions(view, query)
-    scope = Scope(view.schema, settings.id_col)
-    where = None if query.filters is None else condition(scope, query.filters)
+    ident = settings.id_col
+    where = None if query.filters is None else condition(Scope(view.schema, ident), query.filters)
     how = {"stop": settings.stop, "stem": settings.stem, "normalise": settings.normalise}
-    base = view
-    if where is not None:
-        base = base.where(where)
+    base = view if where is None else view.where(where)
     flags, names, hints = [], [], []
-    terms_cols, hit_cols, score_cols = {}, {}, {}
+    inputs, terms_cols, hit_cols, score_cols = {}, {}, {}, {}
+    pools = []
     for i, leaf in enumerate(leaves(query.rank)):
         name = f"_raw_{i}"
         names.append(name)
         if isinstance(leaf, Text):
-            text = indexed_text(view, leaf.field, settings.id_col)
-            terms = tokens(text, **how)
+            text = indexed_text(view, leaf.field, ident)
+            inputs[f"_in_{i}"] = text
             wanted = query_terms(leaf.query, settings.stop, settings.stem)
             known = list(dict.fromkeys(wanted))
-            n, avgdl, df = bm25.statistics(stats_view if stats_view is not None else view, terms, known if settings.df == "corpus" else [])
-            terms_cols[f"_terms_{i}"] = terms
+            n, avgdl, df = bm25.statistics(stats_view if stats_view is not None else view, tokens(text, **how), known if settings.df == "corpus" else [])
+            terms_cols[f"_terms_{i}"] = tokens(F.col(f"_in_{i}"), **how)
             hit_cols |= {f"_hits_{i}": bm25.hits(F.col(f"_terms_{i}"), wanted), f"_dl_{i}": F.size(f"_terms_{i}")}
             score_cols[name] = F.coalesce(bm25.score(F.col(f"_hits_{i}"), F.col(f"_dl_{i}"), wanted, n, avgdl, df if settings.df == "corpus" else None), F.lit(0.0))
             flags.append(F.coalesce(F.size(f"_hits_{i}") > 0, F.lit(False)))
-            hints.append(may_hold(text, known, settings))
+            hints.append(may_hold(F.col(f"_in_{i}"), known, settings))
         else:
             column = F.col(f"`{leaf.field}`")
-            fits = F.coalesce(F.size(column) == len(leaf.query), F.lit(False))
-            score_cols[name] = F.when(fits, vectors.similarity(column, leaf.query, settings.metric)).otherwise(float("-inf"))
-            flag = fits
+            inputs[f"_in_{i}"] = column
+            flag = F.coalesce(F.size(f"_in_{i}") == len(leaf.query), F.lit(False))
+            score_cols[name] = F.when(flag, vectors.similarity(F.col(f"_in_{i}"), leaf.query, settings.metric)).otherwise(float("-inf"))
             if settings.candidates == "pool":
                 pool = max(8 * query.top_k, 64)
-                best = view.where(F.size(column) == len(leaf.query)).select(F.col(f"`{settings.id_col}`").alias("_pool_id"), vectors.similarity(column, leaf.query, settings.metric).alias("_s"))
-                best = best.orderBy(F.desc("_s"), "_pool_id").limit(pool).select(F.col("_pool_id"), F.lit(True).alias(f"_in_{i}"))
-                base = base.join(F.broadcast(best), F.col(f"`{settings.id_col}`") == F.col("_pool_id"), "left").drop("_pool_id")
-                flag = F.coalesce(F.col(f"_in_{i}"), F.lit(False))
+                best = view.where(F.size(column) == len(leaf.query)).select(F.col(f"`{ident}`").alias(f"_pool_id_{i}"), vectors.similarity(column, leaf.query, settings.metric).alias("_s"))
+                pools.append((i, best.orderBy(F.desc("_s"), f"_pool_id_{i}").limit(pool).select(f"_pool_id_{i}", F.lit(True).alias(f"_pool_{i}"))))
+                flag = F.coalesce(F.col(f"_pool_{i}"), F.lit(False))
             flags.append(flag)
             hints.append(flag)
+    own = {n: f"a:{n}" for n in view.columns}
+    base = base.select(*[F.col(f"`{n}`").alias(x) for n, x in own.items()], *[c.alias(n) for n, c in inputs.items()])
+    key = F.col(f"`{own[ident]}`")
+    for i, best in pools:
+        base = base.join(F.broadcast(best), key == F.col(f"_pool_id_{i}"), "left")
     # cheap tests first; then terms and scores once a row: the pin keeps the exact filter from moving below them
     base = base.where(candidate(query.rank, hints)).withColumns({"_pin": F.spark_partition_id(), **terms_cols})
     base = base.withColumns(hit_cols).drop(*terms_cols) if hit_cols else base
     chosen = base.where(candidate(query.rank, list(flags)) & (F.col("_pin") >= 0)).withColumns(score_cols)
+    kept = list(own)
     if isinstance(query.rank, Fusion):
         # narrow rows, cut once: normalisation reads them again for each level
         shared_dir(view.sparkSession)
-        tie = [F.col(f"`{query.order.field}`")] if query.order and query.order.field in view.columns and query.order.field != settings.id_col else []
-        out = fused(chosen.select(F.col(f"`{settings.id_col}`"), *tie, *names).checkpoint(), query.rank, names)
-    else:
-        out = fused(chosen.drop("_pin", *[c for c in chosen.columns if c.startswith(("_hits_", "_dl_", "_in_"))]), query.rank, names)
-    return out.drop(*[c for c in out.columns if c.startswith("_raw_") or c.startswith("dist_")])
+        kept = [ident] + [query.order.field for _ in [0] if query.order and query.order.field in view.columns and query.order.field != ident]
+        chosen = chosen.select(*[F.col(f"`{own[n]}`") for n in kept], *names).checkpoint()
+    out = fused(chosen, query.rank, names)
+    called = public(view.columns, ident) | {ident: ident}
+    return out.select(*[F.col(f"`{own[n]}`").alias(called[n]) for n in kept], "dist")
 
 
 def projected(view: DataFrame, query: Query, rows: DataFrame, id_col: str) -> DataFrame:
@@ -160,16 +184,24 @@ def projected(view: DataFrame, query: Query, rows: DataFrame, id_col: str) -> Da
         keep = [n for n in keep if n not in vector_fields or n in named]
     else:
         keep = [n for n in keep if n not in vector_fields or n in query.vectors] + [n for n in query.vectors if n in vector_fields and n not in keep]
-    columns = [vectors.encoded(F.col(f"`{n}`")).alias(n) if query.vector_encoding == "base64" and n in vector_fields else F.col(f"`{n}`") for n in keep]
+    called = public(view.columns, id_col)
+    columns = [vectors.encoded(F.col(f"`{called[n]}`")).alias(called[n]) if query.vector_encoding == "base64" and n in vector_fields else F.col(f"`{called[n]}`") for n in keep]
     return rows.select(F.col(f"`{id_col}`"), "dist", *columns)
 
 
+def attached(view: DataFrame, query: Query, best: DataFrame, id_col: str) -> DataFrame:
+    """The attributes of the few best rows (id, dist), in the query's order; top_k bounds what is sent to the view's scan."""
+    best = best.select(F.col(f"`{id_col}`").alias("_best"), "dist")
+    called = public(view.columns, id_col)
+    own = view.select(F.col(f"`{id_col}`"), *[F.col(f"`{n}`").alias(x) for n, x in called.items()])
+    joined = own.join(F.broadcast(best), F.col(f"`{id_col}`") == F.col("_best")).drop("_best")
+    return joined.orderBy(*final_order(view, query, id_col)).limit(query.top_k)
+
+
 def compiled(view: DataFrame, query: Query, settings: Settings = Settings(), stats_view: DataFrame | None = None) -> DataFrame:
-    """The whole query: candidates, scores, order, top-k, projection."""
+    """The whole query: candidates, scores, order, top-k, projection. An attribute called dist comes as attr_dist."""
     rows = scored(view, query, settings, stats_view)
-    order = final_order(view, query, settings.id_col)
-    top = rows.orderBy(*order).limit(query.top_k)
+    top = rows.orderBy(*final_order(view, query, settings.id_col)).limit(query.top_k)
     if isinstance(query.rank, Fusion):
-        best = top.select(F.col(f"`{settings.id_col}`").alias("_best"), "dist")
-        top = view.join(F.broadcast(best), F.col(f"`{settings.id_col}`") == F.col("_best")).drop("_best").orderBy(*order).limit(query.top_k)
+        top = attached(view, query, top, settings.id_col)
     return projected(view, query, top, settings.id_col)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -40,20 +43,39 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, text: str, *parts: str) -> None:
-        """Replace a file: written aside, then renamed."""
-        p, aside = self.path(*parts), self.path(*parts[:-1], f".{parts[-1]}.new")
+    def create(self, text: str, *parts: str) -> bool:
+        """Make a file that isn't there yet, whole at once; False if another was first.
+
+        On a local disk a hard link, elsewhere the file system's rename without overwriting, decides who is first.
+        """
+        p, aside = self.path(*parts), self.path(*parts[:-1], f".{parts[-1]}.{uuid.uuid4().hex}")
         fs = self._fs(p)
-        stream = fs.create(aside, True)
+        stream = fs.create(aside, False)
         try:
             stream.write(text.encode())
         finally:
             stream.close()
-        if fs.exists(p):
-            fs.delete(p, False)
-        if not fs.rename(aside, p):
-            raise OSError(f"can't replace {p}")
-
-    def copy(self, source: str, target: str) -> None:
-        a, b = self.path(source), self.path(target)
-        self._jvm.org.apache.hadoop.fs.FileUtil.copy(self._fs(a), a, self._fs(b), b, False, self._conf)
+        try:
+            if fs.getScheme() == "file":
+                try:
+                    os.link(aside.toUri().getPath(), p.toUri().getPath())
+                except FileExistsError:
+                    return False
+                return True
+            options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+            try:
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self._conf).rename(aside, p, options)
+            except Exception as e:  # a race that was lost is told by the file that is there
+                if "FileAlreadyExists" in str(e):
+                    return False
+                raise
+            return True
+        finally:
+            fs.delete(aside, False)
+
+    def move(self, source: tuple[str, ...], target: tuple[str, ...]) -> bool:
+        """Rename a folder unless the target is there; False if it was, or the source is gone."""
+        a, b = self.path(*source), self.path(*target)
+        fs = self._fs(a)
+        fs.mkdirs(b.getParent())
+        return fs.exists(a) and not fs.exists(b) and fs.rename(a, b)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import shared_dir
+
 ORD = {"delete": 0, "upsert": 1, "patch": 2}
 LOG_SCHEMA = "seq long, ord int, pos long, op string, id string, attrs map<string,string>"
 
@@ -72,9 +74,11 @@ def lag(meta: DataFrame) -> DataFrame:
 def flush_seq(rows: DataFrame, order: list[str], first: int = 1, batch: int = 512) -> DataFrame:
     """rows with the sequence number of the flush that a group commit of `batch` operations gives them.
 
-    Places are counted without one big sort: rows are ranged, counted by partition and numbered within.
+    Places are counted without one big sort: rows are ranged, counted by partition and numbered within. The ranged rows
+    are cut, as ranging them again might draw other bounds.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    shared_dir(rows.sparkSession)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     numbered = ranged.join(F.broadcast(before), "_part").withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
@@ -84,9 +88,18 @@ def flush_seq(rows: DataFrame, order: list[str], first: int = 1, batch: int = 51
 
 def signed(log: DataFrame) -> DataFrame:
     """log with a checksum of each batch."""
+    return _sums(log, ["seq"])
+
+
+def signed_one(batch: DataFrame) -> DataFrame:
+    """(crc32) of rows that are one batch, as signed() has it once they are numbered."""
+    return _sums(batch, []).select("crc32")
+
+
+def _sums(log: DataFrame, by: list[str]) -> DataFrame:
     row = F.crc32(F.to_json(F.struct("ord", "pos", "op", "id", F.array_sort(F.map_entries("attrs")).alias("attrs")), {"ignoreNullFields": "false"}).cast("binary"))
-    sums = log.groupBy("seq").agg(F.sum(row).alias("_sum"), F.count("*").alias("_n"))
-    return sums.select("seq", F.crc32(F.concat_ws(":", F.col("_sum").cast("string"), F.col("_n").cast("string")).cast("binary")).alias("crc32"))
+    sums = log.groupBy(*by).agg(F.sum(row).alias("_sum"), F.count("*").alias("_n"))
+    return sums.select(*by, F.crc32(F.concat_ws(":", F.col("_sum").cast("string"), F.col("_n").cast("string")).cast("binary")).alias("crc32"))
 
 
 def verified(log: DataFrame, sums: DataFrame, corrupt: str = "fail") -> DataFrame:

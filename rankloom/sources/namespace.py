@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import random
 import time
+import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import replace
 from typing import Any
 
@@ -14,21 +16,26 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import valid_id, valid_namespace
 from ..operators import ivf, writes
+from ..plans import indexed
 from ..plans import query as plans
 from ..plans.spec import parse_query
 from . import log as logs
 from . import schema as schemas
 from .files import Files
+from .index import SearchIndex
 
 MOST_ROWS, EXPORT_PAGE, PINNED = 10_000, 10_000, 32
-FRESH = {"commit_seq": 0, "index_cursor": 0, "snapshot_seq": 0, "first_seq": 1, "schema": {}, "metric": None}
+#: Tries of a commit that other writers are in the way of, and versions of the metadata that are kept.
+RETRIES, KEPT = 20, 32
+FRESH = {"commit_seq": 0, "index_cursor": 0, "snapshot_seq": 0, "first_seq": 1, "schema": {}, "dims": {}, "metric": None, "pending": None, "index": None}
 
 
 class Catalog:
-    """All namespaces below a root."""
+    """All namespaces below a root; corrupt: what reads of the log do with a batch whose checksum is wrong, "fail" or
+    "skip", or None for reads that don't look."""
 
-    def __init__(self, spark: SparkSession, root: str, list_ttl: float = 30.0):
-        self.spark, self.files, self.ttl = spark, Files(spark, root), list_ttl
+    def __init__(self, spark: SparkSession, root: str, list_ttl: float = 30.0, corrupt: str | None = None):
+        self.spark, self.files, self.ttl, self.corrupt = spark, Files(spark, root), list_ttl, corrupt
         self.pinned: OrderedDict[tuple[str, int], DataFrame] = OrderedDict()
         self._listed: tuple[float, list[str]] | None = None
 
@@ -37,23 +44,37 @@ class Catalog:
 
     def list(self) -> list[str]:
         if not self._listed or time.monotonic() - self._listed[0] > self.ttl:
-            self._listed = time.monotonic(), [n for n in self.files.names() if self.files.exists(n, "meta.json")]
+            self._listed = time.monotonic(), [n for n in self.files.names() if self.files.exists(n, "meta")]
         return list(self._listed[1])
 
     def drop(self, name: str) -> None:
-        if not self.files.exists(valid_namespace(name), "meta.json"):
+        if not self.files.exists(valid_namespace(name), "meta"):
             raise KeyError(name)
         self.forget(name)
         self.files.delete(name)
         self._listed = None
 
     def copy(self, source: str, target: str) -> None:
-        """Copy all of a namespace; later writes to either don't show in the other. A branch is the same."""
-        if not self.files.exists(valid_namespace(source), "meta.json"):
+        """Copy all of a namespace by Spark jobs; later writes to either don't show in the other. A branch is the same."""
+        if not self.files.exists(valid_namespace(source), "meta"):
             raise KeyError(source)
-        if self.files.exists(valid_namespace(target), "meta.json"):
+        if self.files.exists(valid_namespace(target), "meta"):
+            raise ValueError(f"{target} is not empty")
+        a, b = self.namespace(source), self.namespace(target)
+        meta = a.settled()
+        a.log().write.partitionBy("seq").parquet(b._path("log"))
+        a._sums().write.partitionBy("seq").parquet(b._path("sums"))
+        if meta["snapshot_seq"]:
+            part = f"seq={meta['snapshot_seq']}"
+            self.spark.read.parquet(a._path("snapshot", part)).write.parquet(b._path("snapshot", part))
+        index = SearchIndex.opened(a)
+        for s in index.manifest["segments"] if index else []:
+            for part, by in index.parts(s):
+                index._read(s["name"], part).write.partitionBy(*by).parquet(b._path(s["name"], *part.split("/")))
+        if index:
+            self.files.create(json.dumps(index.manifest), target, *meta["index"].split("/"))
+        if not self.files.create(json.dumps(meta, sort_keys=True), target, "meta", _version(1)):
             raise ValueError(f"{target} is not empty")
-        self.files.copy(source, target)
         self._listed = None
 
     def forget(self, name: str) -> None:
@@ -61,6 +82,14 @@ class Catalog:
             self.pinned.pop(key).unpersist()
 
 
+class Conflict(RuntimeError):
+    """Another writer was first."""
+
+
+def _version(n: int) -> str:
+    return f"{n:012d}.json"
+
+
 def _columns(columns: dict) -> list[dict]:
     ids = columns.get("id")
     if not isinstance(ids, list):
@@ -77,24 +106,110 @@ class Namespace:
     def _path(self, *parts: str) -> str:
         return "/".join([self.files.root, self.name, *parts])
 
+    def versions(self) -> list[str]:
+        return [n for n in self.files.names(self.name, "meta") if not n.startswith(".")]
+
+    def versioned(self) -> tuple[int, dict]:
+        """The metadata and their version; 0 for a namespace that isn't there."""
+        for _ in range(5):
+            names = self.versions()
+            if not names:
+                return 0, dict(FRESH)
+            try:
+                return int(names[-1].split(".")[0]), FRESH | json.loads(self.files.read(self.name, "meta", names[-1]))
+            except Exception:  # the version was superseded and cleared away meanwhile
+                if names[-1] in self.versions():
+                    raise
+        raise Conflict(self.name)
+
     def meta(self) -> dict:
-        if not self.files.exists(self.name, "meta.json"):
+        version, meta = self.versioned()
+        if not version:
             raise KeyError(self.name)
-        return FRESH | json.loads(self.files.read(self.name, "meta.json"))
-
-    def _save(self, meta: dict) -> None:
-        self.files.write(json.dumps(meta, sort_keys=True), self.name, "meta.json")
-
-    def log(self, after: int = 0) -> DataFrame:
-        """The log's rows of later batches; sequence numbers are partitions, so earlier ones are not read."""
+        return meta
+
+    def _replace(self, version: int, meta: dict) -> bool:
+        """The metadata of the next version, if no other writer has made it."""
+        done = self.files.create(json.dumps(meta, sort_keys=True), self.name, "meta", _version(version + 1))
+        if done and version > KEPT and version % KEPT == 0:
+            for n in self.versions()[:-KEPT]:
+                self.files.delete(self.name, "meta", n)
+        return done
+
+    def changed(self, change: Callable[[dict], dict]) -> dict:
+        """Change the metadata; tried again on what another writer left until it holds."""
+        for attempt in range(RETRIES):
+            version, meta = self.versioned()
+            new = change(meta)
+            if new == meta or self._replace(version, new):
+                return new
+            time.sleep(random.random() * 0.05 * (attempt + 1))
+        raise Conflict(f"{self.name}: {RETRIES} tries lost to other writers")
+
+    def settled(self) -> dict:
+        """The metadata, once the rows of the last commit are where reads look for them."""
+        meta = self.meta()
+        for part in ("log", "sums") if meta["pending"] else ():
+            aside = self.name, part, f"_{meta['pending']}"
+            batches = [n for n in self.files.names(*aside) if n.startswith("seq=")]
+            for n in batches:
+                self.files.move((*aside, n), (self.name, part, n))
+            if self.files.exists(*aside) and all(self.files.exists(self.name, part, n) for n in batches):
+                self.files.delete(*aside)
+        return meta
+
+    def _commit(self, rows: DataFrame, seq: int | None = None, expected: int | None = None, change: dict | None = None) -> int:
+        """Commit rows (seq, ord, pos, op, id, attrs) whose batches are numbered onwards from 1, or from `seq` where they
+        have their numbers already.
+
+        The rows are written aside; the next version of the metadata, which only one writer can make, numbers and names
+        them, and then they are moved to their place, by whoever comes first should this writer be lost. `expected`: the
+        version that must still be the last one.
+        """
+        name = uuid.uuid4().hex
+        for attempt in range(RETRIES):
+            version, meta = self.versioned()
+            if expected is not None and version != expected:
+                raise Conflict(self.name)
+            if version:
+                self.settled()
+            first = meta["commit_seq"] + 1
+            if seq is not None and seq < first:
+                raise ValueError(f"batches up to {meta['commit_seq']} are committed")
+            if attempt == 0:
+                numbered = rows if seq is not None else rows.withColumn("seq", F.lit(0).cast("long"))
+                (numbered.repartition("seq") if seq is not None else numbered).write.partitionBy("seq").parquet(self._path("log", f"_{name}"))
+                held = self.spark.read.schema(logs.LOG_SCHEMA).parquet(self._path("log", f"_{name}"))
+                logs.signed(held).coalesce(1).write.partitionBy("seq").parquet(self._path("sums", f"_{name}"))
+                last = held.agg(F.max("seq")).first()[0] if seq is not None else None
+            if seq is None:
+                for part in ("log", "sums"):
+                    for n in [x for x in self.files.names(self.name, part, f"_{name}") if x.startswith("seq=") and x != f"seq={first}"]:
+                        self.files.move((self.name, part, f"_{name}", n), (self.name, part, f"_{name}", f"seq={first}"))
+            upto = first if seq is None else last
+            if self._replace(version, meta | (change or {}) | {"commit_seq": upto, "pending": name}):
+                self.settled()
+                return upto
+            time.sleep(random.random() * 0.05 * (attempt + 1))
+        raise Conflict(f"{self.name}: {RETRIES} tries lost to other writers")
+
+    def _sums(self) -> DataFrame:
+        kind = "seq long, crc32 long"
+        return self.spark.read.schema(kind).parquet(self._path("sums")) if self.files.exists(self.name, "sums") else self.spark.createDataFrame([], kind)
+
+    def log(self, after: int = 0, corrupt: str | None = None) -> DataFrame:
+        """The log's rows of later batches; sequence numbers are partitions, so earlier ones are not read. corrupt: "fail"
+        or "skip" has the checksums looked at; as the catalog says by default."""
         schema = logs.LOG_SCHEMA
         if not self.files.exists(self.name, "log"):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._path("log")).where(F.col("seq") > after)
+        rows = self.spark.read.schema(schema).parquet(self._path("log")).where(F.col("seq") > after)
+        corrupt = corrupt or self.catalog.corrupt
+        return logs.verified(rows, self._sums().where(F.col("seq") > after), corrupt).select(*rows.columns) if corrupt else rows
 
     def documents(self, upto: int | None = None) -> DataFrame:
         """(id, attrs, _last_seq) at a sequence number, the last by default."""
-        meta = self.meta()
+        meta = self.settled()
         upto = meta["commit_seq"] if upto is None else upto
         snap = meta["snapshot_seq"]
         if snap and snap <= upto:
@@ -104,9 +219,18 @@ class Namespace:
             raise ValueError(f"the log before {meta['first_seq']} is compacted")
         return logs.folded(self.log(), upto)
 
+    def index(self) -> SearchIndex | None:
+        return SearchIndex.opened(self)
+
     def view(self, consistency: str = "strong") -> DataFrame:
-        meta = self.meta()
+        """id, one column for each attribute, and _last_seq; of an index's documents and the log since, where there is one."""
+        meta = self.settled()
         pinned = self.catalog.pinned.get((self.name, meta["commit_seq"]))
+        index = self.index() if pinned is None else None
+        if index and index.manifest["segments"] and not (consistency == "eventual" and index.manifest["seq"] != meta["index_cursor"]):
+            tail = index.tail()
+            fresh = None if tail is None or consistency == "eventual" else index.fresh()
+            return index.view(index.types(fresh), tail, fresh)
         docs = pinned if pinned is not None else self.documents()
         if consistency == "eventual":
             docs = logs.eventual(docs, meta["index_cursor"])
@@ -125,37 +249,34 @@ class Namespace:
 
     def append(self, changes: DataFrame) -> int:
         """Commit a DataFrame (op, id, attrs, pos) as one batch; any size, no rows pass the driver."""
-        meta = FRESH | (json.loads(self.files.read(self.name, "meta.json")) if self.files.exists(self.name, "meta.json") else {})
-        seq = meta["commit_seq"] + 1
-        rows = changes.select(logs.ord_of(F.col("op")).alias("ord"), F.col("pos").cast("long").alias("pos"), "op", "id", "attrs")
-        rows.write.mode("overwrite").parquet(self._path("log", f"seq={seq}"))
-        self._save(meta | {"commit_seq": seq})
-        return seq
+        return self._commit(_ordered(changes))
 
     def append_batches(self, log: DataFrame) -> int:
         """Commit a whole log whose batches are numbered onwards from the last one; each becomes a folder."""
-        meta = FRESH | (json.loads(self.files.read(self.name, "meta.json")) if self.files.exists(self.name, "meta.json") else {})
-        bounds = log.agg(F.min("seq"), F.max("seq")).first()
-        if bounds[0] is None:
-            return meta["commit_seq"]
-        if bounds[0] <= meta["commit_seq"]:
-            raise ValueError(f"batches up to {meta['commit_seq']} are committed")
-        rows = log.select("ord", "pos", "op", "id", "attrs", "seq")
-        rows.repartition("seq").write.mode("append").partitionBy("seq").parquet(self._path("log"))
-        self._save(meta | {"commit_seq": bounds[1]})
-        return bounds[1]
+        first = log.agg(F.min("seq")).first()[0]
+        if first is None:
+            return self.versioned()[1]["commit_seq"]
+        return self._commit(log.select("ord", "pos", "op", "id", "attrs", "seq"), first)
 
     def write(self, request: dict) -> dict:
         """One write: deletes, then upserts, then patches, whatever their order here; filters and conditions are judged by
-        the state before it. Returns what was affected."""
+        the state before it, again if another writer was first. Returns what was affected."""
+        for attempt in range(RETRIES):
+            try:
+                return self._written(request)
+            except Conflict:
+                time.sleep(random.random() * 0.05 * (attempt + 1))
+        raise Conflict(f"{self.name}: {RETRIES} tries lost to other writers")
+
+    def _written(self, request: dict) -> dict:
         if request.get("copy_from_namespace") or request.get("branch_from_namespace"):
             if len(request) > 1:
                 raise ValueError("a copy can't be combined with other writes")
             source = request.get("copy_from_namespace") or request["branch_from_namespace"]
             self.catalog.copy(source, self.name)
             return {"rows_affected": 0}
-        known = self.files.exists(self.name, "meta.json")
-        meta = self.meta() if known else dict(FRESH)
+        version, meta = self.versioned()
+        known = version > 0
         schema = schemas.merged(meta["schema"], request.get("schema") or {})
         metric = request.get("distance_metric")
         if metric and meta["metric"] and metric != meta["metric"]:
@@ -198,6 +319,11 @@ class Namespace:
         ups = [(r["id"], stored(r)) for r in upserts]
         pats = [(r["id"], stored(r)) for r in patches]
         judged = {"upsert": ups, "patch": pats, "delete": [(d, {}) for d in deletes]}
+        dims = dict(meta["dims"])
+        for row in upserts:
+            for k, v in row.items():
+                if k != "id" and (schemas.is_vector(schema[k]) if k in schema else isinstance(v, list)) and isinstance(v, list) and v and isinstance(v[0], (int, float)):
+                    dims.setdefault(k, len(v))
         for kind, rows in judged.items():
             when = request.get(f"{kind}_condition")
             if when is None or not rows:
@@ -211,22 +337,38 @@ class Namespace:
             passed = {r[0] for r in writes.applied(kind, current.drop("_last_seq"), incoming, when).select("id").collect()}
             judged[kind] = [r for r in rows if r[0] in passed]
         changes = [(op, i, a, n) for op in ("delete", "upsert", "patch") for n, (i, a) in enumerate(judged[op])]
-        meta |= {"schema": schema, "metric": meta["metric"] or metric or plans.vectors.METRICS[0]}
-        self._save(meta)
+        change = {"schema": schema, "dims": dims, "metric": meta["metric"] or metric or plans.vectors.METRICS[0]}
         if changes:
             rows = [(op, i, a if op != "delete" else None, n) for op, i, a, n in changes]
-            self.append(self.spark.createDataFrame(rows, "op string, id string, attrs map<string,string>, pos long").coalesce(1))
+            batch = self.spark.createDataFrame(rows, "op string, id string, attrs map<string,string>, pos long").coalesce(1)
+            seq = self._commit(_ordered(batch), expected=version, change=change)
+            if request.get("block_until_indexed"):
+                self.wait_until_indexed(seq)
+        elif any(meta[k] != v for k, v in change.items()) and not self._replace(version, meta | change):
+            raise Conflict(self.name)
+        if request.get("return_affected_ids"):
+            out |= {"upserted_ids": [r[0] for r in judged["upsert"]], "deleted_ids": [r[0] for r in judged["delete"]]}
         counts = {f"rows_{k}": len(v) for k, v in (("upserted", judged["upsert"]), ("patched", judged["patch"]), ("deleted", judged["delete"]))}
         return out | counts | {"rows_affected": len(changes)}
 
     def query(self, request: dict, **how) -> DataFrame:
-        """The result of a query as a lazy DataFrame (id, dist, attributes)."""
+        """The result of a query as a DataFrame (id, dist, attributes): through the index where it serves all that the
+        query ranks by, else by a scan. how: plans.query.Settings. Small jobs find statistics and cut fusions before."""
         parsed = parse_query(request)
         meta = self.meta()
-        view = self.view(parsed.consistency).drop("_last_seq")
         settings = replace(plans.Settings(metric=meta["metric"] or plans.vectors.METRICS[0]), **how)
+        index = None if settings.scan else self.index()
+        if index is not None and indexed.served(index, parsed, settings) and not (parsed.consistency == "eventual" and index.manifest["seq"] != meta["index_cursor"]):
+            return indexed.compiled(index, parsed, settings)
+        view = self.view(parsed.consistency).drop("_last_seq")
+        plans.check_dimensions(view, parsed, {f: self.dimensions(f, meta) for f in view.columns})
         return plans.compiled(view, parsed, settings)
 
+    def dimensions(self, field: str, meta: dict | None = None) -> int | None:
+        """Of a vector field: as declared, or as in the first row that was written."""
+        meta = meta or self.meta()
+        return schemas.declared_width(meta["schema"].get(field)) or meta["dims"].get(field)
+
     def explain(self, request: dict) -> str:
         df = self.query(request)
         return df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
@@ -259,32 +401,57 @@ class Namespace:
         return {"approx_row_count": self.documents().count(), "unindexed_bytes": tail, "index_lag": meta["commit_seq"] - meta["index_cursor"], "status": "catching_up" if meta["index_cursor"] < meta["commit_seq"] else "up_to_date", **{k: meta[k] for k in ("commit_seq", "index_cursor", "snapshot_seq", "schema", "metric")}}
 
     def indexed_to(self, seq: int) -> None:
-        meta = self.meta()
-        self._save(meta | {"index_cursor": max(meta["index_cursor"], min(seq, meta["commit_seq"]))})
+        self.changed(lambda meta: meta | {"index_cursor": max(meta["index_cursor"], min(seq, meta["commit_seq"]))})
 
     def compact(self) -> bool:
         """Write a snapshot at the cursor and drop the log well before it, once the index has caught up."""
-        meta = self.meta()
+        meta = self.settled()
         todo = logs.compaction_plan(meta["commit_seq"], meta["index_cursor"], meta["snapshot_seq"])
         if not todo:
             return False
         at, upto = todo
         self.documents(at).select("id", "attrs").write.mode("overwrite").parquet(self._path("snapshot", f"seq={at}"))
-        self._save(meta | {"snapshot_seq": at, "first_seq": upto + 1})
+        self.changed(lambda m: m | {"snapshot_seq": at, "first_seq": upto + 1})
         for s in range(meta["first_seq"], upto + 1):
             self.files.delete(self.name, "log", f"seq={s}")
+            self.files.delete(self.name, "sums", f"seq={s}")
         return True
 
-    def build_index(self, field: str, layout: int = 2) -> ivf.Index | None:
-        meta = self.meta()
-        view = self.view().drop("_last_seq")
-        index = ivf.built(view.select("id", field), "id", field, meta["metric"] or plans.vectors.METRICS[0], layout, self._path("index", field, f"seq={meta['commit_seq']}"))
-        self.indexed_to(meta["commit_seq"])
-        return index
+    def build_index(self, fields: list[str] | None = None, layout: int = 2) -> SearchIndex:
+        """An index of all documents, which queries use from then on; fields: vector fields, all by default."""
+        return SearchIndex.built(self, fields, layout)
+
+    def advance_index(self, upto: int | None = None) -> SearchIndex:
+        """The index up to a batch, the last by default: a segment more, or the first one."""
+        index = self.index()
+        return self.build_index() if index is None else index.advanced(upto)
+
+    def wait_until_indexed(self, seq: int | None = None, timeout: float = 30.0) -> None:
+        """Return once the index has a batch. An index of the namespace's own is moved on here; without one, whoever
+        follows the log has to come up to it in time."""
+        seq = self.meta()["commit_seq"] if seq is None else seq
+        if self.index() is not None:
+            self.advance_index()
+        until = time.monotonic() + timeout
+        while self.meta()["index_cursor"] < seq:
+            if time.monotonic() > until:
+                raise TimeoutError(f"the index of {self.name} is not at {seq} after {timeout} seconds")
+            time.sleep(0.05)
+
+    def vacuum(self) -> int:
+        """Delete what the current index doesn't name; how many folders and files went. Not while others query or write."""
+        index, meta = self.index(), self.meta()
+        keep = {s["name"].split("/")[1] for s in index.manifest["segments"]} | {meta["index"].split("/")[1]} if index else set()
+        gone = [n for n in self.files.names(self.name, "index") if n not in keep]
+        for n in gone:
+            self.files.delete(self.name, "index", n)
+        return len(gone)
 
     def recall(self, field: str, num: int = 25, top_k: int = 10, filters: Any = None, index: ivf.Index | None = None) -> dict[str, float]:
         view = self.view().drop("_last_seq")
-        index = index or self.build_index(field)
+        if index is None:
+            own = self.index() or self.build_index()
+            index = ivf.Index(*ivf.index_arrays(own.centres(field)), own.members(field).withColumnRenamed("v", field)) if field in own.manifest["vectors"] else None
         if index is None:
             return {"avg_recall": 0.0, "avg_ann_count": 0.0, "avg_exhaustive_count": 0.0}
         if filters is not None:
@@ -295,6 +462,10 @@ class Namespace:
         return ivf.recall(index, view.select("id", field), "id", field, self.name, num, top_k)
 
 
+def _ordered(changes: DataFrame) -> DataFrame:
+    return changes.select(logs.ord_of(F.col("op")).alias("ord"), F.col("pos").cast("long").alias("pos"), "op", "id", "attrs")
+
+
 def export_page(docs: DataFrame, last_id: Any, limit: int, id_col: str = "id") -> tuple[DataFrame, Any]:
     """Rows with greater ids in order, `limit` within 1 and 10000, and the last id if the page is full."""
     n = min(EXPORT_PAGE, max(1, limit))

@@ -29,6 +29,11 @@ def vector_bits(spec: Any) -> int:
     return 16 if "f16" in type_of(spec) else 32
 
 
+def declared_width(spec: Any) -> int | None:
+    found = re.match(r"\[(\d+)\]", type_of(spec)) if spec is not None and is_vector(spec) else None
+    return int(found[1]) if found else None
+
+
 def is_text(spec: Any) -> bool:
     if isinstance(spec, dict) and spec.get("full_text_search") is True:
         return True
@@ -126,6 +131,11 @@ def inferred(docs: DataFrame, schema: dict) -> dict:
     return schema | {r["name"]: r["kinds"][0] if len(r["kinds"]) == 1 else "json" for r in sorted(found, key=lambda r: r["name"])}
 
 
+def joined(a: dict, b: dict) -> dict:
+    """Types of both; an attribute that they call by different ones is JSON text."""
+    return a | {n: t if type_of(a.get(n, t)) == type_of(t) else "json" for n, t in b.items()}
+
+
 def typed(docs: DataFrame, schema: dict) -> DataFrame:
     """id, one column for each attribute, and _last_seq."""
     rest = ["_last_seq"] if "_last_seq" in docs.columns else []
