@@ -1,9 +1,11 @@
 """Exact repeated passages: Rabin-Karp hashes of every window of `width` tokens, counted in Spark, merged into intervals.
 
 Executors hash batches of whole documents and send each hash, with the window's place in its batch, to the partition
-that owns the hash's range: sorted, as differences in byte planes, about nine bytes a window on the wire. The owner
-counts and answers every batch with the places of its repeated windows, which then merge to intervals per document.
-A batch is named after its documents, so a task that is run again names it alike.
+that owns the hash's range: sorted, as differences in byte planes, about nine bytes a window on the wire. A window that
+a batch holds several times is repeated whatever the others hold: its hash goes out once and without places, so that a
+hot passage costs an owner one hash a batch. The owner counts and answers every batch with the places of its repeated
+windows, which then merge to intervals per document. A batch is named after its documents, so a task that is run again
+names it alike.
 """
 
 from __future__ import annotations
@@ -53,14 +55,20 @@ def _rows(ids: list[int], hashes: list[np.ndarray], groups: int) -> Iterator[pa.
     name = xxhash.xxh64_intdigest(head + flat[:: max(1, len(flat) // 1000)].tobytes()) >> 1
     order = np.argsort(flat, kind="stable")
     flat, order = flat[order], order.astype(np.uint32 if len(order) < 1 << 32 else np.uint64)
-    owner = ((flat >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32)
-    cuts = np.r_[0, np.flatnonzero(np.diff(owner)) + 1, len(flat)]
-    g, h, at = [int(name % groups)], [None], [head]
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        g.append(int(owner[a]))
-        h.append(planes(flat[a:b]))
-        at.append(packed(order[a:b]))
-    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array([name] * len(g), pa.int64()), pa.array(h, pa.binary()), pa.array(at, pa.binary())], ["g", "batch", "hashes", "places"])
+    same = flat[1:] == flat[:-1]
+    twice = np.r_[False, same] | np.r_[same, False]
+    sure = np.sort(order[twice]).astype(np.uint64)
+    single, places = flat[~twice], order[~twice]
+    known = flat[twice & ~np.r_[False, same]]
+    g, h, at, more = [int(name % groups)], [None], [head], [planes(sure)]
+    owners = [((x >> np.uint64(32)) * np.uint64(groups)) >> np.uint64(32) for x in (single, known)]
+    for owner in np.union1d(*owners).tolist():
+        (a, b), (c, d) = (np.searchsorted(x, np.array([owner, owner + 1], np.uint64)) for x in owners)
+        g.append(owner)
+        h.append(planes(single[a:b]))
+        at.append(packed(places[a:b]))
+        more.append(planes(known[c:d]))
+    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array([name] * len(g), pa.int64()), *(pa.array(x, pa.binary()) for x in (h, at, more))], ["g", "batch", "hashes", "places", "more"])
 
 
 def _dtype(raw: bytes, n: int) -> type:
@@ -92,17 +100,19 @@ def _hashed(groups: int, width: int):
 def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
     heads = pdf[pdf["hashes"].isna()]
     rows = pdf[pdf["hashes"].notna()]
-    out = [pd.DataFrame({"batch": heads["batch"], "head": heads["places"], "places": None})]
+    out = [pd.DataFrame({"batch": heads["batch"], "head": heads["places"], "places": heads["more"]})]
     if len(rows):
         hs = [values(x, np.uint64) for x in rows["hashes"]]
         sizes = np.array([len(h) for h in hs])
-        every = np.concatenate(hs)
+        n = int(sizes.sum())
+        every = np.concatenate([*hs, *(values(x, np.uint64) for x in rows["more"])])
         order = np.argsort(every, kind="stable")
         same = every[order]
         same = same[1:] == same[:-1]
         again = np.zeros(len(every), bool)
         again[order[1:][same]] = True
         again[order[:-1][same]] = True
+        again = again[:n]
         ends = np.cumsum(sizes)
         names, found = [], []
         for name, raw, a, b in zip(rows["batch"], rows["places"], ends - sizes, ends):
@@ -117,7 +127,7 @@ def _merged(width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         heads = pdf["head"].dropna()
         some = pdf["places"].dropna()
-        if not len(some):
+        if not some.map(len).any():
             return pd.DataFrame({"doc_id": [], "start_token": [], "end_token": []}, dtype="int64")
         if not len(heads):
             raise RuntimeError("a batch was not hashed alike twice: write the input to a table first")
@@ -139,27 +149,39 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A window is repeated if the same `width` tokens occur at two places or more, in one document or several; each
     occurrence counts, so all copies are listed and the caller decides which stays. Windows that overlap or touch
     merge. Null or shorter texts and null ids have no windows; a doc_id on several rows gives the intervals of each,
-    equal ones once. An empty table gives no rows. Input that isn't read in the same order twice is to be written first.
+    equal ones once; very long texts are hashed whole. An empty table gives no rows. Input that isn't read in the same order twice is to be written first.
     """
     base = id_text(docs, id_col, text_col).where("id is not null and text is not null")
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-chars // (CHARS * PER_GROUP)))
-    sent = map_arrow(base, _hashed(groups, width), "g int, batch long, hashes binary, places binary")
+    sent = map_arrow(base, _hashed(groups, width), "g int, batch long, hashes binary, places binary, more binary")
     answers = sent.groupBy("g").applyInPandas(_counted, "batch long, head binary, places binary")
     return answers.groupBy("batch").applyInPandas(_merged(width), "doc_id long, start_token long, end_token long").distinct()
 
 
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """Where the tokens of the lower-cased text stand in the text itself, whose characters may be fewer."""
+    low = text.lower()
+    spans = [m.span() for m in WORDS.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    ends = np.cumsum([len(c.lower()) for c in text])
+    return [(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(ends, b)) + 1) for a, b in spans]
+
+
 def without_passages(docs: DataFrame, intervals: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the tokens of the given intervals cut from the text; what stands between two cuts stays as it is."""
-    cuts = intervals.groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start_token", "end_token"))).alias("_cuts"))
+    """docs with the tokens of the given intervals cut from the text; what stands between two cuts stays as it is.
+
+    All columns stay, whatever their names; null ids and texts have nothing cut.
+    """
+    cuts = intervals.groupBy(F.col("doc_id").alias("i")).agg(F.sort_array(F.collect_list(F.struct("start_token", "end_token"))).alias("s"))
 
     @F.pandas_udf("string")
     def cut_text(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for text, own in zip(texts, spans):
             if text is not None and own is not None and len(own):
-                low = text.lower()
-                words = [m.span() for m in WORDS.finditer(low if len(low) == len(text) else text)]
+                words = token_spans(text)
                 parts, at = [], 0
                 for s in own:
                     a, b = int(s["start_token"]), min(int(s["end_token"]), len(words))
@@ -170,8 +192,10 @@ def without_passages(docs: DataFrame, intervals: DataFrame, id_col: str = "doc_i
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(cuts, F.col(id_col) == F.col("_cut_id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(cut_text(F.col(text_col), F.col("_cuts")))).drop("_cut_id", "_cuts")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("r"), docs[id_col].try_cast("long").alias("k"))
+    joined = rows.join(cuts, F.col("k") == F.col("i"), "left")
+    text = F.when(F.col("s").isNull(), F.col(f"r.`{text_col}`")).otherwise(cut_text(F.col(f"r.`{text_col}`"), F.col("s")))
+    return joined.select(*[(text if c == text_col else F.col(f"r.`{c}`")).alias(c) for c in docs.columns])
 
 
 SQL = r"""

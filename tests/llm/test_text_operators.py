@@ -151,6 +151,27 @@ def test_passages_over_batches_and_long_texts(make, prose, monkeypatch):
     assert rows(substring.repeated_passages(make([]))) == [] == rows(substring.repeated_passages(make([(1, None)])))
 
 
+def test_hot_passages_go_out_once_a_batch(make, prose):
+    hot = prose(5, 60)
+    texts = [(i, f"{hot} {prose(100 + i, 30)} {hot}") for i in range(50)] + [(90, hot)]
+    assert rows(substring.repeated_passages(make(texts))) == brute_passages(texts, 50)
+    sent = list(substring._rows([1, 2], [np.array([5, 7, 5, 9], np.uint64), np.array([5, 9, 11], np.uint64)], 1))[0].to_pydict()
+    assert substring.values(sent["hashes"][1], np.uint64).tolist() == [7, 11] and substring.values(sent["more"][1], np.uint64).tolist() == [5, 9]
+    assert substring.values(sent["more"][0], np.uint64).tolist() == [0, 2, 3, 4, 5]
+
+
+def test_cuts_in_texts_that_lower_case_lengthens(spark, make, prose):
+    text = f"İİ İz a {prose(1, 60)} İ end"
+    low = WORDS.findall(text.lower())
+    at = [text[a:b].lower().replace("\u0307", "") for a, b in substring.token_spans(text)]
+    assert at == low and len(low) == 67
+    docs = make([(1, text), (None, "x y"), (2, None)]).withColumnsRenamed({"g": "_cut_id", "fp": "_cuts"})
+    spans = spark.createDataFrame([(1, low.index("a"), low.index("end"))], "doc_id long, start_token long, end_token long")
+    out = substring.without_passages(docs, spans)
+    assert out.columns == docs.columns and out.count() == 3
+    assert out.where("doc_id = 1").first()["text"].endswith(" end") and "a" not in out.where("doc_id = 1").first()["text"].split()
+
+
 def test_byte_planes():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000).astype(np.uint64))
     assert (substring.values(substring.planes(x), np.uint64) == x).all()
