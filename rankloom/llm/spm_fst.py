@@ -1,12 +1,17 @@
 """SentencePiece encoding as a weighted finite-state transducer, and decoding.
 
-The model file is compiled to three machines: the normaliser (dummy prefix, white space marks), the pieces (arcs over
-a shared-prefix trie, weight -score) and byte fallback for characters outside the pieces. A text is composed with them
-and the tropical-semiring shortest path gives its pieces. For a BPE model, additive weights alone don't give the merge
-order, so the pieces machine remembers the last piece: an arc after another is there only if the two stand side by
-side when merged by rank alone. A sequence is the BPE result exactly if all its neighbours are such pairs, so one path
-is left to each position, and a depth-first search finds it; unigram models take the least sum. Where no piece reaches over a place, such as the start of a run of white space marks, the composition is
-done, and remembered, per stretch between such places.
+The model file is compiled to arc tables of three machines: the normaliser (states for the start, the text and its inner
+white space; arcs by class of sign with their output), the pieces (a trie whose final states output a piece at the
+weight of minus its score) and byte fallback (an arc for any sign without a piece, at more than the worst weight, which
+outputs its bytes). A text is composed with them, and the least path in the tropical semiring gives its pieces.
+
+Additive weights alone don't give a BPE model's merge order, so there the state of the composition holds the last piece
+as well, and an arc after another exists only if the two stand side by side when merged by rank alone. A sequence is the
+BPE result exactly if all its neighbours are such pairs, so at most one state of each place is reached.
+
+Where no piece reaches over a place, such as the start of a run of white space marks, the composition splits; what is
+between two such places is composed once, and remembered. New stretches of a batch of texts are composed together, place
+by place, in arrays; the few long ones are searched depth first, longest arc first.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ from .common import id_text, map_arrow, slices
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-#: Stretches, neighbours and arcs that are remembered, each, and the longest stretch that is.
-CACHE, CACHE_CHARS = 350_000, 48
+#: Stretches, neighbours and arcs that are remembered, each, the longest stretch that is, and how many are composed at once.
+CACHE, CACHE_CHARS, TOGETHER = 350_000, 48, 16_000
 #: Characters that decide the arcs at a place, unless a longer piece may start there.
 AHEAD = 7
 
@@ -106,9 +111,155 @@ class Transducer:
         self._sizes = np.array([len(x) for x in surface])
         self._starts = np.cumsum(self._sizes) - self._sizes
         self._worst = max(self.weight.values(), default=0.0) + 10
+        self.normaliser = self._normaliser()
+        self._compile()
         self._beside, self._known, self._near = Bounded(), Bounded(), Bounded()
         self._same = {p: p for p in self.ids}
+
+    def _normaliser(self) -> dict[tuple[int, bool], tuple[int, str, bool]]:
+        """(state, white space?) -> (state, output before the sign, whether the sign follows). 0: start, 1: text, 2: after
+        white space in a text, where that is squeezed."""
+        space, dummy = (MARK if self.escape else " "), (MARK if self.escape else " ") * self.dummy
+        if self.squeeze:
+            return {(0, True): (0, "", False), (0, False): (1, dummy, True), (1, True): (2, "", False), (1, False): (1, "", True), (2, True): (2, "", False), (2, False): (1, space, True)}
+        return {(0, True): (1, dummy + space, False), (0, False): (1, dummy, True), (1, True): (1, space, False), (1, False): (1, "", True)}
+
+    def _compile(self) -> None:
+        """Arrays of the pieces machine: trie arcs by (state << 21 | sign), pieces of final states, weights; for BPE also
+        each piece's halves and rank and what any two pieces merge to. The last id stands for signs without a piece."""
+        names = list(self.ids)
+        at = {p: i for i, p in enumerate(names)}
+        self._other, self._piece_ids = len(names), np.array([self.ids[p] for p in names], np.int64)
+        self._cost = np.array([*(self.weight[p] for p in names), self._worst])
+        node, arcs, final = {"": 0}, {}, {}
+        for p in names:
+            for n in range(1, len(p) + 1):
+                if p[:n] not in node:
+                    node[p[:n]] = len(node)
+                    arcs[node[p[: n - 1]] << 21 | ord(p[n - 1])] = node[p[:n]]
+            final[node[p]] = at[p]
+        self._arc_keys = np.array(sorted(arcs), np.int64)
+        self._arc_to = np.array([arcs[k] for k in self._arc_keys.tolist()], np.int64)
+        self._first = np.full(0x110000, -1, np.int32)
+        self._first[[k for k in arcs if k < 1 << 21]] = [x for k, x in arcs.items() if k < 1 << 21]
+        self._final = np.full(len(node), -1)
+        self._final[list(final)] = list(final.values())
+        self._longest = max(map(len, names), default=1)
         self._split: dict[str, tuple[str, ...]] = {}
+        if self.kind != BPE:
+            return
+        self._left, self._right, self._rank, self._bad = (np.full(len(names) + 1, x) for x in (-1, -1, -1, False))
+        merges = {}
+        for i, p in enumerate(names):
+            halves = self._halves(p)
+            if not halves:
+                self._bad[i] = True
+            elif len(p) > 1:
+                self._left[i], self._right[i], self._rank[i] = at.get(halves[0], self._other), at.get(halves[1], self._other), self.rank[p]
+            for n in range(1, len(p)):
+                if p[:n] in at and p[n:] in at:
+                    merges[at[p[:n]] << 32 | at[p[n:]]] = self.rank[p]
+        self._merge_keys = np.array(sorted(merges), np.int64)
+        self._merge_rank = np.array([merges[k] for k in self._merge_keys.tolist()], np.int64)
+
+    def _neighbours(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """_allowed for arrays of pieces; last is -1 at the start."""
+        ok = ~self._bad[piece]
+        live = np.flatnonzero(ok & (last >= 0))
+        a, b = last[live], piece[live]
+        limit = np.full(len(live), len(self.rank) + 1)
+        while len(live):
+            key = a << 32 | b
+            at = np.minimum(np.searchsorted(self._merge_keys, key), len(self._merge_keys) - 1)
+            merge = (self._merge_keys[at] == key) & (self._merge_rank[at] < limit)
+            ok[live[merge]] = False
+            ra, rb = self._rank[a], self._rank[b]
+            on = ~merge & ((ra >= 0) | (rb >= 0))
+            live, a, b, ra, rb = live[on], a[on], b[on], ra[on], rb[on]
+            first = ra > rb
+            limit = np.where(first, ra, rb + 1)
+            a, b = np.where(first, self._right[a], a), np.where(first, b, self._left[b])
+        return ok
+
+    def shortest(self, texts: list[str]) -> tuple[np.ndarray, list[list[int]], list[list[int]]]:
+        """Of each normalised, non-empty text the least cost in the composition with pieces and fallback, and the ends and
+        numbers of the arcs on that path; a number beyond the pieces is the fallback's."""
+        sizes = np.array([len(t) for t in texts])
+        signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        offset = np.arange(len(signs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        room = np.repeat(sizes, sizes) - offset
+        place = np.arange(len(signs)) + np.repeat(np.arange(len(texts)), sizes)  # a text has a place more than signs
+        # compose: walk the trie from all places at once
+        begin, end, what = [place], [place + 1], []
+        live, state = np.arange(len(signs)), np.zeros(len(signs), np.int64)
+        for n in range(1, self._longest + 1):
+            if n == 1:
+                to = self._first[signs]
+                hit = to >= 0
+                single = np.where(hit, self._final[to], -1)
+                what.append(np.where(single < 0, self._other, single))
+                live, state = live[hit], to[hit].astype(np.int64)
+            else:
+                key = state << 21 | signs[live + n - 1]
+                at = np.minimum(np.searchsorted(self._arc_keys, key), len(self._arc_keys) - 1)
+                hit = self._arc_keys[at] == key
+                live, state = live[hit], self._arc_to[at[hit]]
+                done = self._final[state] >= 0
+                begin.append(place[live[done]])
+                end.append(place[live[done]] + n)
+                what.append(self._final[state[done]])
+            more = room[live] > n
+            live, state = live[more], state[more]
+            if not len(live):
+                break
+        begin, end, what = map(np.concatenate, (begin, end, what))
+        # relax: places in order, all texts side by side; arcs from one place end at different ones
+        where = np.zeros(len(signs) + len(texts), np.int64)
+        where[place] = offset
+        order = np.argsort(where[begin], kind="stable")
+        begin, end, what = begin[order], end[order], what[order]
+        cuts = np.searchsorted(where[begin], np.arange(sizes.max() + 1))
+        cost, last, back = np.full(len(where), np.inf), np.full(len(where), -1), np.full(len(where), -1)
+        starts = np.cumsum(sizes + 1) - sizes - 1
+        cost[starts] = 0
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            i, j, p = begin[x:y], end[x:y], what[x:y]
+            c = cost[i] + self._cost[p]
+            go = np.flatnonzero(c < cost[j])
+            if self.kind == BPE and len(go):
+                go = go[self._neighbours(last[i[go]], p[go])]
+            cost[j[go]], last[j[go]], back[j[go]] = c[go], p[go], i[go]
+        now = starts + sizes
+        total, who, steps, ids, ends = cost[now], np.arange(len(texts)), [], [], []
+        while len(who):
+            steps.append(who)
+            ids.append(last[now])
+            ends.append(now - starts[who])
+            now = back[now]
+            on = now > starts[who]
+            now, who = now[on], who[on]
+        who, ids, ends = (np.concatenate(x[::-1]) for x in (steps, ids, ends))
+        by = np.argsort(who, kind="stable")
+        cuts = np.searchsorted(who[by], np.arange(len(texts) + 1)).tolist()
+        ends, ids = ends[by].tolist(), ids[by].tolist()
+        return total, [ends[a:b] for a, b in zip(cuts, cuts[1:])], [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _composed(self, texts: list[str]) -> list[tuple[int, ...]]:
+        """Piece ids of each stretch."""
+        piece, other = self._piece_ids.tolist(), self._other
+        out = []
+        for text, ends, ids in zip(texts, *self.shortest(texts)[1:]):
+            if other not in ids:
+                out.append(tuple([piece[x] for x in ids]))
+                continue
+            own: list[int] = []
+            for e, x in zip(ends, ids):
+                more = [piece[x]] if x != other else self._symbols(text[e - 1 : e])
+                if more[0] == self.unknown and own and own[-1] == self.unknown and not self.fallback:
+                    continue
+                own += more
+            out.append(tuple(own))
+        return out
 
     def _boundaries(self) -> re.Pattern:
         """Stretches between which no piece reaches: from a run of marks to the next; where no piece joins a Latin
@@ -207,7 +358,7 @@ class Transducer:
         return found or tuple(j - i for j in reversed(self._arcs(text, i)))
 
     def path(self, text: str) -> list[str]:
-        """Pieces on the shortest path of the composition with a normalised text."""
+        """Pieces on the shortest path of the composition with one normalised text, found alone."""
         return self._only_path(text) if self.kind == BPE else self._least_path(text)
 
     def _only_path(self, text: str) -> list[str]:
@@ -270,24 +421,41 @@ class Transducer:
         return tuple(out)
 
     def normalised(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if text and self.dummy:
-            text = " " + text
-        return text.replace(" ", MARK) if self.escape else text
+        """What the normaliser outputs for a text. Runs of one class go at once: their first sign takes an arc, and the
+        arcs of the state after it loop."""
+        arcs, state, out, at = self.normaliser, 0, [], 0
+        if text and not self.squeeze:
+            # after the first sign the machine stays in one state: one replacement
+            state, before, _ = arcs[0, text[0] == " "]
+            return before + (text[1:] if text[0] == " " else text).replace(" ", arcs[1, True][1])
+        for m in re.finditer(" +|[^ ]+", text):
+            run, blank = m.group(), text[m.start()] == " "
+            state, before, same = arcs[state, blank]
+            out.append(before + (run if same else ""))
+        return "".join(out)
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Piece ids of each text."""
+        known = self._known
+        cut = [self.split.findall(self.normalised(t)) for t in texts]
+        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in known))
+        found: dict[str, tuple[int, ...]] = {}
+        short = sorted((p for p in new if len(p) <= CACHE_CHARS), key=len)
+        for i in range(0, len(short), TOGETHER):
+            found.update(zip(short[i : i + TOGETHER], self._composed(short[i : i + TOGETHER])))
+        found.update((p, self._stretch(p)) for p in new if len(p) > CACHE_CHARS)
+        out = []
+        for parts in cut:
+            got = list(map(known.get, parts))
+            if None in got:
+                got = [found[p] if ids is None else ids for p, ids in zip(parts, got)]
+            out.append(np.fromiter(chain.from_iterable(got), np.int32))
+        for p in short:
+            known.keep(p, found[p])
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        known = self._known
-        parts = self.split.findall(self.normalised(text))
-        got = list(map(known.get, parts))
-        if None in got:
-            for k, ids in enumerate(got):
-                if ids is None:
-                    part = parts[k]
-                    ids = got[k] = known.get(part) or self._stretch(part)
-                    if len(part) <= CACHE_CHARS:
-                        known.keep(part, ids)
-        return np.fromiter(chain.from_iterable(got), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the pieces; bytes that aren't valid UTF-8 and ids outside the model become U+FFFD."""
@@ -315,7 +483,7 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     Row by row: repeated rows and null ids pass through. A null text gives nulls, an empty one no ids and "". A mark
     U+2581 in a text reads back as a space, as in any SentencePiece model; all else reads back as it was when the
-    model keeps white space.
+    model keeps white space. Very long texts are encoded whole; an empty table gives no rows.
     """
 
     def flush(ids, arrays, texts):
@@ -330,17 +498,18 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches):
         machine = transducer(model)
         for b in slices(batches):
-            ids, arrays, texts, size = [], [], [], 0
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids.append(i)
-                arrays.append(None if text is None else machine.encode(text))
-                texts.append(None if text is None else machine.decode(arrays[-1]))
-                size += len(text or "")
-                if size > batch_chars:
-                    yield flush(ids, arrays, texts)
-                    ids, arrays, texts, size = [], [], [], 0
-            if ids:
-                yield flush(ids, arrays, texts)
+            rows = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            at = 0
+            while at < len(rows):
+                to, size = at, 0
+                while to < len(rows) and (to == at or size + len(rows[to][1] or "") <= batch_chars):
+                    size += len(rows[to][1] or "")
+                    to += 1
+                part = rows[at:to]
+                coded = iter(machine.encode_all([t for _, t in part if t is not None]))
+                arrays = [None if t is None else next(coded) for _, t in part]
+                yield flush([i for i, _ in part], arrays, [None if a is None else machine.decode(a) for a in arrays])
+                at = to
 
     return map_arrow(id_text(docs, id_col, text_col), run, "doc_id long, ids array<int>, decoded string")
 

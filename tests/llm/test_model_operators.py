@@ -182,6 +182,48 @@ def unigram_model() -> bytes:
     return b"".join(piece(*p) for p in pieces) + field(2, 2, field(3, 0, bytes([1])))
 
 
+def every_path(m, text):
+    """(cost, pieces) of all paths of the composition, by trying each arc at each place."""
+    out, todo = [], [(0, 0.0, [])]
+    while todo:
+        i, cost, pieces = todo.pop()
+        if i == len(text):
+            out.append((cost, pieces))
+            continue
+        for j in range(i + 1, len(text) + 1):
+            p = text[i:j]
+            if p not in m.weight and j > i + 1:
+                continue
+            if m.kind == spm_fst.BPE and not m._allowed(pieces[-1] if pieces else "", p):
+                continue
+            todo.append((j, cost + m.weight.get(p, m._worst), [*pieces, p]))
+    return out
+
+
+def test_least_cost_equals_enumeration():
+    rng = random.Random(8)
+    for m, signs in ((spm_fst.transducer(PIECES), "▁the andré日1x"), (spm_fst.Transducer(unigram_model()), "▁aabbc")):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+        cost, ends, _ = m.shortest(texts)
+        for t, c, e in zip(texts, cost, ends):
+            paths = every_path(m, t)
+            least = min(paths)
+            assert abs(least[0] - c) < 1e-6
+            got = [t[a:b] for a, b in zip([0, *e[:-1]], e)]
+            assert got in [p for x, p in paths if abs(x - c) < 1e-6]
+            if m.kind == spm_fst.BPE:
+                assert len(paths) == 1 and got == m.merged(t) == m.path(t)
+
+
+def test_normaliser_arcs():
+    keep, squeeze = spm_fst.transducer(PIECES), spm_fst.Transducer(unigram_model())
+    rng = random.Random(9)
+    for _ in range(200):
+        t = "".join(rng.choice("  ab\n") for _ in range(rng.randint(0, 8)))
+        assert keep.normalised(t) == ("▁" + t.replace(" ", "▁") if t else "")
+        assert squeeze.normalised(t) == ("▁" + "▁".join(x for x in t.split(" ") if x) if t.strip(" ") else "")
+
+
 def test_unigram_models_take_the_least_sum():
     m = spm_fst.Transducer(unigram_model())
     assert m.encode("aba").tolist() == [5, 6]
