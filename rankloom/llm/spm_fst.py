@@ -75,6 +75,25 @@ def _fields(raw: bytes):
             at += n
 
 
+def _mixed_bits(keys: np.ndarray) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
+
+
+def _seen(keys: np.ndarray) -> np.ndarray:
+    """A sieve of the keys: most that aren't among them fail it."""
+    out = np.zeros(1 << 22, bool)
+    out[_mixed_bits(keys)] = True
+    return out
+
+
+def _find(asked: np.ndarray, keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the asked keys are among the ascending keys, and where there."""
+    some = np.flatnonzero(seen[_mixed_bits(asked)])
+    at = np.minimum(np.searchsorted(keys, asked[some]), len(keys) - 1)
+    hit = keys[at] == asked[some]
+    return some[hit], at[hit]
+
+
 class Transducer:
     """Encoder and decoder of one model file's bytes."""
 
@@ -139,6 +158,7 @@ class Transducer:
                     arcs[node[p[: n - 1]] << 21 | ord(p[n - 1])] = node[p[:n]]
             final[node[p]] = at[p]
         self._arc_keys = np.array(sorted(arcs), np.int64)
+        self._arc_seen = _seen(self._arc_keys)
         self._arc_to = np.array([arcs[k] for k in self._arc_keys.tolist()], np.int64)
         self._first = np.full(0x110000, -1, np.int32)
         self._first[[k for k in arcs if k < 1 << 21]] = [x for k, x in arcs.items() if k < 1 << 21]
@@ -160,6 +180,7 @@ class Transducer:
                 if p[:n] in at and p[n:] in at:
                     merges[at[p[:n]] << 32 | at[p[n:]]] = self.rank[p]
         self._merge_keys = np.array(sorted(merges), np.int64)
+        self._merge_seen = _seen(self._merge_keys)
         self._merge_rank = np.array([merges[k] for k in self._merge_keys.tolist()], np.int64)
 
     def _neighbours(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -169,10 +190,11 @@ class Transducer:
         a, b = last[live], piece[live]
         limit = np.full(len(live), len(self.rank) + 1)
         while len(live):
-            key = a << 32 | b
-            at = np.minimum(np.searchsorted(self._merge_keys, key), len(self._merge_keys) - 1)
-            merge = (self._merge_keys[at] == key) & (self._merge_rank[at] < limit)
-            ok[live[merge]] = False
+            some, at = _find(a << 32 | b, self._merge_keys, self._merge_seen)
+            some = some[self._merge_rank[at] < limit[some]]
+            merge = np.zeros(len(live), bool)
+            merge[some] = True
+            ok[live[some]] = False
             ra, rb = self._rank[a], self._rank[b]
             on = ~merge & ((ra >= 0) | (rb >= 0))
             live, a, b, ra, rb = live[on], a[on], b[on], ra[on], rb[on]
@@ -200,10 +222,8 @@ class Transducer:
                 what.append(np.where(single < 0, self._other, single))
                 live, state = live[hit], to[hit].astype(np.int64)
             else:
-                key = state << 21 | signs[live + n - 1]
-                at = np.minimum(np.searchsorted(self._arc_keys, key), len(self._arc_keys) - 1)
-                hit = self._arc_keys[at] == key
-                live, state = live[hit], self._arc_to[at[hit]]
+                hit, at = _find(state << 21 | signs[live + n - 1], self._arc_keys, self._arc_seen)
+                live, state = live[hit], self._arc_to[at]
                 done = self._final[state] >= 0
                 begin.append(place[live[done]])
                 end.append(place[live[done]] + n)
@@ -438,20 +458,18 @@ class Transducer:
         """Piece ids of each text."""
         known = self._known
         cut = [self.split.findall(self.normalised(t)) for t in texts]
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in known))
-        found: dict[str, tuple[int, ...]] = {}
+        new = set().union(*cut).difference(known)
         short = sorted((p for p in new if len(p) <= CACHE_CHARS), key=len)
         for i in range(0, len(short), TOGETHER):
-            found.update(zip(short[i : i + TOGETHER], self._composed(short[i : i + TOGETHER])))
-        found.update((p, self._stretch(p)) for p in new if len(p) > CACHE_CHARS)
-        out = []
-        for parts in cut:
-            got = list(map(known.get, parts))
-            if None in got:
-                got = [found[p] if ids is None else ids for p, ids in zip(parts, got)]
-            out.append(np.fromiter(chain.from_iterable(got), np.int32))
-        for p in short:
-            known.keep(p, found[p])
+            known.update(zip(short[i : i + TOGETHER], self._composed(short[i : i + TOGETHER])))
+        long = [p for p in new if len(p) > CACHE_CHARS]
+        for p in long:
+            known[p] = self._stretch(p)
+        out = [np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), np.int32) for parts in cut]
+        for p in long:
+            del known[p]
+        if len(known) > CACHE:
+            known.clear()
         return out
 
     def encode(self, text: str) -> np.ndarray:
