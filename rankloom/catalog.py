@@ -94,15 +94,9 @@ def v5(spark, sf):
     return knn.batch(v, v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 5, "vec_id", "embedding", "query_id", "query", digits=DIGITS)
 
 
-@register("V10_ann_exact_regime", f"SELECT vec_id, {COS} AS dist FROM embeddings WHERE label = 0 ORDER BY dist DESC, vec_id LIMIT 10")
+@register("V10_ann_exact_regime", f"SELECT vec_id, {COS} AS dist FROM embeddings ORDER BY dist DESC, vec_id LIMIT 10")
 def v10(spark, sf):
-    """Few vectors, of one label as in its SQL: every fine cell is asked for, so the index is exact."""
-    return exact_ann(spark, sf, table(spark, sf, "embeddings").where("label = 0"))
-
-
-@register("V10_ann_exact_whole", f"SELECT vec_id, {COS} AS dist FROM embeddings ORDER BY dist DESC, vec_id LIMIT 10")
-def v10_whole(spark, sf):
-    """The same over all vectors."""
+    """Every fine cell is asked for, so the index is exact."""
     return exact_ann(spark, sf, table(spark, sf, "embeddings"))
 
 
@@ -129,6 +123,14 @@ def v12(spark, sf):
     return ann(spark, sf, 10, rerank=True)
 
 
+@register("V12_ann_all_cells", f"SELECT vec_id, {COS} AS dist FROM embeddings ORDER BY dist DESC, vec_id LIMIT 80")
+def v12_all(spark, sf):
+    """The pool of an exact probe, scored again by the rows themselves."""
+    v = table(spark, sf, "embeddings")
+    index = ivf.built(v, "vec_id", "embedding")
+    return ivf.searched(index, vector_of(spark, sf), ivf.pool_size(10), "vec_id", "embedding", rerank=v, digits=DIGITS, cells=len(index.fine))
+
+
 @register("V15_ann_delta")
 def v15(spark, sf):
     """Members after vectors of one label were deleted and those of another written again."""
@@ -137,10 +139,14 @@ def v15(spark, sf):
     return ivf.maintained(index, v.where("label = 2"), v.where("label = 1"), "vec_id", "embedding").members.select("vec_id", "fine_id")
 
 
-@register("V3_half_precision_scores")
+#: Half precision: ten bits after the leading one, ties to even; subnormal below 2 to the -14.
+HALF = "[(round_even(x / pow(2, greatest(-24, floor(log2(greatest(abs(x), 1e-30))) - 10)), 0) * pow(2, greatest(-24, floor(log2(greatest(abs(x), 1e-30))) - 10)))::DOUBLE FOR x IN embedding::DOUBLE[]]"
+
+
+@register("V3_half_precision_scores", f"SELECT vec_id, round(list_cosine_similarity({HALF}, {Q0}), 6) + 0.0 AS dist FROM embeddings")
 def v3(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", vectors.half(F.col("embedding")).alias("embedding"))
-    return v.select("vec_id", F.round(vectors.cosine(F.col("embedding"), vector_of(spark, sf)), 3).alias("dist"))
+    return v.select("vec_id", (F.round(vectors.cosine(F.col("embedding"), vector_of(spark, sf)), DIGITS) + 0.0).alias("dist"))
 
 
 @register("V19_two_vector_fields", f"""
@@ -243,10 +249,16 @@ def t2(spark, sf):
 
 @register("T3_stemmed_terms")
 def t3(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.explode(texts.tokens(F.col("text"), stem=True)).alias("term"))
+    d = table(spark, sf, "documents").select("doc_id", F.explode(texts.tokens(F.col("text"), stem=True)).alias("term"))
     return d.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
 
 
+@register("T3_stem_counts", f"SELECT doc_id, len({TERMS}) AS n FROM documents")
+def t3_counts(spark, sf):
+    """Stems are as many as the terms they come from."""
+    return table(spark, sf, "documents").select("doc_id", F.size(texts.tokens(F.col("text"), stem=True)).cast("long").alias("n"))
+
+
 @register("T4_postings", f"SELECT term, doc_id AS id, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY ALL")
 def t4(spark, sf):
     return bm25.postings(table(spark, sf, "documents"), "doc_id", F.col("text"))[0]
@@ -423,9 +435,10 @@ def h8(spark, sf):
     return ranked(spark, sf, {"rank_by": ["BM25", "text", ASK], "top_k": 1200})
 
 
-@register("H9_missing_vectors", hybrid_sql("nb + nv", SUM_KEEP, "d.doc_id >= 400", limit=50))
+@register("H9_missing_vectors", hybrid_sql("nb + nv", SUM_KEEP, limit=1000))
 def h9(spark, sf):
-    return ranked(spark, sf, {"rank_by": ["Sum", *sides(spark, sf)], "filters": ["doc_id", "Gte", 400], "top_k": 50}, hybrid(spark, sf), stats=table(spark, sf, "documents"))
+    """So many rows that documents without a vector are among them."""
+    return ranked(spark, sf, {"rank_by": ["Sum", *sides(spark, sf)], "top_k": 1000}, hybrid(spark, sf), stats=table(spark, sf, "documents"))
 
 
 @register("H10_pool_candidates")
@@ -452,6 +465,19 @@ def p3(spark, sf):
     return plans.compiled(table(spark, sf, "embeddings"), query, plans.Settings(id_col="vec_id"))
 
 
+@register("P3_base64_decoded", f"SELECT vec_id, {COS} AS dist, embedding, label FROM embeddings ORDER BY dist DESC, vec_id LIMIT 10")
+def p3_decoded(spark, sf):
+    return p3(spark, sf).select("vec_id", F.round("dist", DIGITS).alias("dist"), vectors.decoded(F.col("embedding")).alias("embedding"), "label")
+
+
+@register("P1_attributes_called_as_ours", f"SELECT vec_id, {COS} AS dist, label AS attr_dist, label + 1 AS dist_km, label + 2 AS _raw_0 FROM embeddings ORDER BY dist DESC, label DESC, vec_id LIMIT 10")
+def p1_names(spark, sf):
+    """An attribute called dist comes as attr_dist; others keep their names, whatever these are."""
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").alias("dist"), (F.col("label") + 1).alias("dist_km"), (F.col("label") + 2).alias("_raw_0"))
+    query = parse_query({"rank_by": ["vector", "ANN", "embedding", vector_of(spark, sf)], "order_by": ["dist", "desc"]})
+    return plans.compiled(v, query, plans.Settings(id_col="vec_id")).withColumn("dist", F.round("dist", DIGITS))
+
+
 # ---- sources and sinks ----
 
 
@@ -462,33 +488,16 @@ def s2(spark, sf):
     return expanded(packed.select("id", "label"))
 
 
-@register("S7_export_page", "SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 250")
+@register("S7_export_page", "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 250")
 def s7(spark, sf):
-    return page_rows(table(spark, sf, "documents").drop("text"), 100, 250, "doc_id")
-
-
-@register("S8_ndjson", """SELECT '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}' AS line FROM conversations""")
-def s8(spark, sf):
-    return ndjson(table(spark, sf, "conversations").select("conv_id", "turn", "role"))
-
-
-@register("S7_export_whole", "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE doc_id > 100 ORDER BY doc_id LIMIT 250")
-def s7_whole(spark, sf):
-    """The page with the texts."""
     return page_rows(table(spark, sf, "documents"), 100, 250, "doc_id")
 
 
-@register("S8_ndjson_whole", """SELECT '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"' || coalesce(',"text":' || to_json(text)::VARCHAR, '') || '}' AS line FROM conversations""")
-def s8_whole(spark, sf):
-    """All columns, the texts among them."""
+@register("S8_ndjson", """SELECT '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"' || coalesce(',"text":' || to_json(text)::VARCHAR, '') || '}' AS line FROM conversations""")
+def s8(spark, sf):
     return ndjson(table(spark, sf, "conversations"))
 
 
-@register("S12_row_counts", "SELECT count(*) AS approx_row_count, max(seq) AS commit_seq FROM (SELECT event_id // 100 + 1 AS seq FROM events)")
-def s12(spark, sf):
-    return change_log(spark, sf).agg(F.count("*").alias("approx_row_count"), F.max("seq").alias("commit_seq"))
-
-
 @register("S5_checked_batches", "SELECT event_id // 100 + 1 AS seq, count(*) AS n FROM events GROUP BY 1 HAVING seq <> 3")
 def s5(spark, sf):
     """Batch 3 has a wrong checksum and is skipped."""
@@ -556,6 +565,40 @@ def s3(spark, sf):
     return users(stored(spark, sf).documents())
 
 
+@register("S12_row_counts", state_sql(select="count(*) AS approx_row_count, (SELECT max(seq) FROM log) AS commit_seq, (SELECT max(seq) FROM log) AS index_lag, 'catching_up' AS status"))
+def s12(spark, sf):
+    """Metadata of a namespace that no index follows yet."""
+    m = stored(spark, sf).metadata()
+    return spark.createDataFrame([(m["approx_row_count"], m["commit_seq"], m["index_lag"], m["status"])], "approx_row_count long, commit_seq long, index_lag long, status string")
+
+
+@register("S5_corrupt_batch_skipped", "SELECT event_id // 100 + 1 AS seq, count(*) AS n FROM events GROUP BY 1 HAVING seq <> 3")
+def s5_stored(spark, sf):
+    """The stored checksum of batch 3 is another's; reads that look at them leave the batch out."""
+    ns = stored(spark, sf)
+    ns.files.delete(ns.name, "sums", "seq=3")
+    ns.files.move((ns.name, "sums", "seq=4"), (ns.name, "sums", "seq=3"))
+    kept = ns.log(corrupt="skip").where("seq <> 4")
+    return kept.unionByName(ns.log().where("seq = 4")).groupBy("seq").agg(F.count("*").alias("n"))
+
+
+@register("S3_writers_at_once", "SELECT w.range AS writer, i.range AS n FROM range(3) w, range(4) i")
+def s3_writers(spark, sf):
+    """Three writers commit four batches each at the same time."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = f"{shared_dir(spark)}/ns-{uuid.uuid4().hex}"
+
+    def run(w: int) -> None:
+        own = Catalog(spark, root).namespace("many")
+        for i in range(4):
+            own.write({"upsert_rows": [{"id": f"{w}-{i}", "writer": w, "n": i}]})
+
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(run, range(3)))
+    return Catalog(spark, root).namespace("many").view().select(F.col("writer").cast("long").alias("writer"), F.col("n").cast("long").alias("n"))
+
+
 @register("S4_log_scan", "SELECT event_id // 100 + 1 AS seq, event_id AS pos, user_id FROM events WHERE event_id // 100 + 1 BETWEEN 3 AND 7")
 def s4(spark, sf):
     return stored(spark, sf).log(2).where("seq <= 7").select("seq", "pos", F.col("id").cast("long").alias("user_id"))
@@ -591,10 +634,10 @@ def l6(spark, sf):
     return users(index.table()).select("user_id", "value", "k")
 
 
-@register("W10_pending_writes", "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' AND n_chars >= 1000 UNION ALL SELECT doc_id, n_chars + 1 AS n_chars FROM documents WHERE lang = 'en' AND n_chars < 1000")
+@register("W10_pending_writes", "SELECT doc_id, n_chars FROM documents WHERE n_chars >= 1000 UNION ALL SELECT doc_id, n_chars + 1 AS n_chars FROM documents WHERE n_chars < 1000")
 def w10(spark, sf):
     """Conditions are judged by the state that earlier writes of the same flush left."""
-    docs = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", "n_chars")
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
     up = docs.where("n_chars < 1000").select("doc_id", (F.col("n_chars") + 1).alias("n_chars"))
     state = docs.join(up, "doc_id", "left_anti").unionByName(up)
     late = up.select("doc_id", (F.col("n_chars") - 1).alias("n_chars"))
@@ -772,9 +815,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist DESC, vec
 SELECT query_id, vec_id, dist, rank::INT AS rank FROM r WHERE rank <= 10""")
 def e1(spark, sf):
     v = table(spark, sf, "embeddings")
-    ids = [r[0] for r in v.select("vec_id").orderBy("vec_id").collect()]
-    picked = [ids[i] for i in ivf.recall_sample(len(ids), 25, "embeddings")]
-    asked = v.where(F.col("vec_id").isin(picked)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = ivf.at_places(v, "vec_id", ivf.recall_sample(v.count(), 25, "embeddings")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return knn.batch(v, asked, 10, "vec_id", "embedding", "query_id", "query", digits=DIGITS)
 
 
@@ -792,17 +833,11 @@ def e3(spark, sf):
     return d.agg(F.count(F.when(hit, 1)).alias("candidates"), F.count("*").alias("exhaustive"), F.round(F.count(F.when(hit, 1)) / F.count("*"), DIGITS).alias("ratio"))
 
 
-@register("E4_billing", "SELECT count(*) AS docs, greatest(1, sum(strlen(doc_id::VARCHAR) + strlen(lang) + 2 + strlen(source) + 2 + strlen(n_chars::VARCHAR)) // count(*))::BIGINT AS avg_doc_bytes, greatest(1, sum(strlen(doc_id::VARCHAR) + strlen(lang) + 2 + strlen(source) + 2 + strlen(n_chars::VARCHAR)) // count(*))::BIGINT * 64 AS queried_bytes FROM documents")
-def e4(spark, sf):
-    return measures.billed(table(spark, sf, "documents").drop("text"), 64, "doc_id")
-
-
 WHOLE_BYTES = "greatest(1, sum(strlen(doc_id::VARCHAR) + coalesce(strlen(to_json(text)::VARCHAR), 0) + strlen(lang) + 2 + strlen(source) + 2 + strlen(n_chars::VARCHAR)) // count(*))::BIGINT"
 
 
-@register("E4_billing_whole", f"SELECT count(*) AS docs, {WHOLE_BYTES} AS avg_doc_bytes, {WHOLE_BYTES} * 64 AS queried_bytes FROM documents")
-def e4_whole(spark, sf):
-    """Whole documents, the texts among them."""
+@register("E4_billing", f"SELECT count(*) AS docs, {WHOLE_BYTES} AS avg_doc_bytes, {WHOLE_BYTES} * 64 AS queried_bytes FROM documents")
+def e4(spark, sf):
     return measures.billed(table(spark, sf, "documents"), 64, "doc_id")
 
 
@@ -816,12 +851,143 @@ def e6(spark, sf):
 
 @register("E7_synth_corpus", """
 SELECT 'doc-' || i AS id, 'cat-' || (i % 8) AS category, (i % 100)::INT AS priority, 'stressterm document number ' || i AS text,
-       round(list_sum([sin((i * 128 + d) * 0.001) for d in range(128)]), 6) AS total FROM range(2000) t(i)""")
+       round(list_sum([sin((i * 128 + d) * 0.001) for d in range(128)]), 6) AS total FROM range((SELECT count(*) FROM documents)) t(i)""")
 def e7(spark, sf):
+    """As many rows as there are documents."""
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
-    return measures.synthetic(spark, 2000).select("id", "category", "priority", "text", F.round(total, DIGITS).alias("total"))
+    n = table(spark, sf, "documents").count()
+    return measures.synthetic(spark, n).select("id", "category", "priority", "text", F.round(total, DIGITS).alias("total"))
+
+
+SHIFTED = "xor({0}, ({0} & 2251799813685247::UBIGINT) << 13)"
+STEP = f"xor(xor({SHIFTED.format('x')}, {SHIFTED.format('x')} >> 7), (xor({SHIFTED.format('x')}, {SHIFTED.format('x')} >> 7) & 140737488355327::UBIGINT) << 17)"
 
 
-@register("E8_scrambled_corpus")
+@register("E8_scrambled_corpus", f"""
+WITH RECURSIVE r AS (SELECT i, 0 AS d, xor(42::UBIGINT, ((i::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) | 1::UBIGINT AS x FROM range((SELECT count(*) FROM documents)) t(i)
+  UNION ALL SELECT i, d + 1, {STEP} FROM r WHERE d < 128)
+SELECT 'doc-' || i AS id, list(x::DOUBLE / 9223372036854775808.0 - 1 ORDER BY d) AS embedding FROM r WHERE d > 0 GROUP BY i""")
 def e8(spark, sf):
-    return measures.scrambled(spark, 2000)
+    return measures.scrambled(spark, table(spark, sf, "documents").count())
+
+
+# ---- queries through an index ----
+
+_indexes: dict[tuple[str, str], Namespace] = {}
+
+
+def indexed(spark: SparkSession, sf: str) -> Namespace:
+    """A namespace of the documents with their vectors and its index, made once a session, as a service has it made before."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _indexes:
+        d = hybrid(spark, sf).withColumn("second", F.reverse("embedding"))
+        text = lambda c: F.expr(f"substring(to_json(struct({c} as v)), 6, length(to_json(struct({c} as v))) - 6)")
+        names = ("text", "lang", "source", "n_chars", "embedding", "second")
+        attrs = F.map_filter(F.create_map(*[x for c in names for x in (F.lit(c), F.when(F.col(c).isNotNull(), text(c)))]), lambda _, v: v.isNotNull())
+        ns = Catalog(spark, f"{shared_dir(spark)}/ns-{uuid.uuid4().hex}").namespace("documents")
+        ns.write({"schema": {"text": {"type": "string", "full_text_search": True}, "lang": "string", "source": "string", "n_chars": "int", "embedding": "[64]f32", "second": "[64]f32"}, "upsert_rows": []})
+        ns.append(d.select(F.lit("upsert").alias("op"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), attrs.alias("attrs"), F.col("doc_id").alias("pos")))
+        ns.build_index()
+        _indexes[key] = ns
+    return _indexes[key]
+
+
+def found(ns: Namespace, request: dict, limit: int, tie: str | None = None, **how) -> DataFrame:
+    """The best rows of a query by rounded score: more are asked for, so that no last bit decides."""
+    extra = [tie] if tie else []
+    rows = ns.query(request | {"top_k": 1200, "include_attributes": extra}, **how)
+    rows = rows.select(F.col("id").cast("long").alias("doc_id"), (F.round("dist", DIGITS) + 0.0).alias("dist"), *extra)
+    return rows.orderBy(F.desc("dist"), *[F.desc(t) for t in extra], "doc_id").limit(limit)
+
+
+@register("T7_index_bm25", SQL["T7_bm25_compat"])
+def t7_index(spark, sf):
+    return found(indexed(spark, sf), {"rank_by": ["BM25", "text", ASK]}, 20)
+
+
+@register("T6_index_corpus_df", SQL["T6_bm25_corpus_df"])
+def t6_index(spark, sf):
+    return found(indexed(spark, sf), {"rank_by": ["BM25", "text", ASK]}, 20, df="corpus")
+
+
+@register("V10_index_exact", f"SELECT vec_id AS doc_id, {COS} AS dist FROM embeddings JOIN documents ON vec_id = doc_id ORDER BY dist DESC, doc_id LIMIT 10")
+def v10_index(spark, sf):
+    """All cells through the namespace's index."""
+    return found(indexed(spark, sf), {"rank_by": ["vector", "ANN", "embedding", vector_of(spark, sf)]}, 10, cells=0)
+
+
+@register("V19_index_second_field", f"SELECT vec_id AS doc_id, round(list_cosine_similarity(list_reverse(embedding::DOUBLE[]), {Q0}), 6) AS dist FROM embeddings JOIN documents ON vec_id = doc_id ORDER BY dist DESC, doc_id LIMIT 10")
+def v19_index(spark, sf):
+    return found(indexed(spark, sf), {"rank_by": ["vector", "ANN", "second", vector_of(spark, sf)]}, 10, cells=0)
+
+
+@register("V11_index_probe")
+def v11_index(spark, sf):
+    """As many cells as keep a recall of 0.9."""
+    return found(indexed(spark, sf), {"rank_by": ["vector", "ANN", "embedding", vector_of(spark, sf)]}, 10)
+
+
+@register("H3_index_sum", SQL["H3_sum"])
+def h3_index(spark, sf):
+    return found(indexed(spark, sf), {"rank_by": ["Sum", *sides(spark, sf)]}, 10, cells=0)
+
+
+@register("H3_index_filtered", SQL["H3_sum_filtered"])
+def h3_index_filtered(spark, sf):
+    request = {"rank_by": ["Sum", *sides(spark, sf)], "filters": ["And", [["lang", "In", ["en", "de"]], ["n_chars", "Gt", 300]]], "order_by": ["n_chars", "desc"]}
+    return found(indexed(spark, sf), request, 10, "n_chars", cells=0)
+
+
+@register("H5_index_nested", SQL["H5_nested"])
+def h5_index(spark, sf):
+    text, vector = sides(spark, sf)
+    return found(indexed(spark, sf), {"rank_by": ["Sum", text, ["Product", text, vector]]}, 15, cells=0)
+
+
+def changed(spark: SparkSession, sf: str) -> Namespace:
+    """Users' change log behind an index that was made at its cursor and follows no further."""
+    log = change_log(spark, sf)
+    ns = Catalog(spark, f"{shared_dir(spark)}/ns-{uuid.uuid4().hex}").namespace("users")
+    cut = cut_of(log)
+    ns.append_batches(log.where(F.col("seq") <= cut))
+    ns.build_index()
+    ns.append_batches(log.where(F.col("seq") > cut))
+    return ns
+
+
+@register("L3_index_strong", state_sql(select="user_id, value, k"))
+def l3_index(spark, sf):
+    return changed(spark, sf).view().select(F.col("id").cast("long").alias("user_id"), F.col("value").cast("double").alias("value"), F.col("k").cast("long").alias("k"))
+
+
+@register("L4_index_eventual", state_sql("last_seq <= c", select="user_id, value, k"))
+def l4_index(spark, sf):
+    return changed(spark, sf).view("eventual").select(F.col("id").cast("long").alias("user_id"), F.col("value").cast("double").alias("value"), F.col("k").cast("long").alias("k"))
+
+
+@register("W15_block_until_indexed", f"WITH {LOG} SELECT max(seq) + 1 AS commit_seq, max(seq) + 1 AS index_cursor FROM log")
+def w15(spark, sf):
+    """A write returns when the index has it."""
+    ns = changed(spark, sf)
+    ns.write({"upsert_rows": [{"id": "late", "k": 1}], "block_until_indexed": True})
+    m = ns.meta()
+    return spark.createDataFrame([(m["commit_seq"], m["index_cursor"])], "commit_seq long, index_cursor long")
+
+
+@register("W11_affected_ids", "SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'upserted' ELSE 'deleted' END AS what FROM (SELECT DISTINCT user_id FROM events)")
+def w11_ids(spark, sf):
+    ns = Catalog(spark, f"{shared_dir(spark)}/ns-{uuid.uuid4().hex}").namespace("users")
+    ids = [r[0] for r in table(spark, sf, "events").select("user_id").distinct().orderBy("user_id").limit(10_000).collect()]
+    out = ns.write({"upsert_rows": [{"id": str(i), "k": i} for i in ids if i % 2 == 0], "deletes": [str(i) for i in ids if i % 2], "return_affected_ids": True})
+    rows = [(int(i), "upserted") for i in out["upserted_ids"]] + [(int(i), "deleted") for i in out["deleted_ids"]]
+    return spark.createDataFrame(rows, "user_id long, what string")
+
+
+@register("V18_wrong_dimensions", "SELECT 'the query vector has 3 entries; field ''embedding'' has 64 dimensions' AS error")
+def v18(spark, sf):
+    try:
+        indexed(spark, sf).query({"rank_by": ["vector", "ANN", "embedding", [1.0, 0.0, 0.0]]})
+        said = "none"
+    except ValueError as e:
+        said = str(e)
+    return spark.createDataFrame([(said,)], "error string")
