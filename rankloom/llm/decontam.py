@@ -112,7 +112,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A window has as many shingle places as the item and starts at one that it shares; containment is the share of the
     item's distinct shingles in it. Items of fewer words than a shingle are one shingle. Null or wordless texts and
     items, null ids and empty tables give no rows; a repeated item_id is an item for each of its texts, a doc_id on
-    several rows gives the rows of each, and equal rows come once.
+    several rows gives the rows of each, and equal rows come once. Very long texts are searched whole; of windows that tie
+    the first counts.
     """
     spark = docs.sparkSession
     texts = id_text(docs, id_col, text_col).where("id is not null and text is not null")

@@ -101,11 +101,12 @@ def sharded(docs: DataFrame, group: list, shards: int, id_col: str = "doc_id", t
     """(doc_id, group_key, shard): rows of one group share a shard, and shards hold about equally many bytes of text.
 
     group: columns or expressions whose values together name the group; nulls are a value like any other. Null texts
-    have no bytes; null ids and repeated rows are rows like others. An empty table gives no rows.
+    have no bytes; null ids and repeated rows are rows like others, a very long text is as heavy as it is. Groups of equal
+    bytes go in the order of their keys, partitions of equal spread in the order they arose. An empty table gives no rows.
     """
     spark = docs.sparkSession
     key = F.sha2(F.to_json(F.struct(*[F.expr(g).alias(f"g{i}") if isinstance(g, str) else g.alias(f"g{i}") for i, g in enumerate(group)]), {"ignoreNullFields": "false"}), 256)
-    rows = cut(docs.select(key.alias("group_key"), docs[id_col].cast("long").alias("doc_id"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long").alias("bytes")))
+    rows = cut(docs.select(key.alias("group_key"), docs[id_col].try_cast("long").alias("doc_id"), F.coalesce(F.octet_length(docs[text_col]), F.lit(0)).cast("long").alias("bytes")))
     groups = cut(rows.groupBy("group_key").agg(F.sum("bytes").alias("bytes")).withColumnRenamed("group_key", "node"))
     n = groups.count()
     if not n:

@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, kept_doc_id): each document that is a copy, and the least id of its group, which stays.
 
     Groups are the connected components of the matches. Null or wordless texts and null ids are in no group; an id on
-    several rows is one document, in the groups of all its rows, and never its own copy. An empty table gives no rows.
+    several rows is one document, in the groups of all its rows, and never its own copy. Very long texts are read whole;
+    equal fingerprints tie at distance 0 and are one class, searched once. An empty table gives no rows.
     """
     spark = docs.sparkSession
     marks = cut(fingerprints(docs, id_col, text_col))
@@ -267,7 +268,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.DataFrame({"src": a, "dst": b})
 
     blobs = map_arrow(reps, route, "g long, indexed boolean, rows binary")
-    edges = blobs.groupBy("g").applyInPandas(search, "src long, dst long")
+    # an explicit number of partitions: sizes in bytes would bring reducers of much work together
+    reducers = min(4000, 2 * max(1, len(spans)) << p)
+    edges = blobs.repartition(reducers, "g").groupBy("g").applyInPandas(search, "src long, dst long")
     # the same id under several fingerprints joins their groups
     twice = marks.join(reps, ["fp", "fp2"]).select(F.col("id").alias("src"), F.col("rep").alias("dst"))
     roots = components(edges.union(twice))
