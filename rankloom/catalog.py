@@ -22,7 +22,7 @@ from .plans.predicates import Scope, condition, truth
 from .plans.spec import parse_filter, parse_query
 from .sources import log as logs
 from .sources.namespace import Catalog, Namespace, expanded, ndjson, page_rows
-from .sources.shared import shared_dir
+from .sources.shared import shared_dir, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -230,7 +230,7 @@ ASK = "erst hathin onhe erst"
 
 
 def terms_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", texts.tokens(F.col("text")).alias("terms"))
+    return spread(docs).select("doc_id", texts.tokens(F.col("text")).alias("terms"))
 
 
 @register("T1_tokens", f"SELECT doc_id, unnest({WORDS}) AS term, count(*) AS n FROM documents GROUP BY ALL")
@@ -346,7 +346,7 @@ def t10(spark, sf):
 
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return table(spark, sf, "documents").join(e, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id")
+    return spread(table(spark, sf, "documents")).join(e, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id")
 
 
 def hybrid_sql(combine: str, keep: str, where: str = "true", cand: str = "hit OR embedding IS NOT NULL", order: str = "", limit: int = 10, extra: str = "") -> str:
@@ -384,18 +384,18 @@ def h2(spark, sf):
 
 @register("H3_sum", hybrid_sql("nb + nv", SUM_KEEP))
 def h3(spark, sf):
-    return ranked(spark, sf, {"rank_by": ["Sum", *sides(spark, sf)]}, hybrid(spark, sf), stats=table(spark, sf, "documents"))
+    return ranked(spark, sf, {"rank_by": ["Sum", *sides(spark, sf)]}, hybrid(spark, sf))
 
 
 @register("H3_sum_filtered", hybrid_sql("nb + nv", SUM_KEEP, "lang IN ('en', 'de') AND n_chars > 300", order="n_chars DESC, ", extra=", n_chars"))
 def h3_filtered(spark, sf):
     request = {"rank_by": ["Sum", *sides(spark, sf)], "filters": ["And", [["lang", "In", ["en", "de"]], ["n_chars", "Gt", 300]]], "order_by": ["n_chars", "desc"]}
-    return ranked(spark, sf, request, hybrid(spark, sf), ("n_chars",), table(spark, sf, "documents"))
+    return ranked(spark, sf, request, hybrid(spark, sf), ("n_chars",))
 
 
 @register("H4_product", hybrid_sql("nb * nv", "nb * nv > 0", cand="hit AND embedding IS NOT NULL"))
 def h4(spark, sf):
-    return ranked(spark, sf, {"rank_by": ["Product", *sides(spark, sf)]}, hybrid(spark, sf), stats=table(spark, sf, "documents"))
+    return ranked(spark, sf, {"rank_by": ["Product", *sides(spark, sf)]}, hybrid(spark, sf))
 
 
 @register("H5_nested", f"""
@@ -410,7 +410,7 @@ f AS (SELECT doc_id, nb + coalesce((pr - p0) / (p1 - p0), 0) AS s, bm, pr FROM p
 SELECT doc_id, round(s, 6) AS dist FROM f WHERE s > 0 OR bm > 0 OR pr > 0 ORDER BY dist DESC, doc_id LIMIT 15""")
 def h5(spark, sf):
     text, vector = sides(spark, sf)
-    return ranked(spark, sf, {"rank_by": ["Sum", text, ["Product", text, vector]], "top_k": 15}, hybrid(spark, sf), stats=table(spark, sf, "documents"))
+    return ranked(spark, sf, {"rank_by": ["Sum", text, ["Product", text, vector]], "top_k": 15}, hybrid(spark, sf))
 
 
 SQL["H5_nested"] = SQL["H5_nested"].replace("WHERE hit OR e.embedding IS NOT NULL", "WHERE hit")
@@ -438,12 +438,12 @@ def h8(spark, sf):
 @register("H9_missing_vectors", hybrid_sql("nb + nv", SUM_KEEP, limit=1000))
 def h9(spark, sf):
     """So many rows that documents without a vector are among them."""
-    return ranked(spark, sf, {"rank_by": ["Sum", *sides(spark, sf)], "top_k": 1000}, hybrid(spark, sf), stats=table(spark, sf, "documents"))
+    return ranked(spark, sf, {"rank_by": ["Sum", *sides(spark, sf)], "top_k": 1000}, hybrid(spark, sf))
 
 
 @register("H10_pool_candidates")
 def h10(spark, sf):
-    return ranked(spark, sf, {"rank_by": ["Sum", *sides(spark, sf)]}, hybrid(spark, sf), stats=table(spark, sf, "documents"), candidates="pool")
+    return ranked(spark, sf, {"rank_by": ["Sum", *sides(spark, sf)]}, hybrid(spark, sf), candidates="pool")
 
 
 @register("P1_projection", f"WITH {bm25_sql('one')} SELECT doc_id, round(score, 6) AS dist, lang FROM b JOIN documents USING (doc_id) WHERE hit ORDER BY dist DESC, doc_id LIMIT 10")

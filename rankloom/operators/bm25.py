@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, term_count, tokens, total
+from ..sources.shared import spread
 
 K1, B = 1.2, 0.75
 
@@ -22,10 +23,14 @@ def _weight(tf: Column, dl: Column, avgdl: float) -> Column:
 
 def statistics(docs: DataFrame, terms: Column, known: list[str] = ()) -> tuple[int, float, dict[str, int]]:
     """Documents with a term, their mean length (1 at least) and how many hold each of the known terms; one pass."""
-    held = F.filter(F.col("_terms"), lambda t: t.isin(*known)) if known else F.array().cast("array<string>")
-    rows = docs.select(terms.alias("_terms")).select(F.size("_terms").alias("_dl"), F.array_distinct(held).alias("_held"))
-    aggs = [F.sum(F.array_contains("_held", t).cast("long")).alias(f"_{i}") for i, t in enumerate(known)]
-    row = rows.agg(F.count(F.when(F.col("_dl") > 0, 1)).alias("n"), F.sum(F.when(F.col("_dl") > 0, F.col("_dl"))).alias("total"), *aggs).first()
+    rows = docs.select(terms.alias("_terms")).select(F.size("_terms").alias("_dl"), hits(F.col("_terms"), list(known)).alias("_hits"))
+    return counted(rows, F.col("_hits"), F.col("_dl"), known)
+
+
+def counted(docs: DataFrame, found: Column, dl: Column, known: list[str] = ()) -> tuple[int, float, dict[str, int]]:
+    """The same of documents whose hits of these terms and lengths are known."""
+    aggs = [F.sum(F.array_contains(found, t).cast("long")).alias(f"_{i}") for i, t in enumerate(known)]
+    row = docs.agg(F.count(F.when(dl > 0, 1)).alias("n"), F.sum(F.when(dl > 0, dl)).alias("total"), *aggs).first()
     n = row["n"] or 0
     return n, max(1.0, (row["total"] or 0) / n) if n else 1.0, {t: row[f"_{i}"] or 0 for i, t in enumerate(known)}
 
@@ -51,7 +56,7 @@ def holds_any(terms: Column, query: list[str]) -> Column:
 
 def postings(docs: DataFrame, id_col: str, text: Column, **how) -> tuple[DataFrame, DataFrame]:
     """(term, id, tf) and (id, dl); documents without a term are in neither."""
-    base = docs.select(F.col(id_col).alias("id"), tokens(text, **how).alias("terms"))
+    base = spread(docs).select(F.col(id_col).alias("id"), tokens(text, **how).alias("terms"))
     tf = base.select("id", F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
     return tf, base.select("id", F.size("terms").cast("long").alias("dl")).where("dl > 0")
 

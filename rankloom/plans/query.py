@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
-from ..functions.text import all_text, query_terms, suspect, tokens
+from ..functions.text import all_text, query_terms, tokens
 from ..operators import bm25
 from ..operators.fusion import candidate, fused
-from ..sources.shared import shared_dir
-from .predicates import Scope, condition, kind_of
+from ..sources.shared import shared_dir, spread
+from .predicates import Scope, condition, kind_of, truth
 from .spec import Fusion, Query, Text, Vector, leaves
 
 
@@ -83,19 +83,6 @@ def final_order(view: DataFrame, query: Query, id_col: str) -> list[Column]:
     return [*out, F.asc(f"`{id_col}`")]
 
 
-def may_hold(text: Column, terms: list[str], settings: Settings) -> Column:
-    """A test that every text with one of the terms passes, cheap as it cuts no words; stems are too short to be missed."""
-    if not terms:
-        return F.lit(False)
-    low = F.lower(text)
-    found = F.lit(False)
-    for t in terms:
-        found = found | low.contains(t[: max(1, len(t) - 1)] if settings.stem and t.endswith("i") else t)
-    if settings.normalise or any(not t.isascii() for t in terms):
-        found = found | suspect(text)
-    return F.coalesce(found, F.lit(False))
-
-
 def check_dimensions(view: DataFrame, query: Query, widths: dict[str, int] | None = None) -> None:
     """The query's vector fields must be vectors of the view, and as long as these where that is known."""
     for leaf in leaves(query.rank):
@@ -110,64 +97,78 @@ def check_dimensions(view: DataFrame, query: Query, widths: dict[str, int] | Non
 
 
 def scored(view: DataFrame, query: Query, settings: Settings = Settings(), stats_view: DataFrame | None = None) -> DataFrame:
-    """The filtered candidates with their final score `dist`, before order and limit; of a fusion only id and tie-break.
+    """The filtered candidates with their final score `dist`, before order and limit: all columns for one vector ranker,
+    else id and tie-break only.
 
-    stats_view: the documents whose number and mean length BM25 uses; the view's own by default. A job for each text
-    ranker finds these; a fusion is cut into narrow rows by another. While scores are made, the view's columns have a
-    prefix that no generated name has.
+    stats_view: the documents whose number and mean length BM25 uses; the view's own by default. Texts are cut into terms
+    once, by a job that leaves narrow rows: statistics, scores and normalisation read these. While scores are made, the
+    view's columns have a prefix that no generated name has.
     """
     check_dimensions(view, query)
     ident = settings.id_col
     where = None if query.filters is None else condition(Scope(view.schema, ident), query.filters)
     how = {"stop": settings.stop, "stem": settings.stem, "normalise": settings.normalise}
-    base = view if where is None else view.where(where)
-    flags, names, hints = [], [], []
-    inputs, terms_cols, hit_cols, score_cols = {}, {}, {}, {}
-    pools = []
-    for i, leaf in enumerate(leaves(query.rank)):
-        name = f"_raw_{i}"
-        names.append(name)
-        if isinstance(leaf, Text):
-            text = indexed_text(view, leaf.field, ident)
-            inputs[f"_in_{i}"] = text
-            wanted = query_terms(leaf.query, settings.stop, settings.stem)
-            known = list(dict.fromkeys(wanted))
-            n, avgdl, df = bm25.statistics(stats_view if stats_view is not None else view, tokens(text, **how), known if settings.df == "corpus" else [])
-            terms_cols[f"_terms_{i}"] = tokens(F.col(f"_in_{i}"), **how)
-            hit_cols |= {f"_hits_{i}": bm25.hits(F.col(f"_terms_{i}"), wanted), f"_dl_{i}": F.size(f"_terms_{i}")}
-            score_cols[name] = F.coalesce(bm25.score(F.col(f"_hits_{i}"), F.col(f"_dl_{i}"), wanted, n, avgdl, df if settings.df == "corpus" else None), F.lit(0.0))
-            flags.append(F.coalesce(F.size(f"_hits_{i}") > 0, F.lit(False)))
-            hints.append(may_hold(F.col(f"_in_{i}"), known, settings))
-        else:
-            column = F.col(f"`{leaf.field}`")
-            inputs[f"_in_{i}"] = column
-            flag = F.coalesce(F.size(f"_in_{i}") == len(leaf.query), F.lit(False))
-            score_cols[name] = F.when(flag, vectors.similarity(F.col(f"_in_{i}"), leaf.query, settings.metric)).otherwise(float("-inf"))
-            if settings.candidates == "pool":
-                pool = max(8 * query.top_k, 64)
-                best = view.where(F.size(column) == len(leaf.query)).select(F.col(f"`{ident}`").alias(f"_pool_id_{i}"), vectors.similarity(column, leaf.query, settings.metric).alias("_s"))
-                pools.append((i, best.orderBy(F.desc("_s"), f"_pool_id_{i}").limit(pool).select(f"_pool_id_{i}", F.lit(True).alias(f"_pool_{i}"))))
-                flag = F.coalesce(F.col(f"_pool_{i}"), F.lit(False))
-            flags.append(flag)
-            hints.append(flag)
+    order = leaves(query.rank)
+    names = [f"_raw_{i}" for i in range(len(order))]
     own = {n: f"a:{n}" for n in view.columns}
-    base = base.select(*[F.col(f"`{n}`").alias(x) for n, x in own.items()], *[c.alias(n) for n, c in inputs.items()])
     key = F.col(f"`{own[ident]}`")
+    texts = [i for i, leaf in enumerate(order) if isinstance(leaf, Text)]
+    inputs, pools, flags = {}, [], []
+    for i, leaf in enumerate(order):
+        if isinstance(leaf, Text):
+            inputs[f"_in_{i}"] = indexed_text(view, leaf.field, ident)
+            flags.append(F.col(f"_hit_{i}"))
+            continue
+        column = F.col(f"`{leaf.field}`")
+        inputs[f"_in_{i}"] = column
+        if settings.candidates == "pool":
+            best = view.where(F.size(column) == len(leaf.query)).select(F.col(f"`{ident}`").alias(f"_pool_id_{i}"), vectors.similarity(column, leaf.query, settings.metric).alias("_s"))
+            pools.append((i, best.orderBy(F.desc("_s"), f"_pool_id_{i}").limit(max(8 * query.top_k, 64)).select(f"_pool_id_{i}", F.lit(True).alias(f"_pool_{i}"))))
+            flags.append(F.coalesce(F.col(f"_pool_{i}"), F.lit(False)))
+        else:
+            flags.append(F.col(f"_fits_{i}"))
+    # without a text only what passes the filter counts; with one its documents count for the statistics
+    base = view if where is None or texts else view.where(where)
+    extra = {"_ok": truth(Scope(view.schema, ident), query.filters)} if where is not None and texts else {}
+    kept = list(own)
+    if texts or isinstance(query.rank, Fusion):
+        kept = [ident] + [query.order.field for _ in [0] if query.order and query.order.field in view.columns and query.order.field != ident]
+    base = spread(base) if texts else base
+    base = base.select(*[F.col(f"`{n}`").alias(own[n]) for n in kept], *[c.alias(n) for n, c in (inputs | extra).items()])
     for i, best in pools:
         base = base.join(F.broadcast(best), key == F.col(f"_pool_id_{i}"), "left")
-    # cheap tests first; then terms and scores once a row: the pin keeps the exact filter from moving below them
-    base = base.where(candidate(query.rank, hints)).withColumns({"_pin": F.spark_partition_id(), **terms_cols})
-    base = base.withColumns(hit_cols).drop(*terms_cols) if hit_cols else base
-    chosen = base.where(candidate(query.rank, list(flags)) & (F.col("_pin") >= 0)).withColumns(score_cols)
-    kept = list(own)
-    if isinstance(query.rank, Fusion):
-        # narrow rows, cut once: normalisation reads them again for each level
+    known = {i: list(dict.fromkeys(query_terms(order[i].query, settings.stop, settings.stem))) for i in texts}
+    made = {}
+    for i, leaf in enumerate(order):
+        if i in known:
+            made[f"_in_{i}"] = tokens(F.col(f"_in_{i}"), **how)
+        else:
+            fits = F.coalesce(F.size(f"_in_{i}") == len(leaf.query), F.lit(False))
+            made |= {f"_fits_{i}": fits, names[i]: F.when(fits, vectors.similarity(F.col(f"_in_{i}"), leaf.query, settings.metric)).otherwise(float("-inf"))}
+    base = base.withColumns(made)
+    if texts:
+        # hits are the few terms asked for; the pin has them cut once a row
+        base = base.withColumns({"_pin": F.spark_partition_id(), **{f"_hits_{i}": bm25.hits(F.col(f"_in_{i}"), known[i]) for i in texts}, **{f"_dl_{i}": F.coalesce(F.size(f"_in_{i}"), F.lit(0)) for i in texts}})
+        narrow = [*[f"`{own[n]}`" for n in kept], *extra, *[x for i in texts for x in (f"_hits_{i}", f"_dl_{i}")]]
+        narrow += [x for i in range(len(order)) if i not in known for x in (f"_fits_{i}", names[i])] + [f"_pool_{i}" for i, _ in pools]
         shared_dir(view.sparkSession)
-        kept = [ident] + [query.order.field for _ in [0] if query.order and query.order.field in view.columns and query.order.field != ident]
-        chosen = chosen.select(*[F.col(f"`{own[n]}`") for n in kept], *names).checkpoint()
-    out = fused(chosen, query.rank, names)
+        base = base.where("_pin >= 0").select(*narrow).checkpoint()
+        scores = {}
+        for i in texts:
+            terms = known[i] if settings.df == "corpus" else []
+            if stats_view is None:
+                n, avgdl, df = bm25.counted(base, F.col(f"_hits_{i}"), F.col(f"_dl_{i}"), terms)
+            else:
+                n, avgdl, df = bm25.statistics(stats_view, tokens(indexed_text(stats_view, order[i].field, ident), **how), terms)
+            wanted = query_terms(order[i].query, settings.stop, settings.stem)
+            scores |= {names[i]: F.coalesce(bm25.score(F.col(f"_hits_{i}"), F.col(f"_dl_{i}"), wanted, n, avgdl, df if settings.df == "corpus" else None), F.lit(0.0)), f"_hit_{i}": F.coalesce(F.size(f"_hits_{i}") > 0, F.lit(False))}
+        base = (base.where("_ok") if extra else base).withColumns(scores)
+    chosen = base.where(candidate(query.rank, list(flags))).select(*[F.col(f"`{own[n]}`") for n in kept], *names)
+    if isinstance(query.rank, Fusion) and not texts:
+        shared_dir(view.sparkSession)
+        chosen = chosen.checkpoint()
     called = public(view.columns, ident) | {ident: ident}
-    return out.select(*[F.col(f"`{own[n]}`").alias(called[n]) for n in kept], "dist")
+    return fused(chosen, query.rank, names).select(*[F.col(f"`{own[n]}`").alias(called[n]) for n in kept], "dist")
 
 
 def projected(view: DataFrame, query: Query, rows: DataFrame, id_col: str) -> DataFrame:
@@ -202,6 +203,6 @@ def compiled(view: DataFrame, query: Query, settings: Settings = Settings(), sta
     """The whole query: candidates, scores, order, top-k, projection. An attribute called dist comes as attr_dist."""
     rows = scored(view, query, settings, stats_view)
     top = rows.orderBy(*final_order(view, query, settings.id_col)).limit(query.top_k)
-    if isinstance(query.rank, Fusion):
+    if not isinstance(query.rank, Vector):
         top = attached(view, query, top, settings.id_col)
     return projected(view, query, top, settings.id_col)

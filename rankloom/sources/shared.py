@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,3 +20,13 @@ def shared_dir(spark: SparkSession) -> str:
         conf = tempfile.mkdtemp(prefix="rankloom-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it is read in fewer parts than there are, as from a file of one row group; a large table has
+    more parts and stays as it is. Not for what depends on the order of rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    run = df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString():
+        return df
+    return df if run.toRdd().getNumPartitions() >= cores else df.repartition(cores)
