@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import shared_dir, spread
 
 WORDS = re.compile(r"\w+")
 #: Entries after which a word cache is emptied; it bounds memory and never changes a result.
@@ -73,10 +73,11 @@ class RollingHash:
             return mixed((total[self.width :] - total[: n - self.width + 1]) * self._up[self.width - 1 : n])
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ordered: bool = False) -> DataFrame:
     """Only the two columns that an operator needs, under fixed names; whatever else the table has can't clash. An id that
-    is no integer counts as null."""
-    return docs.select(docs[id_col].try_cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    is no integer counts as null. ordered: the rows' order matters, so they aren't spread over idle cores."""
+    rows = docs.select(docs[id_col].try_cast("long").alias("id"), docs[text_col].cast("string").alias("text"))
+    return rows if ordered else spread(rows)
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:

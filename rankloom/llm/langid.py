@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
 from .common import WORDS, cut, id_text, map_arrow, slices
 
 ORDERS = (5, 4, 3, 2, 1)
@@ -84,7 +85,7 @@ class Model:
 
 def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> Model:
     """Model of the labelled rows; those with a null language, id or text are left out. Without any it knows no language."""
-    rows = docs.select(docs[id_col].try_cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("id is not null and lang is not null")
+    rows = spread(docs.select(docs[id_col].try_cast("long").alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).where("id is not null and lang is not null"))
     sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("rows")))
     some = rows.join(F.broadcast(sizes) if sizes.count() <= SENT_LANGS else sizes, "lang").where((F.col("rows") <= max_train) | (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.floor(F.lit(max_train) / F.col("rows") * (1 << 30))))
     some = some.where("text is not null").select("id", "text", "lang")

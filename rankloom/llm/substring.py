@@ -151,7 +151,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     merge. Null or shorter texts and null ids have no windows; a doc_id on several rows gives the intervals of each,
     equal ones once; very long texts are hashed whole. An empty table gives no rows. Input that isn't read in the same order twice is to be written first.
     """
-    base = id_text(docs, id_col, text_col).where("id is not null and text is not null")
+    base = id_text(docs, id_col, text_col, ordered=True).where("id is not null and text is not null")
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
     groups = max(1, -(-chars // (CHARS * PER_GROUP)))
     sent = map_arrow(base, _hashed(groups, width), "g int, batch long, hashes binary, places binary, more binary")

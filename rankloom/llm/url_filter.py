@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
 from .common import cut
 from .components import components
 
@@ -65,13 +66,14 @@ def resolved(base: Column, target: Column) -> Column:
 
 def edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", tracking: tuple[str, ...] = TRACKING) -> DataFrame:
     """(src, dst): each address with its plain form, and with the plain forms of all canonical and refresh targets in its page."""
-    html, url = pages[html_col].cast("string"), pages[url_col].cast("string")
+    rows = spread(pages.select(pages[url_col].cast("string").alias("src"), pages[html_col].cast("string").alias("html")).where("src is not null"))
+    html = F.col("html")
 
     def targets(tag: str, mark: str, part: str) -> Column:
         tags = F.filter(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: t.rlike(mark) & t.rlike(part))
         return F.coalesce(F.transform(tags, lambda t: F.regexp_extract(t, part, 1)), F.array().cast("array<string>"))
 
-    named = pages.select(url.alias("src"), F.concat(targets(LINK, CANONICAL, HREF), targets(REFRESH, IS_REFRESH, TARGET)).alias("found")).where("src is not null")
+    named = rows.select("src", F.concat(targets(LINK, CANONICAL, HREF), targets(REFRESH, IS_REFRESH, TARGET)).alias("found"))
     full = F.concat(F.array("src"), F.transform("found", lambda t: resolved(F.col("src"), t)))
     return named.select("src", F.explode(F.array_distinct(full)).alias("at")).select("src", plain(F.col("at"), tracking).alias("dst")).where("dst is not null").distinct()
 

@@ -333,6 +333,24 @@ def test_stages_match_their_rules(spark, tmp_path, make, prose):
     assert out.columns == ["doc_id", "ids", "decoded"] and sorted((r["doc_id"] for r in out.collect()), key=str) == ids[4]
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path, make, prose):
+    """Repeated rows, very long and empty texts, null ids, columns that are called as the stages' own."""
+    long = prose(400, 60_000)
+    docs = [(i, prose(i, 80)) for i in range(40)] + [(3, prose(3, 80)), (3, prose(3, 80)), (50, long), (51, long + " end"), (52, ""), (None, prose(77, 50)), (53, prose(1, 80))]
+    docs += [(300 + i, f"{prose(300 + i, 40)} scum") for i in range(30)]
+    table = make(docs).withColumnsRenamed({"g": "_gone", "cell": "r", "fp": "i"})
+    spark.createDataFrame([(1, prose(900, 20))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(i, 1, 1) for i in range(300, 330)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now, ids = table, []
+    for _, stage in corpus_pipeline.STAGES:
+        now = cut(stage(spark, now, str(tmp_path)))
+        ids.append(sorted((r["doc_id"] for r in now.select("doc_id").collect()), key=str))
+        assert now.columns == table.columns or now.columns == ["doc_id", "ids", "decoded"]
+    assert ids[0] == sorted([*range(40), 3, 3, 50, 51, None, 53], key=str)
+    assert ids[1] == ids[4] == sorted([*range(40), 3, 3, 50, None], key=str)
+    assert now.where("doc_id = 50").first()["decoded"] == long
+
+
 def test_pipeline_of_nothing(spark, tmp_path, make):
     make([]).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
