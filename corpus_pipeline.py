@@ -3,7 +3,8 @@
 Each stage function takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet into the
 shared folder and reads it back as the next one's docs. All stages but the last return the columns of documents.
 Null ids and texts never crash a stage: the classifier rejects rows without a word; the later ones keep what they
-can't judge. An empty table stays empty.
+can't judge. Repeated rows stay or go together, very long texts count whole, of copies the least id stays, columns beside
+those of documents pass through whatever they are called. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs without the ids; rows whose own id is null stay."""
     gone = cut(ids.select(F.col("doc_id").alias("_gone")).distinct())
     few = gone.count() <= SENT_IDS
-    return docs.join(F.broadcast(gone) if few else gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = F.broadcast(gone) if few else gone.hint("merge")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
