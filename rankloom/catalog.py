@@ -965,6 +965,18 @@ def l4_index(spark, sf):
     return changed(spark, sf).view("eventual").select(F.col("id").cast("long").alias("user_id"), F.col("value").cast("double").alias("value"), F.col("k").cast("long").alias("k"))
 
 
+@register("L6_stream_segments", state_sql(select="user_id, value, k"))
+def l6_segments(spark, sf):
+    """The search index after it followed the rest of the log as a stream, some batches at a time."""
+    from .streaming.indexing import follow_search
+
+    ns = changed(spark, sf)
+    follow_search(ns, ns._path("stream"), files_per_trigger=max(1, ns.meta()["commit_seq"] // 2)).awaitTermination()
+    index = ns.index()
+    docs = index.view(index.types(None), None, None)
+    return docs.select(F.col("id").cast("long").alias("user_id"), F.col("value").cast("double").alias("value"), F.col("k").cast("long").alias("k"))
+
+
 @register("W15_block_until_indexed", f"WITH {LOG} SELECT max(seq) + 1 AS commit_seq, max(seq) + 1 AS index_cursor FROM log")
 def w15(spark, sf):
     """A write returns when the index has it."""

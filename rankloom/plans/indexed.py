@@ -44,10 +44,9 @@ def text_scores(index: SearchIndex, leaf: Text, tail: DataFrame | None, fresh: D
         words = cut.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).where(F.col("term").isin(known))
         parts.append(words.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl"))
     hits = reduce(lambda a, b: a.unionByName(b), parts)
-    spark = index.spark
     df = {r[0]: r[1] for r in hits.groupBy("term").count().collect()} if settings.df == "corpus" else {}
-    weights = [(t, asked.count(t) * bm25.idf(max(1, n), df.get(t, 0) if settings.df == "corpus" else 1)) for t in known]
-    weighed = hits.join(F.broadcast(spark.createDataFrame(weights, "term string, w double")), "term")
+    weights = {t: asked.count(t) * bm25.idf(max(1, n), df.get(t, 0) if settings.df == "corpus" else 1) for t in known}
+    weighed = hits.withColumn("w", F.element_at(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]), F.col("term")) if weights else F.lit(0.0))
     part = F.col("w") * F.col("tf") * (bm25.K1 + 1) / (F.col("tf") + bm25.K1 * (1 - bm25.B + bm25.B * F.col("dl") / F.lit(float(avgdl))))
     return weighed.groupBy("id").agg(F.sum(part).alias("s"))
 

@@ -23,6 +23,7 @@ from ..functions.text import tokens
 from ..operators import ivf
 from . import log as logs
 from . import schema as schemas
+from .shared import spread
 
 if TYPE_CHECKING:
     from .namespace import Namespace
@@ -113,15 +114,16 @@ class SearchIndex:
             touched.write.parquet(path("touched"))
             gone = self._read(name, "touched").count()
         if texts:
-            cut = [typed.select("id", F.lit(f).alias("field"), tokens(F.col(f"`c_{f}`").cast("string")).alias("terms")) for f in texts]
+            wide = spread(typed)
+            cut = [wide.select("id", F.lit(f).alias("field"), tokens(F.col(f"`c_{f}`").cast("string")).alias("terms")) for f in texts]
             _union(cut).select("id", "field", F.size("terms").alias("dl"), "terms").where("dl > 0").write.parquet(path("terms"))
             terms = self._read(name, "terms")
             self._count(terms, touched)
             if not m["buckets"]:
                 m["buckets"] = int(min(4096, max(8, ceil(sum(t for _, t in m["totals"].values()) / BUCKET_TOKENS))))
             words = terms.select("field", "id", "dl", F.explode("terms").alias("term")).select("*", bucket(F.col("term"), m["buckets"]).alias("b"), F.pmod(F.xxhash64("id"), F.lit(SALT)).alias("part"))
-            spread = words.repartition("field", "b", "part").groupBy("field", "b", "part", "term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-            spread.drop("part").sortWithinPartitions("field", "b", "term", "id").write.partitionBy("field", "b").parquet(path("postings"))
+            counts = words.repartition("field", "b", "part").groupBy("field", "b", "part", "term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+            counts.drop("part").sortWithinPartitions("field", "b", "term", "id").write.partitionBy("field", "b").parquet(path("postings"))
         for field in m["vectors"]:
             if f"c_{field}" in typed.columns:
                 vectors = typed.select("id", F.col(f"`c_{field}`").alias("v"))
@@ -282,8 +284,8 @@ class SearchIndex:
 
     def postings(self, field: str, terms: list[str], tail: DataFrame | None) -> DataFrame | None:
         """(term, id, tf, dl) of some terms: only their buckets are read."""
-        b = sorted({r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(bucket(F.col("t"), self.manifest["buckets"])).collect()}) if terms else []
-        pick = lambda d: d.where((F.col("field") == field) & F.col("b").isin(b) & F.col("term").isin(terms)).select("term", "id", "tf", "dl")
+        own = [bucket(F.lit(t), self.manifest["buckets"]) for t in terms]
+        pick = lambda d: d.where((F.col("field") == field) & (F.col("b").isin(*own) if own else F.lit(False)) & F.col("term").isin(terms)).select("term", "id", "tf", "dl")
         return self._table("postings", tail, "texts", field, pick)
 
     def statistics(self, field: str, tail: DataFrame | None, fresh_terms: DataFrame | None) -> tuple[int, int]:

@@ -37,6 +37,12 @@ def follow(namespace: Namespace, checkpoint: str, apply: Callable[[DataFrame, in
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def follow_search(namespace: Namespace, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
+    """Keep the namespace's search index up with its log: each micro-batch becomes a segment of postings and cluster
+    members. A batch that is run again finds itself indexed already."""
+    return follow(namespace, checkpoint, lambda delta, upto: namespace.advance_index(upto), files_per_trigger)
+
+
 class TableIndex:
     """A table keyed by id that follows a namespace: rows of touched ids are replaced from the documents at that point.
 
