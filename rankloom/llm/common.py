@@ -20,7 +20,7 @@ from ..sources.shared import shared_dir, spread
 
 WORDS = re.compile(r"\w+")
 #: Entries after which a word cache is emptied; it bounds memory and never changes a result.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 
 class WordHash(dict):

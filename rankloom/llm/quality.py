@@ -40,7 +40,7 @@ class Features(dict):
         self.only = only
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 150_000:
+        if len(self) > 80_000:
             self.clear()
         names = [word, *(f"{word[:n]} *" for n in PREFIXES if n < len(word))]
         own = [xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) % BUCKETS for x in names]

@@ -31,7 +31,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 #: Stretches, neighbours and arcs that are remembered, each, the longest stretch that is, and how many are composed at once.
-CACHE, CACHE_CHARS, TOGETHER = 350_000, 48, 16_000
+CACHE, CACHE_CHARS, TOGETHER = 200_000, 48, 16_000
 #: Characters that decide the arcs at a place, unless a longer piece may start there.
 AHEAD = 7
 
