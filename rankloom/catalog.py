@@ -879,14 +879,14 @@ _indexes: dict[tuple[str, str], Namespace] = {}
 def indexed(spark: SparkSession, sf: str) -> Namespace:
     """A namespace of the documents with their vectors and its index, made once a session, as a service has it made before."""
     key = spark.sparkContext.applicationId, sf
-    if key not in _indexes:
+    if key not in _indexes or not _indexes[key].files.exists("documents", "meta"):
         d = hybrid(spark, sf).withColumn("second", F.reverse("embedding"))
         text = lambda c: F.expr(f"substring(to_json(struct({c} as v)), 6, length(to_json(struct({c} as v))) - 6)")
         names = ("text", "lang", "source", "n_chars", "embedding", "second")
         attrs = F.map_filter(F.create_map(*[x for c in names for x in (F.lit(c), F.when(F.col(c).isNotNull(), text(c)))]), lambda _, v: v.isNotNull())
         ns = Catalog(spark, f"{shared_dir(spark)}/ns-{uuid.uuid4().hex}").namespace("documents")
         ns.write({"schema": {"text": {"type": "string", "full_text_search": True}, "lang": "string", "source": "string", "n_chars": "int", "embedding": "[64]f32", "second": "[64]f32"}, "upsert_rows": []})
-        ns.append(d.select(F.lit("upsert").alias("op"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), attrs.alias("attrs"), F.col("doc_id").alias("pos")))
+        ns.append(d.select(F.lit("upsert").alias("op"), F.lpad(F.col("doc_id").cast("string"), 19, "0").alias("id"), attrs.alias("attrs"), F.col("doc_id").alias("pos")))
         ns.build_index()
         _indexes[key] = ns
     return _indexes[key]

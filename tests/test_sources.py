@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rankloom.operators import bm25
 from rankloom.sources import log as logs
 from rankloom.sources.namespace import Catalog, expanded, export_page
+from rankloom.sources.shared import spread
 from rankloom.streaming.indexing import TableIndex, follow
 
 ROWS = [
@@ -61,6 +62,13 @@ def test_checksums(log):
         logs.verified(log, wrong).collect()
 
 
+def test_small_inputs_are_spread(spark):
+    few, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=9)
+    assert spread(few).rdd.getNumPartitions() == 4 and spread(many).rdd.getNumPartitions() == 9
+    joined = few.join(many, "id")
+    assert spread(joined) is joined and spread(few).count() == 100
+
+
 def test_postings_delta(spark):
     docs = spark.createDataFrame([("a", "red red fish"), ("b", "blue fish"), ("c", "the of")], "id string, t string")
     old = bm25.postings(docs, "id", F.col("t"))
