@@ -7,7 +7,9 @@ Search: bits are reordered so that correlated ones share a partition. Thresholds
 out no pair within tau; dynamic programming picks those of the least estimated probes and candidates, and the number
 of partitions m as well. The estimates come from a bounded sample; they decide the cost, never the result. A
 fingerprint goes to the reducers (i, prefix) whose key prefix lies within e_i of its own; there keys within the
-remaining radius are probed and candidates verified on all bits. Reducers pass on spanning stars, not all pairs.
+remaining radius are probed and candidates verified on all bits. Reducers pass on spanning stars, not all pairs. Where many
+rows share a key, some of them are compared with all rows first: what they match is known to be one group, and no pair
+inside it is looked at again, so that a hot group costs its size rather than its square.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ SAMPLE = 2000
 PER_REDUCER = 32_768
 #: Bits by which the reducers of a partition are told apart at most; each costs copies of the probes.
 MOST_PREFIX = 14
+#: Rows of one key from which on a reducer groups by pivots first, these a round, and the rounds; they decide the cost,
+#: never the result.
+HOT, PIVOTS, ROUNDS = 64, 16, 2
 
 
 def _signs(hashes: list[np.ndarray]) -> np.ndarray:
@@ -173,20 +178,78 @@ def rotated(rows: np.ndarray, end: int) -> np.ndarray:
     return np.concatenate([((x << turn) | (x >> (np.uint64(BITS - 1) - turn) >> np.uint64(1)))[:, None], rows[:, 1:]], axis=1)
 
 
+def hot_groups(index: np.ndarray, probe: np.ndarray, key: np.ndarray, tau: int, tau_both: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """For index and probe rows a group or -1, and verified pairs of ids that join all rows of one group.
+
+    key: those of the index rows, ascending. Pivots are taken in even steps from the rows of keys that HOT rows share.
+    """
+    rows = np.concatenate([index, probe])
+    n, hits, pivots = len(index), np.zeros((len(rows), 0), bool), np.empty(0, np.int64)
+    for _ in range(ROUNDS):
+        left = np.flatnonzero(~hits[:n].any(axis=1))
+        _, at, count = np.unique(key[left], return_inverse=True, return_counts=True)
+        hot = left[count[at] >= HOT]
+        if not len(hot):
+            break
+        more = np.unique(hot[np.linspace(0, len(hot) - 1, PIVOTS).astype(np.int64)])
+        found = np.zeros((len(rows), len(more)), bool)
+        for j, p in enumerate(more.tolist()):
+            bits = np.bitwise_count(rows[:, 0] ^ rows[p, 0])
+            near = np.flatnonzero(bits <= tau)
+            found[near, j] = bits[near] + np.bitwise_count(rows[near, 1] ^ rows[p, 1]) <= tau_both
+        hits, pivots = np.concatenate([hits, found], axis=1), np.r_[pivots, more]
+    group = np.full(len(rows), -1)
+    if not len(pivots):
+        return group[:n], group[n:], []
+    # pivots that one row matches are of one group
+    shared = hits.astype(np.float32)
+    label, joined = np.arange(len(pivots)), shared.T @ shared > 0
+    while True:
+        low = np.where(joined, label[None], len(pivots)).min(axis=1)
+        if (low == label).all():
+            break
+        label = low
+    own = hits.any(axis=1)
+    group[own] = label[hits[own].argmax(axis=1)]
+    ids = rows[:, 2].view(np.int64)
+    some, j = np.nonzero(hits)
+    stars = _stars(ids[pivots[j]], ids[some])
+    small = np.bincount(group[:n][group[:n] >= 0], minlength=len(pivots)) < HOT
+    group[own] = np.where(small[group[own]], -1, group[own])
+    return group[:n], group[n:], [stars]
+
+
 def match_block(index: np.ndarray, probe: np.ndarray, width: int, low: int, prefix: int, e: int, tau: int, tau_both: int) -> tuple[np.ndarray, np.ndarray]:
-    """Stars over the verified pairs of ids between index and probe rows (fp, fp2, id), keys within e of one another.
+    """Stars over the verified pairs of ids between index and probe rows (fp, fp2, id), keys within e of one another, and
+    over those that pivots match.
 
     A key is the top `width` bits: a prefix, which all index rows share, and `low` bits below it.
     """
-    shift = BITS - width
     mask = np.uint64((1 << low) - 1)
-    key = (index[:, 0] >> np.uint64(shift)) & mask
+    key = (index[:, 0] >> np.uint64(BITS - width)) & mask
     order = np.argsort(key, kind="stable")
-    index, key = index[order], key[order]
-    table = np.r_[0, np.cumsum(np.bincount(key.astype(np.int64), minlength=1 << low))]
+    index, key = index[order], key[order].astype(np.int64)
+    if len(key) < HOT or np.bincount(key).max() < HOT:
+        out = _pairs(index, key, probe, width, low, prefix, e, tau, tau_both)
+    else:
+        mine, theirs, out = hot_groups(index, probe, key, tau, tau_both)
+        for g in np.unique(theirs).tolist():
+            other = mine != g if g >= 0 else np.ones(len(mine), bool)
+            out += _pairs(index[other], key[other], probe[theirs == g], width, low, prefix, e, tau, tau_both)
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return _stars(np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]))
+
+
+def _pairs(index: np.ndarray, key: np.ndarray, probe: np.ndarray, width: int, low: int, prefix: int, e: int, tau: int, tau_both: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Stars over all verified pairs; index rows ascend by their keys."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    if not len(index):
+        return out
+    shift, mask = BITS - width, np.uint64((1 << low) - 1)
+    table = np.r_[0, np.cumsum(np.bincount(key, minlength=1 << low))]
     own = probe[:, 0] >> np.uint64(shift)
     far = np.bitwise_count((own >> np.uint64(low)) ^ np.uint64(prefix)).astype(int)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
     for d in range(e + 1):
         some = probe[far == d]
         if not len(some):
@@ -210,9 +273,7 @@ def match_block(index: np.ndarray, probe: np.ndarray, width: int, low: int, pref
                 if ok.any():
                     out.append(_stars(a[ok, 2].view(np.int64), b[ok, 2].view(np.int64)))
                 at = to
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return _stars(np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out]))
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 11, tau_both: int = 28) -> DataFrame:

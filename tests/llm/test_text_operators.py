@@ -107,6 +107,60 @@ def test_general_pigeonhole_misses_nothing(tau):
     assert all(root[i] == root[i + 300] for i in range(300) if int(flips[i]).bit_count() <= tau)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_hot_keys_lose_no_link_and_skip_known_groups(seed, monkeypatch):
+    """Groups of near copies under one key, a chain of drifting ones, and strangers: the same groups as by all pairs."""
+    rng = np.random.default_rng(seed)
+    key, low, tau, tau_both = np.uint64(5), 12, 7, 16
+
+    def flipped(x, most, places=48):
+        return x ^ np.uint64(sum(1 << int(b) for b in rng.choice(places, rng.integers(0, most + 1), replace=False)))
+
+    one, two = [], []
+    for size, spread in ((700, 3), (500, 6), (150, 9)):
+        a, b = (np.uint64(x) for x in rng.integers(0, 1 << 48, 2))
+        one += [flipped(a, spread) for _ in range(size)]
+        two += [flipped(b, spread) for _ in range(size)]
+    a, b = (np.uint64(x) for x in rng.integers(0, 1 << 48, 2))
+    for _ in range(200):
+        a, b = flipped(a, 8), flipped(b, 10)
+        one.append(a)
+        two.append(b)
+    one += rng.integers(0, 1 << 48, 300).astype(np.uint64).tolist()
+    two += rng.integers(0, 1 << 48, 300).astype(np.uint64).tolist()
+    fp = np.array(one, np.uint64) | (key << np.uint64(48))
+    fp[::7] ^= np.uint64(1) << np.uint64(49)  # another key, one bit off
+    table = np.stack([fp, np.array(two, np.uint64), rng.permutation(len(fp)).astype(np.uint64)], axis=1)
+    done = []
+    pairs = simhash._pairs
+    monkeypatch.setattr(simhash, "_pairs", lambda index, key, probe, *rest: done.append(len(index) * len(probe)) or pairs(index, key, probe, *rest))
+
+    def groups(edges):
+        node, root = np.arange(len(fp)), np.concatenate(simhash._stars(*edges)).reshape(2, -1)
+        node[root[1]] = root[0]
+        return node.tolist()
+
+    got = groups(simhash.match_block(table, table, 16, low, 0, 1, tau, tau_both))
+    work, done[:] = sum(done), []
+    monkeypatch.setattr(simhash, "HOT", 1 << 40)
+    assert got == groups(simhash.match_block(table, table, 16, low, 0, 1, tau, tau_both))
+    both = np.bitwise_count(fp[:, None] ^ fp[None]).astype(int)
+    near = (both <= tau) & (both + np.bitwise_count(table[:, 1][:, None] ^ table[:, 1][None]) <= tau_both)
+    label = np.array(got)[table[:, 2].astype(np.int64)]
+    assert (label[:, None] == label[None])[near].all()
+    assert work < sum(done)
+
+
+def test_a_tight_hot_group_costs_its_size(monkeypatch):
+    rng = np.random.default_rng(9)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(40, 2, replace=False)) for _ in range(3000)], np.uint64)
+    table = np.stack([np.uint64(0xABC << 40) ^ flips, flips, np.arange(3000, dtype=np.uint64)], axis=1)
+    done = []
+    monkeypatch.setattr(simhash, "_pairs", lambda index, key, probe, *rest: done.append(len(index) * len(probe)) or [])
+    a, b = simhash.match_block(table, table, 16, 16, 0, 0, 11, 28)
+    assert sum(done) == 0 and set(a.tolist()) == {0} and len(set(b.tolist())) == 2999
+
+
 def test_thresholds_are_allotted_by_cost():
     cost, es = simhash.allot([[0, 5, 50], [0, 1, 2], [0, 100, 1000]], 0)
     assert es == [0, 1, -1] and cost == 7
