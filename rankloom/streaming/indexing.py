@@ -8,30 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.log import LOG_SCHEMA
+from ..sources.log import STORED_SCHEMA, numbered
 from ..sources.namespace import Namespace
 
 
 def changes(spark: SparkSession, log_path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The log as a stream; its folders are the batches."""
-    reader = spark.readStream.schema(LOG_SCHEMA)
+    """The log as a stream; a file holds a batch or a run of them."""
+    reader = spark.readStream.schema(STORED_SCHEMA)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(log_path)
+    return numbered(reader.parquet(log_path))
 
 
 def follow(namespace: Namespace, checkpoint: str, apply: Callable[[DataFrame, int], None], files_per_trigger: int | None = None) -> StreamingQuery:
     """Call apply(delta, upto) for what each micro-batch brings and then move the namespace's cursor.
 
+    The files of a micro-batch come in the order of their times, not of their batches. So the delta is read from the log:
+    all from the first batch that the micro-batch brings, or from the cursor, up to the last one that any has brought.
+
     A batch that is run again after a failure gets the same delta, so apply must be idempotent, as replacing the rows of
     touched ids is. The stream ends when the log is used up.
     """
+    done = 0
 
-    def step(delta: DataFrame, _: int) -> None:
-        upto = delta.agg(F.max("seq")).first()[0]
+    def step(brought: DataFrame, _: int) -> None:
+        nonlocal done
+        low, upto = brought.agg(F.min("seq"), F.max("seq")).first()
         if upto is not None:
-            apply(delta, upto)
-            namespace.indexed_to(upto)
+            done = max(done, upto)
+            after = min(low - 1, namespace.meta()["index_cursor"])
+            apply(namespace.log(after).where(F.col("seq") <= done), done)
+            namespace.indexed_to(done)
 
     stream = changes(namespace.spark, namespace._path("log"), files_per_trigger)
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

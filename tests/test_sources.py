@@ -184,3 +184,25 @@ def test_stream_index_compaction_and_consistency(catalog, tmp_path):
     assert ns.files.names("stream", "log") == ["seq=10", "seq=11", "seq=12"]
     ns.warm()
     assert ns.view().count() == 10
+
+
+def test_many_batches_share_folders(spark, catalog, tmp_path):
+    rows = [(s, 1, 0, "upsert", f"d{s % 50}", {"n": str(s)}) for s in range(1, 201)]
+    want = {k: v[0] for k, v in state(logs.folded(spark.createDataFrame(rows, logs.LOG_SCHEMA))).items()}
+    ns = catalog.namespace("long")
+    assert ns.append_batches(spark.createDataFrame(rows, logs.LOG_SCHEMA)) == 200
+    assert len(ns.folders()) <= logs.FOLDERS and len(ns.folders("sums")) <= logs.FOLDERS and ns.folders()[-1] == 200
+    assert {r[0] for r in ns.log(90).select("seq").collect()} == set(range(91, 201)) and ns.log(corrupt="fail").count() == 200
+    index, seen = TableIndex(ns, str(tmp_path / "t"), lambda docs: docs.select("id", "attrs")), []
+
+    def apply(delta, upto):
+        seen.append((delta.agg(F.min("seq")).first()[0], upto))
+        index.apply(delta, upto)
+
+    follow(ns, str(tmp_path / "ck"), apply, files_per_trigger=len(ns.folders()) // 2).awaitTermination()
+    assert len(seen) > 1 and seen[0][0] == 1 and [u for _, u in seen] == sorted(u for _, u in seen) and seen[-1][1] == 200
+    assert {r["id"]: r["attrs"] for r in index.table().collect()} == want
+    catalog.copy("long", "twin")
+    assert ns.metadata()["unindexed_bytes"] == 0 and ns.compact() and len(ns.folders()) == 1
+    for name in ("long", "twin"):
+        assert {k: v[0] for k, v in state(catalog.namespace(name).documents()).items()} == want
