@@ -22,6 +22,16 @@ def test_batch_matches_brute_force(spark):
         assert {(r["q"], r["id"], r["rank"]) for r in got.collect()} == want
 
 
+def test_batch_holds_few_scores_at_once(spark, monkeypatch):
+    from rankloom import catalog
+
+    monkeypatch.setattr(knn, "SCORE_BYTES", 8 * 16 * 7)
+    monkeypatch.setattr(knn, "VECTORS", 16)
+    test_batch_matches_brute_force(spark)
+    asked = {r[0] for r in catalog.v5(spark, "/root/testdata/sf0.01").select("query_id").collect()}
+    assert asked == set(range(0, 500, 50))
+
+
 def test_few_cells_are_exact_and_deltas_apply(spark):
     m = np.random.default_rng(2).normal(size=(120, 8))
     df = frame(spark, m)
