@@ -21,6 +21,19 @@ def test_tokens_normalise_cut_and_lower(spark):
     assert text.query_terms("Ｆｕｌｌ ﬁne ²x the well-known") == got[0][:5]
 
 
+def test_stems_of_lists_stay_in_arrows_form(spark):
+    import pyarrow as pa
+
+    rows = [["running", "ties", "running"], None, [], ["cries"]] * 400
+    found = text._stems.func(pa.array(rows, pa.list_(pa.string())).slice(1))
+    assert isinstance(found, pa.Array) and found.to_pylist() == [None if r is None else [stem(w) for w in r] for r in rows[1:]]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, w array<string>")
+    assert {r["i"]: r["s"] for r in df.select("i", text._stems("w").alias("s")).collect()} == {i: None if r is None else [stem(w) for w in r] for i, r in enumerate(rows)}
+    docs = spark.createDataFrame([("a", "red red fish"), ("b", "blue bird"), ("c", "the of")], "id string, t string")
+    tf, dl = bm25.asked_postings(docs, "id", F.col("t"), "red fish red")
+    assert {tuple(r) for r in tf.collect()} == {("red", "a", 2), ("fish", "a", 1)} and {tuple(r) for r in dl.collect()} == {("a", 3), ("b", 2)}
+
+
 def test_stems():
     known = {"consign": "consign", "consigned": "consign", "consistency": "consist", "knights": "knight", "kneeling": "kneel", "generous": "generous", "communication": "communic", "skies": "sky", "dying": "die", "running": "run", "hopping": "hop", "hoping": "hope", "relational": "relat", "conditional": "condit", "ties": "tie", "cries": "cri", "happily": "happili", "national": "nation", "knack": "knack", "by": "by"}
     assert {w: stem(w) for w in known} == known
