@@ -6,8 +6,10 @@ import random
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from rankloom.operators import ivf
 from rankloom.sources import index as indexes
@@ -121,6 +123,37 @@ def test_only_probed_cells_and_asked_buckets_are_read(spark, catalog):
     assert "PartitionFilters: [isnotnull(field" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,w7)" in plan.replace("In(term, [w7])", "EqualTo(term,w7)")
 
 
+def test_an_index_folds_the_log_once_and_cuts_texts_once(spark, catalog, monkeypatch):
+    written, read = [], []
+    write, infer = DataFrameWriter.parquet, indexes.schemas.inferred
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (written.append(plan(self._df)), write(self, *a, **k))[1])
+    monkeypatch.setattr(indexes.schemas, "inferred", lambda docs, schema: (read.append(plan(docs)), infer(docs, schema))[1])
+    for name, schema in (("declared", {"text": {"type": "string", "full_text_search": True}, "v": "[3]f32", "tier": "string", "n": "int"}), ("found", {})):
+        ns = catalog.namespace(name)
+        ns.write({"schema": schema, "upsert_rows": rows(5, range(60))})
+        written.clear(), read.clear()
+        index = ns.build_index()
+        assert sum(p.count("windowspecdefinition") for p in written + read) == 1
+        assert sum(p.count("regexp_extract_all") for p in written) == len(index.manifest["text"])
+        assert len(ns.files.names(name, "index")) == 2  # a segment and the manifest
+
+
+def test_runs_of_documents_hold_each_term_once(monkeypatch):
+    lists = [["a", "b", "a"], None, [], ["b"] * 5, ["c"], ["a", "c"], [], ["é", "a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(8)]), pa.array(lists, pa.list_(pa.string()))], ["id", "terms"]).slice(0)
+    for most in (1, 3, 4, 100):
+        monkeypatch.setattr(indexes, "RUN_TERMS", most)
+        for piece in ([batch], [batch.slice(0, 3), batch.slice(3)]):
+            out = [r for b in indexes.counted(iter(piece)) for r in b.to_pylist()]
+            found = sorted((r["term"] or "", h["id"], h["tf"], h["dl"]) for r in out for h in r["hits"])
+            true = [(t, f"d{i}", x.count(t), len(x)) for i, x in enumerate(lists) if x for t in set(x)]
+            assert found == sorted(true + [("", f"d{i}", 0, len(x)) for i, x in enumerate(lists) if x])
+            assert all(0 <= r["part"] < indexes.SALT for r in out)
+    assert len(out) == 3 + 3 + 2  # terms of two batches' runs, and their lengths
+    assert list(indexes.counted(iter([batch.slice(1, 2)]))) == []
+
+
 def test_cells_are_split_and_given_up(spark):
     rng = np.random.default_rng(2)
     v = np.r_[rng.normal(size=(700, 3)), rng.normal(size=(40, 3)) + 30, [[90.0, 0, 0]]]
